@@ -93,3 +93,44 @@ def translation(keep: bytes) -> bytes:
 
 #: Words of digits, a-z and any character beyond ASCII.
 ALNUM = translation(b"0123456789abcdefghijklmnopqrstuvwxyz")
+
+
+class Rolling:
+    """64-bit hashes of any stretch of a byte array, from sums of random codes times powers of an odd number."""
+
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self, seed: int = 11):
+        self.codes = np.random.default_rng(seed).integers(1, 1 << 64, 256, np.uint64)
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def load(self, raw: np.ndarray) -> np.ndarray:
+        """Sums up to each position; for `of`."""
+        n = len(raw) + 1
+        if n > len(self.up):
+            size = 1 << n.bit_length()
+            one = np.ones(1, np.uint64)
+            self.up = np.concatenate([one, np.multiply.accumulate(np.full(size, self.BASE, np.uint64))])
+            self.down = np.concatenate([one, np.multiply.accumulate(np.full(size, pow(self.BASE, -1, 1 << 64), np.uint64))])
+        sums = np.zeros(n, np.uint64)
+        np.cumsum(self.codes[raw] * self.up[: n - 1], out=sums[1:])
+        return sums
+
+    def of(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Mixed hashes of the stretches [start, end)."""
+        x = (sums[end] - sums[start]) * self.down[start]
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xC2B2AE3D27D4EB4F)
+        return x ^ (x >> np.uint64(32))
+
+
+def word_bounds(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of each word; words stand between spaces and never cross rows (at: the rows' bounds)."""
+    inside = np.zeros(len(text) + 2, bool)
+    inside[1:-1] = text != 32
+    first, last = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]
+    cuts = at[1:-1][(at[1:-1] > 0) & (at[1:-1] < len(text))]
+    both = cuts[inside[cuts] & inside[cuts + 1]]  # a word ends where another row's word begins
+    first[both], last[both - 1] = True, True
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return start, end, np.searchsorted(at, start, "right") - 1

@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, packing, simhash
+from . import chat, decontam, fertility, langid, packing, simhash, toxicity, urls
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op3_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.report(read(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(read(spark, sf_dir, "documents"))
 
@@ -21,17 +29,73 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.report(read(spark, sf_dir, "pages"))
+
+
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.report(read(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(read(spark, sf_dir, "documents"))
 
 
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.report(read(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op3_fertility": op3_fertility,
     "op4_packing": op4_packing,
     "op5_decontamination": op5_decontamination,
+    "op6_urls": op6_urls,
+    "op8_langid": op8_langid,
     "op9_simhash": op9_simhash,
+    "op10_chat": op10_chat,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op10_chat": r"""
+WITH t AS (
+  SELECT conv_id, coalesce(turn, -9223372036854775808) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), k AS (
+  SELECT *, len(regexp_extract_all(text, '[\p{L}\p{M}]+|\p{N}|[^ \t\n\r\f\x0b\p{L}\p{M}\p{N}]')) + 4 AS tok,
+    length(regexp_replace(replace(text, '\', '\\'), '([<\[])(/?(?:s>|INST\]))', '\1\\\2', 'g')) + length(regexp_replace(replace(role, '\', '\\'), '([<\[])(/?(?:s>|INST\]))', '\1\\\2', 'g')) + 17 AS size
+  FROM t
+), p AS (
+  SELECT *, coalesce(sum(tok) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, sum(tok) OVER (PARTITION BY conv_id) AS total
+  FROM k
+), y AS (
+  SELECT conv_id, min(start) AS sys_start, arg_min(tok, start) AS sys_tok, arg_min(size, start) AS sys_size FROM p WHERE role = 'system' GROUP BY 1
+), r AS (
+  SELECT p.*, sys_start, sys_size, greatest((768 - coalesce(sys_tok, 0)) // 2, 128) AS room FROM p LEFT JOIN y USING (conv_id)
+), s AS (
+  SELECT *, max(start + tok) OVER (PARTITION BY conv_id, start // room, tok > room) AS stop, min(start) OVER (PARTITION BY conv_id, start // room, tok > room) AS begin FROM r
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  length(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(size) + coalesce(sum(size) FILTER (start >= stop - 256 AND role <> 'system' AND stop < total), 0) + 3 * count(DISTINCT begin) + coalesce(any_value(sys_size) * count(DISTINCT begin) FILTER (begin > sys_start), 0) AS BIGINT) AS formatted_chars
+FROM s GROUP BY conv_id
+""",
+    "op6_urls": r"""
+WITH rules(verdict, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+), rest AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages
+), parts AS (
+  SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM rest
+), fits AS (
+  SELECT page_id, h || p AS rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC, length(h) DESC) AS k
+  FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+FROM parts LEFT JOIN (SELECT * FROM fits WHERE k = 1) USING (page_id)
+""",
     "op5_decontamination": r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
