@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it from there; smaller on disk than a checkpoint."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def text_column(df: DataFrame, text_col: str, alias: str = "text"):
     """The text as a string column in which null is empty."""
     return F.coalesce(df[text_col].cast("string"), F.lit("")).alias(alias)

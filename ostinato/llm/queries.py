@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, fertility, langid, packing, simhash, toxicity, urls
+from . import chat, decontam, fertility, langid, packing, pii, simhash, substrings, toxicity, urls
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(read(spark, sf_dir, "documents"))
+
+
 def op3_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.report(read(spark, sf_dir, "documents"))
 
@@ -33,6 +37,10 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.report(read(spark, sf_dir, "pages"))
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(read(spark, sf_dir, "documents"))
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.report(read(spark, sf_dir, "documents"))
 
@@ -47,10 +55,12 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_pii": op2_pii,
     "op3_fertility": op3_fertility,
     "op4_packing": op4_packing,
     "op5_decontamination": op5_decontamination,
     "op6_urls": op6_urls,
+    "op7_substrings": op7_substrings,
     "op8_langid": op8_langid,
     "op9_simhash": op9_simhash,
     "op10_chat": op10_chat,
