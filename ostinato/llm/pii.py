@@ -347,5 +347,5 @@ def report(docs: DataFrame) -> DataFrame:
     found = find(docs.select("doc_id", "text"))
     base = F.filter("pii", lambda x: x["base"])
     joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
-    counts = [F.size(F.filter(base, lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined("pii").alias("spans"), (F.size("pii") - F.size(base)).cast("long").alias("n_added"))
+    count = lambda kind: F.size(F.filter(base, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined("pii").alias("spans"), (F.size("pii") - F.size(base)).cast("long").alias("n_added"))
