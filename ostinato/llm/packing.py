@@ -13,73 +13,146 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Ids, as_bytes, cut, slices, text_column
+from .common import Rolling, as_bytes, cut, slices, text_column
 
 CAPACITY = 2048
 #: Pieces of one length that one task numbers, about.
 GROUP_ROWS = 2000
 
 
+_SPACE = b" \t\n\r\v\f"
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: White space 0, ASCII letters and digits 1, other ASCII signs but ' 2, the rest 3.
+_CLASS = np.full(256, 3, np.uint8)
+_CLASS[33:127] = 2
+_CLASS[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 1
+_CLASS[ord("'")] = 3
+_CLASS[list(_SPACE)] = 0
+
+
 class WordTokenizer:
-    """Ids of whole texts from a tokenizer that never joins text over white space; ids of words are kept."""
+    """Ids of whole texts from a lower-casing tokenizer that never joins text over white space, or letters with signs.
+
+    Texts are cut into words there, and words are known by the hash of their bytes in a table that
+    lives as long as the worker; only words not seen before reach the tokenizer.
+    """
+
+    SLOTS = 1 << 22
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 1_500_000):
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
+        self.special = [t.content.encode() for t in self.inner.get_added_tokens_decoder().values()]
         self.limit = limit
+        self.rolling = Rolling()
         self.reset()
 
     def reset(self) -> None:
-        self.known = Ids(lambda word: -1, 1 << 62)
-        self.ids, self.at, self.n = np.zeros(1 << 16, np.uint32), np.zeros(1 << 15, np.int64), 0
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > self.limit:
-            self.reset()
+        self.slots = np.full(self.SLOTS, -1, np.int32)
+        self.hashes, self.at, self.n = np.zeros(1 << 15, np.uint64), np.zeros(1 << 15, np.int64), 0
+        self.ids = np.zeros(1 << 16, np.uint32)
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each word, or -1."""
+        found, slot = np.full(len(hashes), -1, np.int64), (hashes >> np.uint64(42)).astype(np.int64)
+        left = np.arange(len(hashes))
+        while len(left):
+            row = self.slots[slot[left]]
+            same = (self.hashes[row] == hashes[left]) & (row >= 0)
+            found[left[same]] = row[same]
+            left = left[~same & (row >= 0)]
+            slot[left] = (slot[left] + 1) % self.SLOTS
+        return found
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        """Enter words that aren't there."""
         found = [e.ids for e in self.inner.encode_batch(words, add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        end = self.at[self.n] + sizes.cumsum()
-        while self.n + len(words) + 2 > len(self.at):
-            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
-        while len(end) and end[-1] > len(self.ids):
+        n, end = self.n + len(words), self.at[self.n] + sizes.cumsum()
+        while n + 2 > len(self.at):
+            self.at, self.hashes = np.concatenate([self.at, np.zeros_like(self.at)]), np.concatenate([self.hashes, np.zeros_like(self.hashes)])
+        while end[-1] > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        if len(end):
-            self.ids[self.at[self.n] : end[-1]] = np.fromiter((x for ids in found for x in ids), np.uint32, int(sizes.sum()))
-        self.at[self.n + 1 : self.n + 1 + len(words)] = end
-        for k, word in enumerate(words):
-            self.known[word] = self.n + k
-        self.n += len(words)
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, one after another, and the n + 1 bounds."""
-        parts = [text.split() for text in texts]
-        if fresh := [w for w in set().union(*parts) if w not in self.known]:
-            before = self.known
-            self._learn(fresh)
-            if self.known is not before:  # forgotten meanwhile
-                if fresh := [w for w in set().union(*parts) if w not in self.known]:
-                    self.limit, limit = 1 << 62, self.limit
-                    self._learn(fresh)
-                    self.limit = limit
-        rows = np.fromiter(map(self.known.__getitem__, (w for p in parts for w in p)), np.int64)
-        sizes = self.at[rows + 1] - self.at[rows]
-        ends = sizes.cumsum()
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.repeat(self.at[rows] - (ends - sizes), sizes) + np.arange(total)]
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)]
-        return ids, bounds
-
-    def texts(self, texts: list[str]) -> list[np.ndarray]:
-        odd = {i for i, t in enumerate(texts) if any(c in t for c in "\x1c\x1d\x1e\x1f")}
-        ids, at = self.encode(["" if i in odd else t for i, t in enumerate(texts)])
-        return [np.array(self.inner.encode(t, add_special_tokens=False).ids, np.uint32) if i in odd else ids[at[i] : at[i + 1]] for i, t in enumerate(texts)]
+        self.ids[self.at[self.n] : end[-1]] = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
+        self.at[self.n + 1 : n + 1] = end
+        self.hashes[self.n : n] = hashes
+        slot, left = (hashes >> np.uint64(42)).astype(np.int64), np.arange(len(words))
+        while len(left):
+            _, first = np.unique(slot[left], return_index=True)  # one word for each free slot
+            first = first[self.slots[slot[left[first]]] < 0]
+            self.slots[slot[left[first]]] = self.n + left[first]
+            left = np.delete(left, first)
+            slot[left] = (slot[left] + (self.slots[slot[left]] >= 0)) % self.SLOTS
+        self.n = n
+
+    def _rows(self, raw: np.ndarray, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        hashes = self.rolling.of(sums, start, end)
+        rows = self._find(hashes)
+        missing = np.flatnonzero(rows < 0)
+        if len(missing):
+            fresh, first = np.unique(hashes[missing], return_index=True)
+            if self.n + len(fresh) > self.limit:
+                self.reset()
+                missing = np.arange(len(hashes))
+                fresh, first = np.unique(hashes, return_index=True)
+            first = missing[first]
+            flat = raw.tobytes()
+            self._learn(fresh, [flat[s:e].decode() for s, e in zip(start[first].tolist(), end[first].tolist(), strict=True)])
+            rows[missing] = self._find(hashes[missing])
+        return rows
+
+    def encode(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows, one after another, and the n + 1 bounds."""
+        kind = _CLASS[raw]
+        new = np.zeros(len(raw) + 1, bool)  # a word may begin here
+        new[at] = True
+        if len(raw) > 1:
+            letter = kind[:-1] == 1
+            latin = (raw[1:-1] >= 0x80) & (raw[1:-1] != 0x97) & (raw[1:-1] != 0xB7) & (raw[:-2] == 0xC3)
+            letter[1:] |= latin
+            new[1:-1] |= (letter & (kind[1:] == 2)) | ((kind[:-1] == 2) & (kind[1:] == 1))
+        inside = np.concatenate([[False], kind > 0, [False]])
+        start = np.flatnonzero(inside[1:-1] & (new[:-1] | ~inside[:-2]))
+        end = np.flatnonzero(inside[1:-1] & (new[1:] | ~inside[2:])) + 1
+        sums, parts, sizes = self.rolling.load(_LOWER[raw]), [], []
+        for k in range(0, len(start), 1 << 20):
+            rows = self._rows(raw, sums, start[k : k + (1 << 20)], end[k : k + (1 << 20)])
+            n = self.at[rows + 1] - self.at[rows]
+            ends = n.cumsum()
+            parts.append(self.ids[np.repeat(self.at[rows] - (ends - n), n) + np.arange(int(ends[-1]))])
+            sizes.append(n)
+        total = np.concatenate([[0], np.concatenate(sizes).cumsum()]) if sizes else np.zeros(1, np.int64)
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint32), total[np.searchsorted(start, at)]
+
+
+    def texts(self, raw: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+        """Ids of each row; a text that spells out a special token goes to the tokenizer whole, which gives it that token's id."""
+        ids, bounds = self.encode(raw, at)
+        out = [ids[s:e] for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
+        flat = raw.tobytes()
+        for token in self.special:
+            place = flat.find(token)
+            while place >= 0:
+                i = int(np.searchsorted(at, place, "right")) - 1
+                out[i] = np.array(self.inner.encode(flat[at[i] : at[i + 1]].decode(errors="ignore"), add_special_tokens=False).ids, np.uint32)
+                place = flat.find(token, max(int(at[i + 1]), place + 1) if place + len(token) <= at[i + 1] else place + 1)
+        return out
+
+
+@cache
+def tokenizer_of(path: str) -> WordTokenizer:
+    """One for each Python worker: the words it knows serve later tasks too."""
+    return WordTokenizer(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -90,11 +163,11 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words = WordTokenizer(tokenizer)
+        words = tokenizer_of(tokenizer)
         for batch in batches:
             for part in slices(batch, limit=2 << 20):
                 rows, starts, lengths, crcs = [], [], [], []
-                for i, ids in enumerate(words.texts(part.column(1).to_pylist())):
+                for i, ids in enumerate(words.texts(*as_bytes(part.column(1)))):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     for at in range(0, len(ids), capacity):
                         own = ids[at : at + capacity]
