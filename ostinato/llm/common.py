@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Offsets into a batch of texts stay below this many bytes, whatever the batch holds.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,13 +58,18 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def slices(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of whole rows of about `limit` bytes of text (a longer row stands alone)."""
+def inner_text(batch: pa.RecordBatch, name: str) -> pa.Array:
+    """The texts inside the rows of a struct column, which comes first; null is empty."""
+    column = batch.column(0).field(name)
+    return (column if pa.types.is_string(column.type) else column.cast(pa.string())).fill_null("")
+
+
+def slices(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_BYTES, inner: bool = False) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of whole rows of about `limit` bytes of text (a longer row stands alone); inner: the text is in a struct column."""
     n = batch.num_rows
     if not n:
         return
-    column = batch.column(batch.schema.get_field_index(text))
-    _, at = as_bytes(column)
+    _, at = as_bytes(inner_text(batch, text) if inner else batch.column(batch.schema.get_field_index(text)))
     lo = 0
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(at, at[lo] + limit, "right")) - 1)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, as_bytes, slices, text_column
+from .common import ALNUM, as_bytes, inner_text, slices, text_column
 
 #: Words of test items in one broadcast block at most (an item alone may be longer).
 BLOCK_WORDS = 2_000_000
@@ -125,9 +125,9 @@ def _digest(names) -> str:
     return hashlib.sha256(",".join(sorted(map(str, names))).encode()).hexdigest()
 
 
-def _shard(batch: pa.RecordBatch, tests: TestSuffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _shard(batch: pa.RecordBatch, tests: TestSuffixes, text: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words per document, first word of each document in the shard, and suffix, document and place of each occurrence."""
-    raw, at = as_bytes(batch.column(batch.schema.get_field_index("text")))
+    raw, at = as_bytes(batch.column(batch.schema.get_field_index("text")) if text is None else inner_text(batch, text))
     raw, get = raw.tobytes(), tests.vocabulary.get
     counts, parts = np.zeros(batch.num_rows, np.int64), []
     for i in range(batch.num_rows):
@@ -141,10 +141,10 @@ def _shard(batch: pa.RecordBatch, tests: TestSuffixes) -> tuple[np.ndarray, np.n
     return counts, first, which, doc, place
 
 
-def _scan(batches: Iterator[pa.RecordBatch], tests: TestSuffixes) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], tests: TestSuffixes, text: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch):
-            counts, first, which, doc, place = _shard(part, tests)
+        for part in slices(batch, text, inner=True):
+            counts, first, which, doc, place = _shard(part, tests, text)
             spans = [[] for _ in range(part.num_rows)]
             names = [[] for _ in range(part.num_rows)]
             order = np.lexsort((place, doc))
@@ -158,10 +158,9 @@ def _scan(batches: Iterator[pa.RecordBatch], tests: TestSuffixes) -> Iterator[pa
                 last = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(begin) - 1]])
                 spans[i] = np.stack([begin[new], end[last]], 1).ravel().tolist()
                 names[i] = sorted({str(tests.names[k]) for k in np.unique(tests.item[which[lo:hi]])})
-            rest = [part.column(k) for k, name in enumerate(part.schema.names) if name != "text"]
             yield pa.RecordBatch.from_arrays(
-                [*rest, pa.array(counts), pa.array(spans, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))],
-                names=[*(x for x in part.schema.names if x != "text"), "n_words", "hit_spans", "items"],
+                [part.column(0), pa.array(counts), pa.array(spans, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))],
+                names=["row", "n_words", "hit_spans", "items"],
             )
 
 
@@ -221,10 +220,10 @@ def hits(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col: st
     """
     spark = docs.sparkSession
     kept = [c for c in docs.columns if c not in ("n_words", "hit_spans", "items")]
-    source = docs.select(F.struct(*kept).alias("row"), text_column(docs, text_col))
+    source = docs.select(F.struct(*[docs[c] for c in kept]).alias("row"))
     shape = lambda first: f"{first}, n_words long, hit_spans array<long>, items array<string>"
     row = source.schema["row"].dataType.simpleString()
-    found = [source.mapInArrow(lambda batches, s=spark.sparkContext.broadcast(b): _scan(batches, s.value), shape(f"row {row}")) for b in blocks(tests, item_col, item_text_col, window, block_words)]
+    found = [source.mapInArrow(lambda batches, s=spark.sparkContext.broadcast(b): _scan(batches, s.value, text_col), shape(f"row {row}")) for b in blocks(tests, item_col, item_text_col, window, block_words)]
     if len(found) == 1:
         return found[0].select("row.*", "n_words", "hit_spans", "items")
     every = found[0]

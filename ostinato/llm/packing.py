@@ -46,9 +46,9 @@ class WordTokenizer:
     lives as long as the worker; only words not seen before reach the tokenizer.
     """
 
-    SLOTS = 1 << 22
+    SLOTS = 1 << 21
 
-    def __init__(self, path: str, limit: int = 1_500_000):
+    def __init__(self, path: str, limit: int = 600_000):
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
@@ -64,7 +64,7 @@ class WordTokenizer:
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each word, or -1."""
-        found, slot = np.full(len(hashes), -1, np.int64), (hashes >> np.uint64(42)).astype(np.int64)
+        found, slot = np.full(len(hashes), -1, np.int64), (hashes >> np.uint64(43)).astype(np.int64)
         left = np.arange(len(hashes))
         while len(left):
             row = self.slots[slot[left]]
@@ -86,7 +86,7 @@ class WordTokenizer:
         self.ids[self.at[self.n] : end[-1]] = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
         self.at[self.n + 1 : n + 1] = end
         self.hashes[self.n : n] = hashes
-        slot, left = (hashes >> np.uint64(42)).astype(np.int64), np.arange(len(words))
+        slot, left = (hashes >> np.uint64(43)).astype(np.int64), np.arange(len(words))
         while len(left):
             _, first = np.unique(slot[left], return_index=True)  # one word for each free slot
             first = first[self.slots[slot[left[first]]] < 0]
@@ -125,8 +125,8 @@ class WordTokenizer:
         start = np.flatnonzero(inside[1:-1] & (new[:-1] | ~inside[:-2]))
         end = np.flatnonzero(inside[1:-1] & (new[1:] | ~inside[2:])) + 1
         sums, parts, sizes = self.rolling.load(_LOWER[raw]), [], []
-        for k in range(0, len(start), 1 << 20):
-            rows = self._rows(raw, sums, start[k : k + (1 << 20)], end[k : k + (1 << 20)])
+        for k in range(0, len(start), 1 << 18):
+            rows = self._rows(raw, sums, start[k : k + (1 << 18)], end[k : k + (1 << 18)])
             n = self.at[rows + 1] - self.at[rows]
             ends = n.cumsum()
             parts.append(self.ids[np.repeat(self.at[rows] - (ends - n), n) + np.arange(int(ends[-1]))])
@@ -165,7 +165,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         words = tokenizer_of(tokenizer)
         for batch in batches:
-            for part in slices(batch, limit=2 << 20):
+            for part in slices(batch, limit=1 << 19):
                 rows, starts, lengths, crcs = [], [], [], []
                 for i, ids in enumerate(words.texts(*as_bytes(part.column(1)))):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")

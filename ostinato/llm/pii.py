@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices, text_column
+from .common import as_bytes, inner_text, slices, text_column
 
 #: The order of equal starts.
 KINDS = ("email", "ip", "card", "phone")
@@ -282,11 +282,11 @@ _MARK = np.zeros(256, bool)
 _MARK[list(b"0123456789@")] = True
 
 
-def _each(batches: Iterator[pa.RecordBatch], own: Field, text: str) -> Iterator[tuple[pa.RecordBatch, list]]:
+def _each(batches: Iterator[pa.RecordBatch], own: Field, text: str, inner: bool = False) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Batches with the spans of their rows; texts without a seed aren't decoded."""
     for batch in batches:
-        for part in slices(batch, text):
-            raw, at = as_bytes(part.column(part.schema.get_field_index(text)))
+        for part in slices(batch, text, inner=inner):
+            raw, at = as_bytes(inner_text(part, text) if inner else part.column(part.schema.get_field_index(text)))
             marks = np.diff(np.concatenate([[0], np.cumsum(_MARK[raw])])[at])
             flat, out = raw.tobytes(), []
             for i in range(part.num_rows):
@@ -329,12 +329,12 @@ def redact(docs: DataFrame, text_col: str = "text", size_col: str | None = None)
     Null and empty texts stay as they are.
     """
     own = docs.sparkSession.sparkContext.broadcast(trained())
-    source = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].isNull().alias("none"), text_column(docs, text_col, "seen"))
+    source = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, found in _each(batches, own.value, "seen"):
-            texts = part.column(2).to_pylist()
-            new = [None if none else cover(t, x) if x else t for none, t, x in zip(part.column(1).to_pylist(), texts, found, strict=True)]
+        for part, found in _each(batches, own.value, text_col, inner=True):
+            texts = part.column(0).field(text_col).cast(pa.string()).to_pylist()
+            new = [cover(t, x) if x else t for t, x in zip(texts, found, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(new, pa.string())], names=["row", "seen"])
 
     out = source.mapInArrow(run, f"row {source.schema['row'].dataType.simpleString()}, seen string")

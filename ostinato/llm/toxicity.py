@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Rolling, as_bytes, slices, text_column, word_bounds
+from .common import ALNUM, Rolling, as_bytes, inner_text, slices, word_bounds
 
 #: Labelled rows of each class that learning takes at most, about.
 SAMPLE_ROWS = 3000
@@ -129,7 +129,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
         for batch in batches:
-            for part in slices(batch, limit=2 << 20):
+            for part in slices(batch, limit=1 << 19):
                 raw, at = as_bytes(part.column(2))
                 keys, rows = features(raw, at, rolling)
                 order = np.argsort(rows, kind="stable")
@@ -148,14 +148,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c != "score"]
-    source = docs.select(F.struct(*[docs[c] for c in kept]).alias("row"), text_column(docs, text_col))
+    source = docs.select(F.struct(*[docs[c] for c in kept]).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling, own = Rolling(), shared.value
         near = own.near()
         for batch in batches:
-            for part in slices(batch, limit=2 << 20):
-                raw, at = as_bytes(part.column(1))
+            for part in slices(batch, text_col, 1 << 19, inner=True):
+                raw, at = as_bytes(inner_text(part, text_col))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own.scores(raw, at, rolling, near))], names=["row", "score"])
 
     return source.mapInArrow(run, f"row {source.schema['row'].dataType.simpleString()}, score double").select("row.*", "score")
@@ -163,9 +163,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that score under the threshold, with their own columns."""
-    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_own"), docs[id_col].alias("_id"), docs[text_col].alias("_text"))
-    found = score(own, learn(docs, labels, id_col, text_col), "_id", "_text")
-    return found.filter(F.col("score") < threshold).select("_own.*")
+    found = score(docs.withColumnRenamed("score", "_score"), learn(docs, labels, id_col, text_col), id_col, text_col)
+    return found.filter(F.col("score") < threshold).drop("score").withColumnRenamed("_score", "score")
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

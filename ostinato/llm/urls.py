@@ -84,6 +84,8 @@ class DigestArray:
 def ship(spark: SparkSession, data: bytes) -> str:
     """Give every executor the file; its name there."""
     name = f"digests-{hashlib.sha256(data).hexdigest()[:24]}.bin"
+    if any(url.endswith(name) for url in spark.sparkContext.listFiles):
+        return name
     path = os.path.join(tempfile.mkdtemp(prefix="ostinato-"), name)
     with open(path, "wb") as file:
         file.write(data)
