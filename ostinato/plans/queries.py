@@ -1,4 +1,393 @@
-"""Queries over the event tables, each with equivalent SQL."""
+"""Queries that run the operators on the event tables, each with equivalent SQL.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+A track is a user or an event type, an amplitude is a value (centred where its sign matters),
+class scores are embeddings, and notes are a user's events in a row.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import numeric as N
+from ..operators import joins, overlap, series, stems
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+HOUR = 3_600_000_000
+KEY = ["event_type"]
+
+
+def query(sql: str):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__], ORACLE_SQL[f.__name__] = f, sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+
+
+def out(df: DataFrame, *columns: str) -> DataFrame:
+    """The columns with whole numbers as longs and doubles to six places."""
+    kinds = dict(df.dtypes)
+    cast = {"int": "long", "smallint": "long", "tinyint": "long", "float": "double"}
+    named = [F.col(c).cast(cast.get(kinds[c], kinds[c])) for c in columns]
+    return df.select(*[F.round(x, 6).alias(c) if cast.get(kinds[c], kinds[c]) == "double" else x.alias(c) for x, c in zip(named, columns, strict=True)])
+
+
+def hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.frame_energy(events(spark, sf_dir), KEY, F.floor(F.col("us") / HOUR).cast("long"), "value")
+
+
+_ENERGY = f"WITH e AS (SELECT event_type, epoch_us(ts) // {HOUR} AS frame, sqrt(avg(value * value)) AS energy FROM events GROUP BY 1, 2)"
+_FLUX = _ENERGY + ", f AS (SELECT *, coalesce(greatest(0, energy - lag(energy) OVER (PARTITION BY event_type ORDER BY frame)), 0) AS flux FROM e)"
+_LEVEL = _FLUX + ", t AS (SELECT event_type, avg(flux) + 1.5 * stddev_pop(flux) AS threshold FROM f GROUP BY 1)"
+_PEAKS = _LEVEL + """, n AS (SELECT f.*, threshold, lag(flux) OVER w AS a, lead(flux) OVER w AS b FROM f JOIN t USING (event_type) WINDOW w AS (PARTITION BY event_type ORDER BY frame)),
+p AS (SELECT event_type, frame, flux FROM n WHERE flux > threshold AND flux >= a AND flux >= b)"""
+
+
+def _spaced(source: str, gap: int, before: str) -> str:
+    return f"""{before.replace("WITH ", "WITH RECURSIVE ", 1)}, k AS (SELECT event_type, frame, row_number() OVER (PARTITION BY event_type ORDER BY frame) AS i FROM (SELECT DISTINCT event_type, frame FROM {source})),
+r AS (SELECT event_type, frame, i, frame AS kept, true AS ok FROM k WHERE i = 1
+  UNION ALL SELECT k.event_type, k.frame, k.i, CASE WHEN k.frame - r.kept >= {gap} THEN k.frame ELSE r.kept END, k.frame - r.kept >= {gap} FROM r JOIN k ON k.event_type = r.event_type AND k.i = r.i + 1)
+SELECT event_type, frame FROM r WHERE ok"""
+
+
+@query(_ENERGY + " SELECT event_type, frame, round(energy, 6) AS energy FROM e")
+def hourly_energy(spark, sf_dir):
+    return out(hours(spark, sf_dir), "event_type", "frame", "energy")
+
+
+def fluxes(spark, sf_dir):
+    return series.flux(hours(spark, sf_dir), KEY, "frame")
+
+
+@query(_FLUX + " SELECT event_type, frame, round(flux, 6) AS flux FROM f")
+def hourly_flux(spark, sf_dir):
+    return out(fluxes(spark, sf_dir), "event_type", "frame", "flux")
+
+
+@query("WITH x AS (SELECT event_id, event_type, value, epoch_us(ts) // 3600000000 AS h FROM events) SELECT event_type, f AS frame, round(sqrt(avg(value * value)), 6) AS energy FROM x, (SELECT unnest(generate_series(0, 3)) AS k), LATERAL (SELECT h // 6 - k AS f) WHERE f >= 0 AND h < f * 6 + 24 GROUP BY 1, 2")
+def hopping_energy(spark, sf_dir):
+    """Frames of 24 hours, one every 6 hours."""
+    rows = events(spark, sf_dir).withColumn("h", F.floor(F.col("us") / HOUR).cast("long"))
+    return out(series.frame_energy(series.hopping(rows, "h", 24, 6, "hop"), KEY, F.col("hop"), "value"), "event_type", "frame", "energy")
+
+
+@query(_LEVEL + " SELECT event_type, round(threshold, 6) AS threshold FROM t")
+def flux_threshold(spark, sf_dir):
+    return out(series.threshold(fluxes(spark, sf_dir), KEY), "event_type", "threshold").distinct()
+
+
+def onsets(spark, sf_dir):
+    return series.peaks(series.threshold(fluxes(spark, sf_dir), KEY), KEY, "frame")
+
+
+@query(_PEAKS + " SELECT event_type, frame, round(flux, 6) AS flux FROM p")
+def flux_peaks(spark, sf_dir):
+    return out(onsets(spark, sf_dir), "event_type", "frame", "flux")
+
+
+@query(_spaced("p", 6, _PEAKS))
+def onset_spacing(spark, sf_dir):
+    return out(series.spacing(onsets(spark, sf_dir), KEY, "frame", 6), "event_type", "frame")
+
+
+@query(_spaced("u", 5, _PEAKS + ", l AS (SELECT event_type, epoch_us(ts) // 3600000000 AS frame FROM events WHERE value > 480 GROUP BY 1, 2), u AS (SELECT event_type, frame FROM p UNION SELECT * FROM l)"))
+def onset_merge(spark, sf_dir):
+    loud = events(spark, sf_dir).filter("value > 480").select("event_type", F.floor(F.col("us") / HOUR).cast("long").alias("frame"))
+    return out(series.merge_onsets(onsets(spark, sf_dir), loud, KEY, "frame", 5), "event_type", "frame")
+
+
+@query(_ENERGY + ", n AS (SELECT *, lag(energy) OVER w AS a, lead(energy) OVER w AS b FROM e WINDOW w AS (PARTITION BY event_type ORDER BY frame)) SELECT event_type, frame, round(energy, 6) AS energy FROM n WHERE energy > a AND energy > b")
+def strict_peaks(spark, sf_dir):
+    return out(series.strict_peaks(hours(spark, sf_dir), KEY, "frame", "energy"), "event_type", "frame", "energy")
+
+
+@query(_FLUX + """, r AS (SELECT *, CASE WHEN lag(energy, 2) OVER w IS NULL THEN 0 ELSE greatest(0, least(energy - lag(energy, 1) OVER w, energy - lag(energy, 2) OVER w)) END AS rise FROM f WINDOW w AS (PARTITION BY event_type ORDER BY frame)),
+m AS (SELECT event_type, max(flux) AS top, max(rise) AS most FROM r GROUP BY 1)
+SELECT event_type, frame, round(greatest(flux, CASE WHEN most > 0 THEN rise * top / most ELSE 0 END), 6) AS inferred FROM r JOIN m USING (event_type)""")
+def inferred_onsets(spark, sf_dir):
+    return out(series.inferred_onsets(fluxes(spark, sf_dir), KEY, "frame", "flux", "energy"), "event_type", "frame", "inferred")
+
+
+_LAGS = _FLUX + ", c AS (SELECT a.event_type, b.frame - a.frame AS lag, sum(a.flux * b.flux) AS score FROM f a JOIN f b ON a.event_type = b.event_type AND b.frame - a.frame BETWEEN {low} AND {high} GROUP BY 1, 2)"
+
+
+@query(_LAGS.format(low=6, high=48) + " SELECT event_type, lag, round(score, 4) AS score FROM c")
+def autocorr_lags(spark, sf_dir):
+    found = series.autocorrelation(fluxes(spark, sf_dir), KEY, "frame", "flux", 6, 48)
+    return found.select("event_type", F.col("lag").cast("long").alias("lag"), F.round("score", 4).alias("score"))
+
+
+@query(_LAGS.format(low=14, high=48) + """, s AS (SELECT *, score * exp(-pow(log2(2880.0 / lag / 120), 2) / 0.98) AS biased FROM c),
+b AS (SELECT event_type, lag AS best, score AS top FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY biased DESC, lag) AS k FROM s) WHERE k = 1),
+p AS (SELECT b.event_type, CASE WHEN coalesce(s.score >= 0.6 * top, false) THEN floor(best / 1.5 + 0.5) ELSE best END AS best FROM b LEFT JOIN s ON s.event_type = b.event_type AND s.lag = floor(best / 1.5 + 0.5)),
+q AS (SELECT p.event_type, best, coalesce(max(biased) FILTER (lag = best - 1), 0) AS a, max(biased) FILTER (lag = best) AS m, coalesce(max(biased) FILTER (lag = best + 1), 0) AS c FROM p JOIN s USING (event_type) GROUP BY 1, 2)
+SELECT event_type, CAST(best AS BIGINT) AS best_lag, CAST(floor(least(200, greatest(60, 2880.0 / (best + CASE WHEN a - 2 * m + c <> 0 THEN 0.5 * (a - c) / (a - 2 * m + c) ELSE 0 END))) + 0.5) AS BIGINT) AS bpm FROM q""")
+def best_period(spark, sf_dir):
+    return out(series.tempo(fluxes(spark, sf_dir), KEY, "frame", rate=48.0), "event_type", "best_lag", "bpm")
+
+
+@query("WITH c AS (SELECT user_id, ts, value - 100 >= 0 AS s FROM events), t AS (SELECT user_id, s <> lag(s) OVER (PARTITION BY user_id ORDER BY ts) AS turn FROM c) SELECT user_id, round(CASE WHEN count(*) > 1 THEN count(*) FILTER (turn) / (count(*) - 1) ELSE 0 END, 6) AS zcr FROM t GROUP BY 1")
+def zero_crossing(spark, sf_dir):
+    centred = events(spark, sf_dir).withColumn("value", F.col("value") - 100)
+    return out(series.zero_crossing(centred, ["user_id"], "us", "value"), "user_id", "zcr")
+
+
+_STEMS = "WITH s AS (SELECT user_id, event_type, sqrt(avg(value * value)) AS rms, max(abs(value)) AS peak FROM events GROUP BY 1, 2), g AS (SELECT *, max(rms) OVER (PARTITION BY user_id) AS top FROM s)"
+
+
+def loud(spark, sf_dir):
+    return stems.loudness(events(spark, sf_dir), ["user_id", "event_type"], "value")
+
+
+@query(_STEMS + " SELECT user_id, event_type, round(rms, 6) AS rms, round(peak, 6) AS peak FROM s")
+def peak_rms_by_stem(spark, sf_dir):
+    return out(loud(spark, sf_dir), "user_id", "event_type", "rms", "peak")
+
+
+@query(_STEMS + " SELECT user_id, event_type, rms < 0.25 * top AND top > 0 AS silent FROM g")
+def silence_gate(spark, sf_dir):
+    return out(stems.silent(loud(spark, sf_dir), ["user_id"], 0.25), "user_id", "event_type", "silent")
+
+
+@query(_STEMS + " SELECT user_id, event_type, round(least(1, greatest(0.35, rms / top)), 6) AS scale FROM g WHERE top > 0")
+def velocity_scale(spark, sf_dir):
+    return out(stems.velocity_scales(loud(spark, sf_dir), ["user_id"]), "user_id", "event_type", "scale")
+
+
+@query(_STEMS + " SELECT event_id, CASE WHEN event_type = 'error' THEN 40 + event_id % 88 ELSE CAST(greatest(1, least(127, floor((40 + event_id % 88) * least(1, greatest(0.35, rms / top)) + 0.5))) AS BIGINT) END AS velocity FROM events JOIN g USING (user_id, event_type)")
+def balanced_velocity(spark, sf_dir):
+    """Errors stand for drums, which keep their velocity."""
+    notes = events(spark, sf_dir).select("event_id", "user_id", "event_type", (40 + F.col("event_id") % 88).alias("velocity"))
+    scales = stems.velocity_scales(loud(spark, sf_dir), ["user_id"]).filter("event_type <> 'error'")
+    return out(stems.balanced(notes, scales, ["user_id", "event_type"]), "event_id", "velocity")
+
+
+@query("SELECT event_type, count(*) AS n FROM events WHERE event_type IN ('click', 'view', 'purchase') GROUP BY 1")
+def stem_included(spark, sf_dir):
+    keep = spark.createDataFrame([("click",), ("view",), ("purchase",)], "event_type string")
+    return events(spark, sf_dir).join(keep, "event_type", "left_semi").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_type, count(*) AS n FROM events WHERE event_type NOT IN ('error') GROUP BY 1")
+def stem_excluded(spark, sf_dir):
+    drop = spark.createDataFrame([("error",)], "event_type string")
+    return events(spark, sf_dir).join(drop, "event_type", "left_anti").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT label, CAST(coalesce(o, p) AS BIGINT) AS program, drum FROM (VALUES ('drums', 0, true), ('bass', 33, false), ('vocals', 85, false), ('guitar', 25, false), ('piano', 0, false), ('flute', 0, false)) s(label, p, drum) LEFT JOIN (VALUES ('bass', 38), ('flute', 73)) x(k, o) ON label = k")
+def program_override(spark, sf_dir):
+    labels = spark.createDataFrame([(x,) for x in ("drums", "bass", "vocals", "guitar", "piano", "flute")], "label string")
+    return out(stems.overridden(stems.defaults(labels), spark.createDataFrame([("bass", 38), ("flute", 73)], "label string, override int")), "label", "program", "drum")
+
+
+@query("SELECT p.event_id, p.user_id, c.event_id AS last_click FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c ON p.user_id = c.user_id AND p.ts >= c.ts")
+def asof_state(spark, sf_dir):
+    every = events(spark, sf_dir)
+    clicks = every.filter("event_type = 'click'").select("user_id", "us", F.col("event_id").alias("last_click"))
+    rows = every.filter("event_type = 'purchase'").select("event_id", "user_id", "us")
+    return out(joins.as_of(rows, clicks, ["user_id"], "us", "last_click"), "event_id", "user_id", "last_click")
+
+
+_TICKS = "(epoch_us(ts) - 1704067200000000) // 60000000"
+
+
+@query(f"""WITH e AS (SELECT event_id, user_id, event_type, {_TICKS} AS tick FROM events),
+c AS (SELECT user_id, 0 AS tick, 500000 AS micros, -1 AS seq FROM e GROUP BY 1 UNION ALL SELECT user_id, tick, 300000 + event_id % 7 * 50000, event_id FROM e WHERE event_type = 'signup'),
+d AS (SELECT *, coalesce((tick - lag(tick) OVER w) * lag(micros) OVER w, 0) AS step FROM c WINDOW w AS (PARTITION BY user_id ORDER BY tick, seq)),
+s AS (SELECT *, sum(step) OVER (PARTITION BY user_id ORDER BY tick, seq ROWS UNBOUNDED PRECEDING) AS base, row_number() OVER (PARTITION BY user_id, tick ORDER BY seq DESC) AS k FROM d)
+SELECT event_id, CAST(floor((base + (e.tick - s.tick) * micros) / 1000.0 / 480) AS BIGINT) AS ms FROM e ASOF JOIN (SELECT * FROM s WHERE k = 1) s ON e.user_id = s.user_id AND e.tick >= s.tick""")
+def asof_tempo_ms(spark, sf_dir):
+    """Minutes are ticks and signups are tempo changes of their user."""
+    rows = events(spark, sf_dir).withColumn("tick", F.floor((F.col("us") - 1704067200000000) / 60000000))
+    changes = rows.filter("event_type = 'signup'").select("user_id", "tick", (F.lit(300000) + F.col("event_id") % 7 * 50000).alias("micros"), F.col("event_id").alias("seq"))
+    return out(joins.tempo_ms(rows.select("event_id", "user_id", "tick"), changes, ["user_id"]), "event_id", "ms")
+
+
+@query("""WITH a AS (SELECT user_id, event_id AS on_at, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events WHERE event_type = 'click'),
+b AS (SELECT user_id, event_id AS off_at, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events WHERE event_type = 'view')
+SELECT user_id, on_at, off_at FROM a JOIN b USING (user_id, k)""")
+def on_off_pairs(spark, sf_dir):
+    every = events(spark, sf_dir)
+    return out(joins.pair_oldest(every.filter("event_type = 'click'"), every.filter("event_type = 'view'"), ["user_id"], "event_id"), "user_id", "on_at", "off_at")
+
+
+@query("SELECT user_id, arg_max(event_type, ts) AS event_type, arg_max(event_id, ts) AS event_id FROM events WHERE ts <= TIMESTAMP '2024-01-15 00:00:00' GROUP BY 1")
+def state_at_seek(spark, sf_dir):
+    rows = events(spark, sf_dir).select("user_id", "us", "event_type", "event_id")
+    return out(joins.state_at(rows, ["user_id"], "us", F.lit(1705276800000000)), "user_id", "event_type", "event_id")
+
+
+@query("""WITH n AS (SELECT user_id, epoch_us(ts) / 3600000000.0 AS s, epoch_us(ts) / 3600000000.0 + value / 20 AS e, 30 + event_id % 60 AS pitch, event_id FROM events),
+g AS (SELECT *, lead(s) OVER (PARTITION BY user_id ORDER BY s, event_id) - e AS gap FROM n),
+a AS (SELECT user_id, count(*) AS n, median(pitch) AS mp, avg(e - s) AS d, CASE WHEN count(*) > 1 THEN count(*) FILTER (gap <= 0.05) / (count(*) - 1) ELSE 0 END AS l FROM g GROUP BY 1)
+SELECT user_id, n, round(mp, 6) AS median_pitch, round(l, 6) AS legato, CASE WHEN n < 4 THEN NULL WHEN mp <= 48 THEN 'BASS' WHEN l >= 0.6 THEN 'SUSTAINED_PAD' WHEN d <= 5 AND l <= 0.3 THEN 'RHYTHMIC_PLUCK' ELSE 'LEAD' END AS role FROM a""")
+def note_shape_role(spark, sf_dir):
+    """Hours are seconds; a note lasts a twentieth of its value."""
+    start = F.col("us") / 3600000000.0
+    notes = events(spark, sf_dir).select("user_id", "event_id", start.alias("s"), (start + F.col("value") / 20).alias("e"), (30 + F.col("event_id") % 60).alias("pitch"))
+    shapes = stems.note_shapes(notes, ["user_id"], "s", "e", "pitch", "event_id")
+    return out(stems.roles(shapes, short=5.0), "user_id", "n", "median_pitch", "legato", "role")
+
+
+def scores(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("cls", "score"))
+
+
+_SCORES = "WITH s AS (SELECT vec_id, label, unnest(generate_series(0, len(embedding) - 1)) AS cls, unnest(embedding) AS score FROM embeddings)"
+
+
+@query(_SCORES + " SELECT vec_id, cls, round(CAST(score AS DOUBLE), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, (cls + 30) % 64 DESC) AS k FROM s WHERE cls % 3 <> 0 AND score >= CAST(0.2 AS FLOAT)) WHERE k = 1")
+def score_argmax(spark, sf_dir):
+    mapped = scores(spark, sf_dir).filter("cls % 3 <> 0").withColumn("ord", (F.col("cls") + 30) % 64)
+    return out(stems.best_class(mapped, ["vec_id"], "cls", "score", F.lit(0.2).cast("float"), "ord"), "vec_id", "cls", "score")
+
+
+@query(_SCORES + " SELECT CAST(label AS BIGINT) AS label, cls, round(avg(CAST(score AS DOUBLE)), 6) AS mean_score, round(CAST(max(score) AS DOUBLE), 6) AS max_score FROM s GROUP BY 1, 2")
+def score_meanpool(spark, sf_dir):
+    pooled = scores(spark, sf_dir).groupBy("label", "cls").agg(F.avg(F.col("score").cast("double")).alias("mean_score"), F.max("score").alias("max_score"))
+    return out(pooled, "label", "cls", "mean_score", "max_score")
+
+
+@query(_SCORES + ", a AS (SELECT cls, avg(CAST(score AS DOUBLE)) AS m FROM s GROUP BY 1) SELECT cls, round(m, 6) AS mean_score FROM a ORDER BY m DESC, cls LIMIT 15")
+def score_topk(spark, sf_dir):
+    top = scores(spark, sf_dir).groupBy("cls").agg(F.avg(F.col("score").cast("double")).alias("mean_score")).orderBy(F.desc("mean_score"), "cls").limit(15)
+    return out(top, "cls", "mean_score")
+
+
+@query(_SCORES + """, p AS (SELECT vec_id, sum(CAST(score AS DOUBLE) ** 2) AS t, sum(CASE WHEN cls * 250 < 1500 THEN CAST(score AS DOUBLE) ** 2 ELSE 0 END) AS l, sum(CASE WHEN cls * 250 >= 6000 THEN CAST(score AS DOUBLE) ** 2 ELSE 0 END) AS h FROM s GROUP BY 1)
+SELECT vec_id, round(CASE WHEN t > 0 THEN l / t ELSE 0 END, 6) AS low, round(CASE WHEN t > 0 THEN h / t ELSE 0 END, 6) AS high FROM p""")
+def band_power(spark, sf_dir):
+    """The place in the vector is a bin of 250 Hz."""
+    power, hz = F.col("score").cast("double") * F.col("score").cast("double"), F.col("cls") * 250
+    total = F.sum(power)
+    share = lambda inside: F.when(total > 0, F.sum(F.when(inside, power).otherwise(0.0)) / total).otherwise(0.0)
+    return out(scores(spark, sf_dir).groupBy("vec_id").agg(share(hz < 1500).alias("low"), share(hz >= 6000).alias("high")), "vec_id", "low", "high")
+
+
+@query("WITH r AS (SELECT CAST(k AS BIGINT) AS region, k * 3 AS lo, k * 3 + 7 AS hi FROM generate_series(0, 15) t(k)) SELECT p_partkey, region FROM part JOIN r ON p_size BETWEEN lo AND hi")
+def region_match(spark, sf_dir):
+    regions = spark.range(16).select(F.col("id").alias("region"), (F.col("id") * 3).alias("lo"), (F.col("id") * 3 + 7).alias("hi"))
+    return out(joins.in_regions(table(spark, sf_dir, "part"), regions, "p_size", "lo", "hi", 8), "p_partkey", "region")
+
+
+@query("""WITH t AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1), o AS (SELECT user_id, n, unnest(generate_series(0, n - 1, 7)) AS "offset" FROM t), v AS (SELECT *, least(10, n - "offset") AS valid FROM o), s AS (SELECT *, (10 - valid) // 2 AS lead FROM v)
+SELECT user_id, "offset", valid, greatest(0, "offset" - lead) AS read_start, least(n, "offset" - lead + 10) - greatest(0, "offset" - lead) AS read_length, greatest(0, lead - "offset") AS pad_left, lead AS trim_start FROM s""")
+def chunk_placement(spark, sf_dir):
+    tracks = events(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n"))
+    return out(overlap.placements(tracks, ["user_id"], "n", 10), "user_id", "offset", "valid", "read_start", "read_length", "pad_left", "trim_start")
+
+
+@query("""WITH x AS (SELECT event_type, value, (epoch_us(ts) // 3600000000) % 10 AS i, epoch_us(ts) // 3600000000 AS frame FROM events), w AS (SELECT *, (CASE WHEN i < 5 THEN i + 1 ELSE 10 - i END) / 5.0 AS wt FROM x)
+SELECT event_type, frame, round(sum(wt * value) / greatest(sum(wt), 1e-8), 6) AS value FROM w GROUP BY 1, 2""")
+def overlap_add(spark, sf_dir):
+    rows = events(spark, sf_dir).withColumn("frame", F.floor(F.col("us") / HOUR).cast("long")).withColumn("i", F.col("frame") % 10)
+    return out(overlap.overlap_add(rows, KEY, "frame", "i", "value", 10), "event_type", "frame", "value")
+
+
+_INDEX = _ENERGY + ", s AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY frame) - 1 AS i, energy FROM e)"
+
+
+def indexed(spark, sf_dir):
+    w = Window.partitionBy("event_type").orderBy("frame")
+    return hours(spark, sf_dir).withColumn("i", (F.row_number().over(w) - 1).cast("long"))
+
+
+@query(_INDEX + """, n AS (SELECT event_type, count(*) AS n FROM s GROUP BY 1), o AS (SELECT event_type, n, unnest(generate_series(0, CAST(floor(n * 22050 / 44100) AS BIGINT) - 1)) AS out FROM n)
+SELECT o.event_type, out, round(a.energy + (coalesce(b.energy, a.energy) - a.energy) * (out * 44100 / 22050.0 - floor(out * 44100 / 22050.0)), 6) AS energy FROM o JOIN s a ON a.event_type = o.event_type AND a.i = floor(out * 44100 / 22050.0) LEFT JOIN s b ON b.event_type = o.event_type AND b.i = a.i + 1""")
+def resample_half(spark, sf_dir):
+    return out(series.resample(indexed(spark, sf_dir), KEY, "i", "energy", 44100, 22050), "event_type", "out", "energy")
+
+
+@query(_INDEX + """, n AS (SELECT event_type, count(*) AS n FROM s GROUP BY 1), o AS (SELECT event_type, n, unnest(generate_series(0, n * 8 // 5 - 1)) AS out FROM n)
+SELECT o.event_type, out, round(a.energy + (coalesce(b.energy, a.energy) - a.energy) * (out * 5 / 8 - a.i), 6) AS energy FROM o JOIN s a ON a.event_type = o.event_type AND a.i = out * 5 // 8 LEFT JOIN s b ON b.event_type = o.event_type AND b.i = a.i + 1""")
+def resample_linear(spark, sf_dir):
+    return out(series.resample(indexed(spark, sf_dir), KEY, "i", "energy", 5, 8), "event_type", "out", "energy")
+
+
+@query("SELECT epoch_us(ts) // 3600000000 AS frame, c AS channel, round(avg(value), 6) AS value FROM events, (VALUES ('left'), ('right')) t(c) GROUP BY 1, 2")
+def remix_mean(spark, sf_dir):
+    """Five channels averaged to two equal ones."""
+    mixed = events(spark, sf_dir).groupBy(F.floor(F.col("us") / HOUR).alias("frame")).agg(F.avg("value").alias("value"))
+    return out(mixed.withColumn("channel", F.explode(F.array(F.lit("left"), F.lit("right")))), "frame", "channel", "value")
+
+
+@query(_INDEX.replace("WITH ", "WITH RECURSIVE ", 1) + """, r AS (SELECT event_type, i, 0.25 * energy AS y FROM s WHERE i = 0 UNION ALL SELECT s.event_type, s.i, r.y + 0.25 * (s.energy - r.y) FROM r JOIN s ON s.event_type = r.event_type AND s.i = r.i + 1)
+SELECT event_type, i, round(y, 6) AS smooth FROM r""")
+def onepole(spark, sf_dir):
+    return out(series.one_pole(indexed(spark, sf_dir), KEY, "i", "energy", 0.25), "event_type", "i", "smooth")
+
+
+@query(_ENERGY + """, l AS (SELECT event_type, frame AS x FROM e WHERE energy >= 60), n AS (SELECT *, CASE WHEN x - lag(x) OVER w > 11 OR lag(x) OVER w IS NULL THEN 1 ELSE 0 END AS f FROM l WINDOW w AS (PARTITION BY event_type ORDER BY x)),
+g AS (SELECT *, sum(f) OVER (PARTITION BY event_type ORDER BY x) AS run FROM n)
+SELECT event_type, min(x) AS "begin", max(x) AS "end", count(*) AS n FROM g GROUP BY event_type, run""")
+def gap_runs(spark, sf_dir):
+    return out(series.gap_runs(hours(spark, sf_dir), KEY, "frame", "energy < 60", 10), "event_type", "begin", "end", "n")
+
+
+@query("""WITH o AS (SELECT user_id, epoch_us(ts) AS us FROM events), n AS (SELECT *, CASE WHEN us - lag(us) OVER w > 21600000000 OR lag(us) OVER w IS NULL THEN 1 ELSE 0 END AS f FROM o WINDOW w AS (PARTITION BY user_id ORDER BY us)),
+g AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY us) AS run FROM n) SELECT user_id, min(us) AS "begin", count(*) AS n FROM g GROUP BY user_id, run""")
+def session_notes(spark, sf_dir):
+    """Session windows that six hours of silence close."""
+    grouped = table(spark, sf_dir, "events").groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count("*").alias("n"))
+    return out(grouped.withColumn("begin", F.unix_micros(F.col("w.start").cast("timestamp"))), "user_id", "begin", "n")
+
+
+@query("WITH k AS (SELECT s_suppkey, s_nationkey, s_suppkey % 11 = 0 AS drum, (row_number() OVER (PARTITION BY s_nationkey, s_suppkey % 11 = 0 ORDER BY s_suppkey) - 1) % 15 AS i FROM supplier) SELECT s_suppkey, s_nationkey::BIGINT AS s_nationkey, CASE WHEN drum THEN 9 WHEN i >= 9 THEN i + 1 ELSE i END AS channel FROM k")
+def channel_assign(spark, sf_dir):
+    return out(stems.channels(table(spark, sf_dir, "supplier"), ["s_nationkey"], "s_suppkey", F.col("s_suppkey") % 11 == 0), "s_suppkey", "s_nationkey", "channel")
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderkey - lag(o_orderkey, 1, 0) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS delta FROM orders")
+def delta_encode(spark, sf_dir):
+    w = series.by(["o_custkey"], "o_orderkey")
+    return out(table(spark, sf_dir, "orders").withColumn("delta", F.col("o_orderkey") - F.lag("o_orderkey", 1, 0).over(w)), "o_orderkey", "o_custkey", "delta")
+
+
+@query("SELECT o_custkey, o_orderkey, CAST(sum(o_orderkey % 100) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS tick FROM orders")
+def delta_decode(spark, sf_dir):
+    w = series.by(["o_custkey"], "o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
+    return out(table(spark, sf_dir, "orders").withColumn("tick", F.sum(F.col("o_orderkey") % 100).over(w)), "o_custkey", "o_orderkey", "tick")
+
+
+@query("""WITH v AS (SELECT o_orderkey, o_orderkey * 37 % 268435456 AS v FROM orders)
+SELECT o_orderkey, lower((CASE WHEN v >= 2097152 THEN printf('%02x', (v >> 21) & 127 | 128) ELSE '' END) || (CASE WHEN v >= 16384 THEN printf('%02x', (v >> 14) & 127 | 128) ELSE '' END) || (CASE WHEN v >= 128 THEN printf('%02x', (v >> 7) & 127 | 128) ELSE '' END) || printf('%02x', v & 127)) AS vlq FROM v""")
+def vlq_hex(spark, sf_dir):
+    return out(table(spark, sf_dir, "orders").withColumn("vlq", N.vlq_hex(F.col("o_orderkey") * 37 % 268435456)), "o_orderkey", "vlq")
+
+
+@query("WITH k AS (SELECT event_id, user_id, epoch_us(ts) // 86400000000 AS tick, CASE event_type WHEN 'signup' THEN 0 WHEN 'click' THEN 1 WHEN 'view' THEN 2 ELSE 3 END AS o FROM events) SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY tick, o, event_id) AS place FROM k")
+def event_order(spark, sf_dir):
+    """Program changes before ends before starts within a tick, then in the order given."""
+    rank = F.when(F.col("event_type") == "signup", 0).when(F.col("event_type") == "click", 1).when(F.col("event_type") == "view", 2).otherwise(3)
+    w = Window.partitionBy("user_id").orderBy(F.floor(F.col("us") / 86400000000), rank, "event_id")
+    return out(events(spark, sf_dir).withColumn("place", F.row_number().over(w)), "event_id", "user_id", "place")
+
+
+@query("SELECT i, round(i * 256 / 22050.0 - (i // 172) * (256 / 22050.0 * (172 - 43844 / 256.0) + 0.0018), 6) AS sec FROM (SELECT unnest(generate_series(0, 999)) AS i)")
+def frame_time(spark, sf_dir):
+    return out(spark.range(1000).select(F.col("id").alias("i"), N.frame_seconds(F.col("id")).alias("sec")), "i", "sec")
+
+
+@query("SELECT event_id, CAST(floor(value * 480 * (60 + event_id % 141) / 60 + 0.5) AS BIGINT) AS ticks, 60000000 // (60 + event_id % 141) AS micros FROM events")
+def ticks(spark, sf_dir):
+    bpm = 60 + F.col("event_id") % 141
+    return out(events(spark, sf_dir).select("event_id", N.ticks(F.col("value"), bpm).alias("ticks"), N.micros_per_quarter(bpm).alias("micros")), "event_id", "ticks", "micros")
+
+
+@query("SELECT source, CAST(quality AS BIGINT) AS quality, CAST(toxic AS BIGINT) AS toxic, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY 1, 2, 3")
+def label_confusion(spark, sf_dir):
+    joined = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    return out(joined.groupBy("source", "quality", "toxic").agg(F.count("*").alias("n")), "source", "quality", "toxic", "n")
