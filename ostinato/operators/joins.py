@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,7 +22,7 @@ def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, value
     return seen.select("_row.*", F.col("_found.v").alias(value))
 
 
-def tempo_ms(events: DataFrame, changes: DataFrame, keys: Sequence[str], division: int = 480, tick: str = "tick", micros: str = "micros", seq: str = "seq", start_micros: int = 500_000) -> DataFrame:
+def tempo_ms(events: DataFrame, changes: DataFrame, keys: Sequence[str], division: int | Column = 480, tick: str = "tick", micros: str = "micros", seq: str = "seq", start_micros: int = 500_000) -> DataFrame:
     """events with `ms`: whole milliseconds of each tick over the tempo changes of its keys (of changes at one tick the last holds)."""
     begin = events.select(*keys).distinct().select(*keys, F.lit(0).cast("long").alias(tick), F.lit(start_micros).cast("long").alias(micros), F.lit(-1).cast("long").alias(seq))
     every = begin.unionByName(changes.select(*keys, F.col(tick).cast("long"), F.col(micros).cast("long"), F.col(seq).cast("long")))
