@@ -13,7 +13,6 @@ of all blocks are joined, so neither side has to fit into memory.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, as_bytes, inner_text, slices, text_column
+from .common import ALNUM, as_bytes, inner_text, slices, text_column, written
 
 #: Words of test items in one broadcast block at most (an item alone may be longer).
 BLOCK_WORDS = 2_000_000
@@ -121,10 +120,6 @@ class TestSuffixes:
         return which, at[first + np.arange(len(which))]
 
 
-def _digest(names) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, names))).encode()).hexdigest()
-
-
 def _shard(batch: pa.RecordBatch, tests: TestSuffixes, text: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words per document, first word of each document in the shard, and suffix, document and place of each occurrence."""
     raw, at = as_bytes(batch.column(batch.schema.get_field_index("text")) if text is None else inner_text(batch, text))
@@ -141,6 +136,17 @@ def _shard(batch: pa.RecordBatch, tests: TestSuffixes, text: str | None = None)
     return counts, first, which, doc, place
 
 
+def joined(a: list[int], b: list[int]) -> list[int]:
+    """The runs of two lists of starts and ends, with those that overlap or touch as one."""
+    out: list[int] = []
+    for start, end in sorted([*zip(a[::2], a[1::2], strict=True), *zip(b[::2], b[1::2], strict=True)]):
+        if out and start <= out[-1]:
+            out[-1] = max(out[-1], end)
+        else:
+            out += [start, end]
+    return out
+
+
 def _scan(batches: Iterator[pa.RecordBatch], tests: TestSuffixes, text: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, text, inner=True):
@@ -158,6 +164,9 @@ def _scan(batches: Iterator[pa.RecordBatch], tests: TestSuffixes, text: str) ->
                 last = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(begin) - 1]])
                 spans[i] = np.stack([begin[new], end[last]], 1).ravel().tolist()
                 names[i] = sorted({str(tests.names[k]) for k in np.unique(tests.item[which[lo:hi]])})
+            if part.num_columns > 1:
+                for i, (old, known) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)):
+                    spans[i], names[i] = joined(old, spans[i]), sorted({*known, *names[i]})
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(counts), pa.array(spans, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))],
                 names=["row", "n_words", "hit_spans", "items"],
@@ -221,24 +230,14 @@ def hits(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     kept = [c for c in docs.columns if c not in ("n_words", "hit_spans", "items")]
     source = docs.select(F.struct(*[docs[c] for c in kept]).alias("row"))
-    shape = lambda first: f"{first}, n_words long, hit_spans array<long>, items array<string>"
-    row = source.schema["row"].dataType.simpleString()
-    found = [source.mapInArrow(lambda batches, s=spark.sparkContext.broadcast(b): _scan(batches, s.value, text_col), shape(f"row {row}")) for b in blocks(tests, item_col, item_text_col, window, block_words)]
-    if len(found) == 1:
-        return found[0].select("row.*", "n_words", "hit_spans", "items")
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    # rows that are equal in all columns have equal hits, so they may meet in one group and part again
-    merged = every.groupBy("row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_set("hit_spans")).alias("flat"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), (F.count("*") / len(found)).cast("int").alias("times"))
-    pairs = F.array_sort(F.transform(F.sequence(F.lit(0), F.size("flat") / 2 - 1), lambda k: F.struct(F.get("flat", (2 * k).cast("int")).alias("s"), F.get("flat", (2 * k + 1).cast("int")).alias("e"))))
-    merged = merged.withColumn("pairs", F.when(F.size("flat") > 0, pairs).otherwise(F.array().cast("array<struct<s:bigint,e:bigint>>")))
-    empty = F.array().cast("array<bigint>")
-    fold = F.aggregate(
-        "pairs", empty,
-        lambda acc, p: F.when((F.size(acc) > 0) & (F.element_at(acc, -1) >= p["s"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.greatest(F.element_at(acc, -1), p["e"])))).otherwise(F.concat(acc, F.array(p["s"], p["e"]))),
-    )
-    return merged.select("row.*", "n_words", fold.alias("hit_spans"), "items", F.explode(F.sequence(F.lit(1), "times")).alias("_copy")).drop("_copy")
+    shape = f"row {source.schema['row'].dataType.simpleString()}, n_words long, hit_spans array<long>, items array<string>"
+    found = None
+    for block in blocks(tests, item_col, item_text_col, window, block_words):
+        shared = spark.sparkContext.broadcast(block)
+        # each further block adds to the rows of the ones before, without a shuffle; written, so that a task holds one block
+        before = source if found is None else written(found)
+        found = before.mapInArrow(lambda batches, shared=shared: _scan(batches, shared.value, text_col), shape)
+    return found.select("row.*", "n_words", "hit_spans", "items")
 
 
 def n_hit(spans: str = "hit_spans"):
