@@ -176,9 +176,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits
     return prints.join(per_node, "fp").select("id", "fp", "component_id")
 
 
-def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """One document of each component, the one with the smallest id; of rows that repeat that id, one."""
-    keep = cut(groups(docs, id_col, text_col, **how).filter("id <=> component_id").select("id"))
+def survivors(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """One document of each component of `found` (id, component_id), the one with the smallest id; of rows that repeat that id, one."""
+    keep = cut(found.filter("id <=> component_id").select("id"))
     ids = keep.distinct()
     kept = docs.join(ids, docs[id_col].eqNullSafe(ids["id"]), "left_semi")
     if keep.groupBy("id").count().filter("count > 1").isEmpty():

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from ostinato.llm import components, packing, queries, simhash, substrings
+from ostinato.llm import components, nearcopies, packing, queries, simhash, substrings
 
 SF = "/root/testdata/sf0.001"
 
@@ -114,9 +114,9 @@ def test_simhash_equals_brute_force(spark, odd, none):
     assert got == {d: (prints[d], top(d)) for d in prints}
     small = {x.id: x.component_id for x in simhash.groups(df, list_rows=2).collect()}
     assert small == {d: c for d, (_, c) in got.items()}
-    assert {x.doc_id for x in simhash.survivors(df).collect()} == {c for _, c in got.values()}
+    assert {x.doc_id for x in simhash.survivors(df, simhash.groups(df)).collect()} == {c for _, c in got.values()}
     assert simhash.groups(odd).count() == odd.count() and simhash.groups(none).count() == 0
-    assert simhash.survivors(odd).columns == odd.columns and simhash.survivors(none).count() == 0
+    assert simhash.survivors(odd, simhash.groups(odd)).columns == odd.columns and simhash.survivors(none, simhash.groups(none)).count() == 0
 
 
 def test_links_hold_every_pair_within_three_bits(spark):
@@ -201,3 +201,24 @@ def test_dominance_fixes_no_worse_sets():
 def test_digest_of_what_is_kept(spark):
     df = spark.createDataFrame([(1, "abc"), (2, None)], "doc_id long, text string")
     assert {r.doc_id: r.kept_sha256 for r in substrings.report(df).collect()} == {1: hashlib.sha256(b"abc").hexdigest(), 2: hashlib.sha256(b"").hexdigest()}
+
+
+def test_near_copies_of_four_fifths(spark, odd, none):
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    rows, sets = [], {}
+    for k in range(60):
+        base = [word() for _ in range(r.randint(60, 300))]
+        for j, share in enumerate((0, 0.01, 0.03, 0.3)):
+            own = [w if r.random() >= share else word() for w in base]
+            rows.append((10 * k + j, " ".join(own).title()))
+            sets[10 * k + j] = {tuple(own[i : i + 5]) for i in range(len(own) - 4)}
+    found = {x.id: x.component_id for x in nearcopies.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    pairs = [(a, b, len(sets[a] & sets[b]) / len(sets[a] | sets[b])) for a in sets for b in sets if a < b and a // 10 == b // 10]
+    high, low = [p for p in pairs if p[2] >= 0.85], [p for p in pairs if p[2] < 0.5]
+    assert len(high) > 50 and sum(found[a] == found[b] for a, b, _ in high) >= 0.98 * len(high)
+    assert len(low) > 50 and not any(found[a] == found[b] for a, b, _ in low)
+    assert all(found[d] // 10 == d // 10 for d in found)
+    few = {x.id: x.component_id for x in nearcopies.groups(spark.createDataFrame(rows, "doc_id long, text string"), list_rows=2).collect()}
+    assert few == found
+    assert nearcopies.groups(odd).count() == odd.count() and nearcopies.groups(none).count() == 0
