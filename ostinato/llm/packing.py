@@ -46,9 +46,9 @@ class WordTokenizer:
     lives as long as the worker; only words not seen before reach the tokenizer.
     """
 
-    SLOTS = 1 << 21
+    SLOTS = 1 << 22
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 1_200_000):
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
@@ -64,7 +64,7 @@ class WordTokenizer:
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each word, or -1."""
-        found, slot = np.full(len(hashes), -1, np.int64), (hashes >> np.uint64(43)).astype(np.int64)
+        found, slot = np.full(len(hashes), -1, np.int64), (hashes >> np.uint64(42)).astype(np.int64)
         left = np.arange(len(hashes))
         while len(left):
             row = self.slots[slot[left]]
@@ -86,7 +86,7 @@ class WordTokenizer:
         self.ids[self.at[self.n] : end[-1]] = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
         self.at[self.n + 1 : n + 1] = end
         self.hashes[self.n : n] = hashes
-        slot, left = (hashes >> np.uint64(43)).astype(np.int64), np.arange(len(words))
+        slot, left = (hashes >> np.uint64(42)).astype(np.int64), np.arange(len(words))
         while len(left):
             _, first = np.unique(slot[left], return_index=True)  # one word for each free slot
             first = first[self.slots[slot[left[first]]] < 0]
