@@ -306,10 +306,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     # at most `capacity` rows, whatever the size of the corpus
     counts = {r.length: r.n for r in cutting.groupBy("length").agg(F.count("*").alias("n")).collect()}
     places = spark.sparkContext.broadcast(Places(plan(counts, capacity)))
-    salts = spark.sparkContext.broadcast({s: max(1, -(-n // group_rows)) for s, n in counts.items()}).value
-    parts = F.element_at(F.create_map(*[F.lit(x).cast("long") for s in sorted(salts) for x in (s, salts[s])]), F.col("length")) if salts else F.lit(1)
-    key = F.pmod(F.xxhash64("id", "piece", "ids_crc32"), parts).alias("salt")
-    salted = cutting.select("*", key)
+    # a row per length
+    parts = spark.createDataFrame([(s, max(1, -(-n // group_rows))) for s, n in counts.items()], "length long, parts long")
+    salted = cutting.join(F.broadcast(parts), "length").withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.col("parts")))
     sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.select("length", "salt", before.alias("before"))
