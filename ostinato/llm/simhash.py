@@ -176,14 +176,25 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits
     return prints.join(per_node, "fp").select("id", "fp", "component_id")
 
 
-def survivors(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One document of each component of `found` (id, component_id), the one with the smallest id; of rows that repeat that id, one."""
+def row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """What tells rows apart where ids may be null or repeated: ordered by id, null ids last, then by a digest of the text."""
+    return F.struct(docs[id_col].isNull().alias("none"), docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("digest"))
+
+
+def survivors(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", by_row: bool = False) -> DataFrame:
+    """One document of each component of `found` (id, component_id), the one with the smallest id.
+
+    Without `by_row` ids name documents: of rows that repeat an id, one stays.  With it `found` is
+    about row keys (`row_key`): rows with a null or repeated id and different texts are different
+    documents, and only those with the same id and text are one.
+    """
     keep = cut(found.filter("id <=> component_id").select("id"))
+    own = row_key(docs, id_col, text_col) if by_row else docs[id_col]
     ids = keep.distinct()
-    kept = docs.join(ids, docs[id_col].eqNullSafe(ids["id"]), "left_semi")
+    kept = docs.join(ids, own == ids["id"] if by_row else own.eqNullSafe(ids["id"]), "left_semi")
     if keep.groupBy("id").count().filter("count > 1").isEmpty():
         return kept
-    return kept.dropDuplicates([id_col])
+    return kept.dropDuplicates([id_col, text_col] if by_row else [id_col])
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -222,3 +222,16 @@ def test_near_copies_of_four_fifths(spark, odd, none):
     few = {x.id: x.component_id for x in nearcopies.groups(spark.createDataFrame(rows, "doc_id long, text string"), list_rows=2).collect()}
     assert few == found
     assert nearcopies.groups(odd).count() == odd.count() and nearcopies.groups(none).count() == 0
+
+
+def test_near_copies_with_null_and_repeated_ids(spark):
+    r = random.Random(12)
+    long = [" ".join(f"w{r.randrange(10**6)}" for _ in range(300)) for _ in range(5)]
+    near = long[0] + " end"
+    rows = [(None, long[0]), (None, long[1]), (None, near), (7, long[2]), (7, long[3]), (9, long[2] + " end"), (3, long[4]), (3, long[4]), (11, None), (None, ""), (None, long[4])]
+    got = nearcopies.clean(spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, id string"))
+    assert got.columns == ["doc_id", "text", "id"]
+    found = [(x.doc_id, x.text) for x in got.collect()]
+    assert len(found) == 6 and len(set(found)) == 6
+    assert {(None, long[1]), (7, long[2]), (7, long[3]), (3, long[4]), (11, None)} <= set(found)
+    assert len({(None, long[0]), (None, near)} & set(found)) == 1
