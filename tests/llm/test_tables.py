@@ -235,3 +235,27 @@ def test_near_copies_with_null_and_repeated_ids(spark):
     assert len(found) == 6 and len(set(found)) == 6
     assert {(None, long[1]), (7, long[2]), (7, long[3]), (3, long[4]), (11, None)} <= set(found)
     assert len({(None, long[0]), (None, near)} & set(found)) == 1
+
+
+def edited(r, kind, similarity, n=200):
+    """A text and its copy with one edited stretch, whose shingle sets are about that similar."""
+    word = lambda: f"w{r.randrange(10**6)}"
+    base, m = [word() for _ in range(n)], n - 4
+    if kind == "appended":
+        return base, base + [word() for _ in range(int(m / similarity) - m)]
+    lost = int(m - 2 * m * similarity / (1 + similarity))  # a stretch of k words is in k + 4 shingles
+    return base, base[:60] + [word() for _ in range(lost - 4)] + base[60 + lost - 4 :]
+
+
+def jaccard(a, b):
+    a, b = ({tuple(x[i : i + 5]) for i in range(max(1, len(x) - 4))} for x in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_index_of_near_copies_has_all_pairs(spark):
+    r = random.Random(21)
+    pairs = [edited(r, kind, s) for kind in ("replaced", "appended") for s in (0.8, 0.82, 0.85) for _ in range(20)]
+    assert all(0.8 <= jaccard(*p) < 0.87 for p in pairs)
+    docs = spark.createDataFrame([(2 * k + j, " ".join(t)) for k, p in enumerate(pairs) for j, t in enumerate(p)], "doc_id long, text string")
+    lists = {x.id: set(x.lists) for x in nearcopies.prints(docs, "doc_id", "text").collect()}
+    assert all(lists[2 * k] & lists[2 * k + 1] for k in range(len(pairs)))
