@@ -259,3 +259,25 @@ def test_index_of_near_copies_has_all_pairs(spark):
     docs = spark.createDataFrame([(2 * k + j, " ".join(t)) for k, p in enumerate(pairs) for j, t in enumerate(p)], "doc_id long, text string")
     lists = {x.id: set(x.lists) for x in nearcopies.prints(docs, "doc_id", "text").collect()}
     assert all(lists[2 * k] & lists[2 * k + 1] for k in range(len(pairs)))
+
+
+def test_near_copies_are_those_of_exact_sets(spark):
+    r = random.Random(22)
+    word = lambda: f"w{r.randrange(10**6)}"
+    line, texts = [f"l{k}" for k in range(12)], []
+    for k in range(60):  # a footer makes no near copies
+        texts.append(line * 10 + [word() for _ in range(60)])
+        texts += edited(r, ("replaced", "appended")[k % 2], (0.74, 0.78, 0.81, 0.85)[k // 2 % 4])
+    for k in range(20):  # small sets, whose bits tell little
+        texts.append([word() for _ in range(k)])
+        texts += [texts[-1] + [word()], texts[-1] + [word(), word()]]
+    n = len(texts)
+    label = list(range(n))
+    for a in range(n):
+        for b in range(a):
+            if set(texts[a]) & set(texts[b]) and jaccard(texts[a], texts[b]) >= 0.8 or not texts[a] + texts[b]:
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    docs = spark.createDataFrame(list(enumerate(map(" ".join, texts))), "doc_id long, text string")
+    got = {x.id: x.component_id for x in nearcopies.groups(docs).collect()}
+    assert [got[k] for k in range(n)] == label
