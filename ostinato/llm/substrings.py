@@ -32,6 +32,8 @@ from .common import Rolling, as_bytes, slices, text_column, written
 MOST_STRETCHES = 2000
 #: Anchors with more stretches than that are at most so many; the limit above rises to keep to it.
 MOST_HOT = 500_000
+#: Places that a task remembers so as not to send them again for repeated rows.
+MOST_SEEN = 500_000
 #: Bits of the tables that tell which anchors a second look is worth; more rows only make it less choosy.
 TABLE_BITS = 27
 _BLOCK_BITS = 18
@@ -106,7 +108,7 @@ def in_table(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def occurrence(id_hash: np.ndarray, packed: np.ndarray) -> np.ndarray:
-    """A name for a place in a text; equal for repeated rows."""
+    """A name for a place in a row; equal only for rows with the same id and text."""
     x = (id_hash.view(np.uint64) * _MIX) ^ (packed.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
     x ^= x >> np.uint64(31)
     x *= np.uint64(0x165667B19E3779F9)
@@ -121,7 +123,7 @@ def _first(source: DataFrame, length: int, seed: int) -> DataFrame:
         for batch in batches:
             for part, raw, at, lo in parts_of(batch, length):
                 row, start, n, offset, anchor, whole = stretches(raw, at, length, seed, rolling)
-                key = part.column(1).to_numpy()[row]
+                key = part.column(part.schema.get_field_index("row")).to_numpy()[row]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor.view(np.int64), whole.view(np.int64), occurrence(key, pack(start + lo, n, offset)))], names=["anchor", "whole", "place"])
 
     return source.mapInArrow(run, "anchor long, whole long, place long")
@@ -133,7 +135,7 @@ def _second(source: DataFrame, length: int, seed: int, again, look, hot) -> Data
     names = ["id", "key", "packed", "anchor", "whole", "bytes", "window"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling, no = Rolling(), lambda n, t: pa.nulls(n, t)
+        rolling, no, seen = Rolling(), lambda n, t: pa.nulls(n, t), set()
         for batch in batches:
             for part, raw, at, lo in parts_of(batch, length):
                 row, start, n, offset, anchor, whole = stretches(raw, at, length, seed, rolling)
@@ -153,7 +155,17 @@ def _second(source: DataFrame, length: int, seed: int, again, look, hot) -> Data
 
                 full = np.flatnonzero(in_table(again.value, whole ^ anchor))
                 yield rows(full, packed[full], whole_=whole[full])
-                few = np.flatnonzero(in_table(look.value, occurrence(key[row], packed)))
+                places = occurrence(part.column(part.schema.get_field_index("row")).to_numpy()[row], packed)
+                few = np.flatnonzero(in_table(look.value, places))
+                # rows that repeat id and text have the same places; one of them is enough
+                first = []
+                for i, place in zip(few.tolist(), places[few].tolist(), strict=True):
+                    if place not in seen:
+                        seen.add(place)
+                        first.append(i)
+                few = np.array(first, np.int64)
+                if len(seen) > MOST_SEEN:
+                    seen.clear()
                 many = np.isin(anchor[few], hot.value)
                 cold, spread = few[~many], few[many]
                 flat, begin = raw.tobytes(), start + at[row]
@@ -276,7 +288,8 @@ def merge(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
 def _marked(docs: DataFrame, id_col: str, text_col: str, length: int, seed: int) -> DataFrame:
     """(id, packed text, spans) of every row; each row meets the ranges of its id and text."""
     source = docs.select(docs[id_col].alias("id"), text_column(docs, text_col))
-    source = source.select("id", F.xxhash64("text").alias("key"), "text")
+    key = F.xxhash64("text")
+    source = source.select("id", key.alias("key"), "text", F.xxhash64("id", key).alias("row"))
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(1)

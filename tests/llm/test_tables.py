@@ -281,3 +281,22 @@ def test_near_copies_are_those_of_exact_sets(spark):
     docs = spark.createDataFrame(list(enumerate(map(" ".join, texts))), "doc_id long, text string")
     got = {x.id: x.component_id for x in nearcopies.groups(docs).collect()}
     assert [got[k] for k in range(n)] == label
+
+
+def test_one_copy_of_a_stretch_is_compared(spark, monkeypatch):
+    r = random.Random(23)
+    text = " ".join(f"w{r.randrange(10**6)}" for _ in range(120))
+    near = text[:400] + "#" + text[401:]
+    sent, third = [], substrings._third
+
+    def counted(cold, length, seed):
+        sent.append(cold.groupBy("anchor", "bytes").count().agg(F.max("count")).first()[0])
+        return third(cold, length, seed)
+
+    monkeypatch.setattr(substrings, "_third", counted)
+    want = [len(kept) for kept, _ in brute([t.encode() for t in (text, text, near)], 200)]
+    for ids in (range(200), [None] * 200):
+        rows = [(k, text) for k in ids] + [(1000, near)]
+        got = [(r.n_bytes, len(r.kept)) for r in substrings.removed(spark.createDataFrame(rows, "doc_id long, text string").coalesce(2), "doc_id", "text").collect()]
+        assert sorted(k for _, k in got) == sorted([want[0]] * 200 + [want[2]])
+    assert max(sent) <= 2  # one for each task
