@@ -128,7 +128,7 @@ def zero_crossing(df: DataFrame, keys: Sequence[str], order: str, value: str) ->
 def one_pole(df: DataFrame, keys: Sequence[str], order: str, value: str, alpha: float) -> DataFrame:
     """(keys, order, smooth): y += alpha * (x - y) from y = 0, a fold over each series.
 
-    A series is one array in one task; long signals come in chunks of bounded length (see signal.one_pole).
+    A series is one array in one task, and there is no chunked form: time grows with the square of its length.
     """
     pair = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("x")))).alias("_s"))
     start = F.struct(F.lit(0.0).alias("y"), F.array().cast("array<double>").alias("all"))
