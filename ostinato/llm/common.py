@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -137,6 +138,56 @@ class Rolling:
         return x ^ (x >> np.uint64(32))
 
 
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+
+
+def padded(raw: np.ndarray, most: int) -> np.ndarray:
+    """The bytes with zeros behind them, so that `most` bytes can be read from any of them."""
+    return np.concatenate([raw, np.zeros(most + 8, np.uint8)])
+
+
+def eight(lower: np.ndarray, start: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Up to eight bytes from each start as a number; `left` bytes count, none if it is negative."""
+    every = np.ndarray(len(lower) - 7, "<u8", lower.data, strides=(1,))
+    return every[start] & _MASKS[np.clip(left, 0, 8)]
+
+
+def exact_words(lower: np.ndarray, start: np.ndarray, end: np.ndarray, most: int) -> np.ndarray:
+    """A row of numbers for each stretch of up to `most` bytes of `padded` ones: all its bytes and its length."""
+    out = np.empty((len(start), most // 8 + 1), np.uint64)
+    for k in range(most // 8):
+        out[:, k] = eight(lower, start + 8 * k, end - start - 8 * k)
+    out[:, -1] = end - start
+    return out
+
+
+def _stir(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return x ^ (x >> np.uint64(32))
+
+
+def mixed(words: np.ndarray, seed: int = 0x9E3779B97F4A7C15) -> np.ndarray:
+    """A 64-bit hash of each row of numbers, stirred after each of them."""
+    h = np.full(len(words), seed, np.uint64)
+    for k in range(words.shape[1] - 1, -1, -1):
+        own = words[:, k]
+        busy = slice(None) if k == words.shape[1] - 1 else np.flatnonzero(own)  # most rows are short
+        h[busy] = _stir(h[busy] ^ (own[busy] * np.uint64(0x165667B19E3779F9 + 2 * k)))
+    return h
+
+
+def word_hashes(text: np.ndarray, start: np.ndarray, end: np.ndarray, most: int = 32) -> np.ndarray:
+    """64-bit hashes of words, all bytes of each stirred in turn; those of more than `most` bytes by xxhash."""
+    out, n = np.empty(len(start), np.uint64), end - start
+    short, long = np.flatnonzero(n <= most), np.flatnonzero(n > most)
+    out[short] = mixed(exact_words(padded(text, most), start[short], end[short], most))
+    if len(long):
+        flat = text.tobytes()
+        out[long] = [xxhash.xxh3_64_intdigest(flat[a:b], 17) for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)]
+    return out
+
+
 def word_bounds(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of each word; words stand between spaces and never cross rows (at: the rows' bounds)."""
     inside = np.zeros(len(text) + 2, bool)

@@ -300,3 +300,46 @@ def test_one_copy_of_a_stretch_is_compared(spark, monkeypatch):
         got = [(r.n_bytes, len(r.kept)) for r in substrings.removed(spark.createDataFrame(rows, "doc_id long, text string").coalesce(2), "doc_id", "text").collect()]
         assert sorted(k for _, k in got) == sorted([want[0]] * 200 + [want[2]])
     assert max(sent) <= 2  # one for each task
+
+
+def test_ids_of_words_that_polynomial_hashes_confuse():
+    """The first 1024 letters of the Thue-Morse word and their complement have equal sums modulo 2**64 for any odd base."""
+    from ostinato.llm.common import as_bytes
+
+    import pyarrow as pa
+
+    one = "a"
+    while len(one) < 1024:
+        one += one.translate(str.maketrans("ab", "ba"))
+    two = one.translate(str.maketrans("ab", "ba"))
+    cut = packing.WordTokenizer.LONG
+    pairs = [(one, two), (one[:cut], two[:cut]), (one[: cut + 1], two[: cut + 1]), (one[:8], two[:8]), ("a\0", "a"), ("é" * 40, "è" * 40)]
+    words = packing.WordTokenizer(packing.vocabulary(), limit=9)  # forgets all now and then
+    want = lambda t: words.inner.encode(t, add_special_tokens=False).ids
+    for _ in range(2):
+        for a, b in pairs:
+            for texts in ([f"{a} x {b}", b], [b], [a, f"{b}\n{a.upper()}"]):
+                assert [x.tolist() for x in words.texts(*as_bytes(pa.array(texts)))] == [want(t) for t in texts]
+
+
+def test_sets_that_clash_are_told_apart(spark, monkeypatch):
+    """Nodes are sums of 64-bit hashes; here all sets have one of three nodes, and the twins tell them apart."""
+    r = random.Random(31)
+    base = [[f"w{r.randrange(10**6)}" for _ in range(80)] for _ in range(9)]
+    texts = [" ".join(x) for x in base] + [" ".join([*x[:-1], "end"]) for x in base] + [" ".join(base[0])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {x.id: x.component_id for x in nearcopies.groups(docs).collect()}
+    plain = nearcopies.prints
+
+    def clash(*args):
+        found = plain(*args)
+        return found.withColumn("node", F.pmod("node", F.lit(3)))
+
+    sets = nearcopies.sets
+    monkeypatch.setattr(nearcopies, "prints", clash)
+    monkeypatch.setattr(nearcopies, "sets", lambda *args: sets(*args).withColumn("node", F.pmod("node", F.lit(3))))
+    found = clash(docs, "doc_id", "text")
+    assert found.select("node").distinct().count() == 3
+    assert nearcopies.told_apart(found, nearcopies.clashes(found)).select("node").distinct().count() == 18
+    assert want == {k: k % 9 for k in range(18)} | {18: 0}
+    assert {x.id: x.component_id for x in nearcopies.groups(docs).collect()} == want
