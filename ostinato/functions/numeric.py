@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 # fixed values: ticks per quarter note, note-activation frame rate, hop, window and frames per window
 TICKS_PER_QUARTER = 480
 SAMPLE_RATE, HOP, WINDOW_SAMPLES, WINDOW_FRAMES = 22050, 256, 43844, 172
+# fixed values: frames at both ends of a window that aren't used, samples between windows, zeros before the first, whole frames a second
+EDGE_FRAMES = 15
+WINDOW_HOP, WINDOW_LEAD, FRAMES_A_SECOND = WINDOW_SAMPLES - 2 * EDGE_FRAMES * HOP, EDGE_FRAMES * HOP, SAMPLE_RATE // HOP
 WINDOW_SHIFT = HOP / SAMPLE_RATE * (WINDOW_FRAMES - WINDOW_SAMPLES / HOP) + 0.0018
 
 
@@ -29,6 +32,11 @@ def frame_seconds(frame: Column) -> Column:
     return frame * HOP / SAMPLE_RATE - F.floor(frame / WINDOW_FRAMES) * WINDOW_SHIFT
 
 
+def frames_of(samples: Column, rate: int = SAMPLE_RATE) -> Column:
+    """Whole note-activation frames of so many samples."""
+    return F.floor(samples * FRAMES_A_SECOND / rate).cast("long")
+
+
 def tempo_weight(bpm: Column, centre: float = 120.0, octaves: float = 0.7) -> Column:
     """A bell over the logarithm of the tempo."""
     return F.exp(-F.pow(F.log2(bpm / centre), 2) / (2 * octaves * octaves))

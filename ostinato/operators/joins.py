@@ -49,12 +49,41 @@ def state_at(df: DataFrame, keys: Sequence[str], at: str, until) -> DataFrame:
     return latest.select(*keys, "_row.*")
 
 
-def in_regions(points: DataFrame, regions: DataFrame, x: str, low: str, high: str, width: int) -> DataFrame:
-    """Every point with every region whose range [low, high] holds it.
+def in_regions(points: DataFrame, regions: DataFrame, x: str, low: str, high: str, width: int, also: tuple[str, str, str] | None = None) -> DataFrame:
+    """Every point with every region whose range [low, high] holds its x (and whose second range holds its y: also = (y, low, high)).
 
     Regions are dealt to all cells of `width` that they touch and points to their own, so the join
     hashes on the cell instead of comparing all pairs.
     """
     cell = lambda c: F.floor(F.col(c) / width).cast("long")
     spread = regions.withColumn("_cell", F.explode(F.sequence(cell(low), cell(high))))
-    return points.withColumn("_cell", cell(x)).join(spread, "_cell").filter(F.col(x).between(F.col(low), F.col(high))).drop("_cell")
+    met = points.withColumn("_cell", cell(x)).join(spread, "_cell").filter(F.col(x).between(F.col(low), F.col(high))).drop("_cell")
+    return met.filter(F.col(also[0]).between(F.col(also[1]), F.col(also[2]))) if also else met
+
+
+def peak_between(spans: DataFrame, points: DataFrame, keys: Sequence[str], begin: str, end: str, at: str, value: str, width: int) -> DataFrame:
+    """spans with `peak`: the largest absolute value of the points of their keys in [begin, end), 0 for none.
+
+    Time is cut into cells of `width`.  Cells that a span covers whole give it one number each, and
+    only at its two ends it meets points, so long spans cost cells and not points.
+    """
+    own = [*keys, begin, end]
+    cell = lambda c: F.floor(c / width).cast("long")
+    placed = points.select(*keys, F.col(at).alias("_at"), F.abs(value).cast("double").alias("_v"), cell(F.col(at)).alias("_cell"))
+    tops = placed.groupBy(*keys, "_cell").agg(F.max("_v").alias("_v"))
+    wanted = spans.select(*own).distinct().filter(F.col(end) > F.col(begin)).withColumn("_cell", F.explode(F.sequence(cell(F.col(begin)), cell(F.col(end) - 1))))
+    covered = (F.col("_cell") * width >= F.col(begin)) & ((F.col("_cell") + 1) * width <= F.col(end))
+    inner = wanted.filter(covered).join(tops, [*keys, "_cell"]).select(*own, "_v")
+    edges = wanted.filter(~covered).join(placed, [*keys, "_cell"]).filter((F.col("_at") >= F.col(begin)) & (F.col("_at") < F.col(end))).select(*own, "_v")
+    found = inner.unionByName(edges).groupBy(*own).agg(F.max("_v").alias("_peak"))
+    return spans.join(found, own, "left").withColumn("peak", F.coalesce("_peak", F.lit(0.0))).drop("_peak")
+
+
+def sounding(events: DataFrame, channel: Sequence[str], note: str, at: Sequence[str], on: Column) -> DataFrame:
+    """events with `sounding`: how many different notes of the channel sound after each event.
+
+    It is a set: a start of a sounding note and an end of a silent one change nothing.
+    """
+    before = F.coalesce(F.lag(on.cast("int")).over(Window.partitionBy(*channel, note).orderBy(*at)), F.lit(0))
+    steps = events.withColumn("_step", on.cast("int") - before)
+    return steps.withColumn("sounding", F.sum("_step").over(Window.partitionBy(*channel).orderBy(*at).rowsBetween(Window.unboundedPreceding, 0))).drop("_step")

@@ -7,10 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clip, half_up, tempo_weight
+from .scan import ordered
 
 
 def by(keys: Sequence[str], order: str):
@@ -36,8 +38,8 @@ def flux(df: DataFrame, keys: Sequence[str], order: str, value: str = "energy")
 
 def threshold(df: DataFrame, keys: Sequence[str], value: str = "flux", spread: float = 1.5) -> DataFrame:
     """The mean plus `spread` population deviations of each series, beside its rows."""
-    level = df.groupBy(*keys).agg((F.avg(value) + spread * F.stddev_pop(value)).alias("threshold"))
-    return df.join(level, list(keys))
+    w = Window.partitionBy(*keys)
+    return df.withColumn("threshold", F.avg(value).over(w) + spread * F.stddev_pop(value).over(w))
 
 
 def peaks(df: DataFrame, keys: Sequence[str], order: str, value: str = "flux", over: str = "threshold") -> DataFrame:
@@ -57,16 +59,21 @@ def strict_peaks(df: DataFrame, keys: Sequence[str], order: str, value: str) ->
 def spacing(df: DataFrame, keys: Sequence[str], x: str, gap: int) -> DataFrame:
     """(keys, x) of the values that stand at least `gap` after the last one kept; repeated values count once.
 
-    Where a value stands `gap` after its neighbour it is kept whatever came before, so the series
-    falls into short islands there, and only these are folded in order.
+    What is kept depends on what was kept before, so each series is folded in order, from one kept
+    value to the next; only the last one is carried from batch to batch.
     """
-    w = by(keys, x)
-    own = df.select(*keys, x).distinct()
-    far = F.coalesce((F.col(x) - F.lag(x).over(w) >= gap).cast("int"), F.lit(1))
-    islands = own.withColumn("_far", far).withColumn("_island", F.sum("_far").over(w)).groupBy(*keys, "_island").agg(F.array_sort(F.collect_list(x)).alias("_x"))
-    kind = f"array<{df.schema[x].dataType.simpleString()}>"
-    fold = F.aggregate("_x", F.array().cast(kind), lambda kept, v: F.when((F.size(kept) == 0) | (v - F.element_at(kept, -1) >= gap), F.concat(kept, F.array(v))).otherwise(kept))
-    return islands.select(*keys, F.explode(fold).alias(x))
+
+    def each(last, columns: list[np.ndarray]) -> tuple[object, np.ndarray, list[np.ndarray]]:
+        own, kept = columns[0], []
+        at = 0 if last is None else int(np.searchsorted(own, last + gap))
+        while at < len(own):
+            kept.append(at)
+            at = max(at + 1, int(np.searchsorted(own, own[at] + gap)))
+        rows = np.array(kept, np.int64)
+        return (own[rows[-1]] if len(rows) else last), rows, [own[rows]]
+
+    own = df.filter(F.col(x).isNotNull()).select(*keys, x)
+    return ordered(own, keys, [x], [x], f"{x} {df.schema[x].dataType.simpleString()}", each)
 
 
 def merge_onsets(a: DataFrame, b: DataFrame, keys: Sequence[str], x: str, gap: int) -> DataFrame:
@@ -79,19 +86,21 @@ def inferred_onsets(df: DataFrame, keys: Sequence[str], order: str, onset: str,
     w = by(keys, order)
     rise = F.greatest(F.lit(0.0), F.least(F.col(value) - F.lag(value, 1).over(w), F.col(value) - F.lag(value, 2).over(w)))
     risen = df.withColumn("rise", F.when(F.lag(value, 2).over(w).isNotNull(), rise).otherwise(0.0))
-    top = risen.groupBy(*keys).agg(F.max(onset).alias("_top"), F.max("rise").alias("_most"))
+    every = Window.partitionBy(*keys)  # the same partitions, so nothing is shuffled again
+    risen = risen.withColumn("_top", F.max(onset).over(every)).withColumn("_most", F.max("rise").over(every))
     scaled = F.when(F.col("_most") > 0, F.col("rise") * F.col("_top") / F.col("_most")).otherwise(0.0)
-    return risen.join(top, list(keys)).withColumn("inferred", F.greatest(F.col(onset), scaled)).drop("_top", "_most")
+    return risen.withColumn("inferred", F.greatest(F.col(onset), scaled)).drop("_top", "_most")
 
 
 def autocorrelation(df: DataFrame, keys: Sequence[str], order: str, value: str, low: int, high: int) -> DataFrame:
     """(keys, lag, score): sums of products of rows `lag` apart, for each lag from low to high.
 
-    Each row meets a bounded number of others in a hash join on its place plus the lag.
+    Each row sees the bounded number of rows from `low` to `high` ahead of it in one window, and
+    products are summed by lag before they are shuffled.
     """
-    ahead = df.select(*keys, F.col(value).alias("_a"), F.explode(F.sequence(F.lit(low), F.lit(high))).alias("lag"), F.col(order).alias("_f")).withColumn("_to", F.col("_f") + F.col("lag"))
-    other = df.select(*keys, F.col(order).alias("_to"), F.col(value).alias("_b"))
-    return ahead.join(other, [*keys, "_to"]).groupBy(*keys, "lag").agg(F.sum(F.col("_a") * F.col("_b")).alias("score"))
+    ahead = F.collect_list(F.struct(F.col(order).alias("f"), F.col(value).alias("v"))).over(by(keys, order).rangeBetween(low, high))
+    met = df.select(*keys, order, value).withColumn("_ahead", ahead).select(*keys, F.col(order).alias("_f"), F.col(value).alias("_a"), F.explode("_ahead").alias("_b"))
+    return met.groupBy(*keys, (F.col("_b.f") - F.col("_f")).cast("int").alias("lag")).agg(F.sum(F.col("_a") * F.col("_b.v")).alias("score"))
 
 
 def tempo(df: DataFrame, keys: Sequence[str], order: str, value: str = "flux", rate: float = 86.1328125, least: float = 60.0, most: float = 200.0, default: int = 120) -> DataFrame:
@@ -103,14 +112,14 @@ def tempo(df: DataFrame, keys: Sequence[str], order: str, value: str = "flux", r
     """
     low, high = int(rate * 60 / most), int(rate * 60 / least)
     sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.sum(value).alias("_sum"))
-    raw = autocorrelation(df, keys, order, value, low, high).withColumn("biased", F.col("score") * tempo_weight(F.lit(60.0 * rate) / F.col("lag")))
-    first = raw.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("biased"), "lag"))).filter("_k = 1").select(*keys, F.col("lag").alias("_best"), F.col("score").alias("_top"))
-    short = raw.select(*keys, F.col("lag").cast("long").alias("_short"), F.col("score").alias("_short_score"))
-    picked = first.withColumn("_short", half_up(F.col("_best") / 1.5)).join(short, [*keys, "_short"], "left")
-    picked = picked.select(*keys, F.when(F.coalesce(F.col("_short_score") >= 0.6 * F.col("_top"), F.lit(False)), F.col("_short")).otherwise(F.col("_best")).cast("int").alias("best_lag"))
-    near = raw.select(*keys, "lag", "biased").join(picked, list(keys)).filter(F.abs(F.col("lag") - F.col("best_lag")) <= 1)
-    at = lambda step: F.coalesce(F.max(F.when(F.col("lag") == F.col("best_lag") + step, F.col("biased"))), F.lit(0.0))
-    near = near.groupBy(*keys, "best_lag").agg(at(-1).alias("_a"), at(0).alias("_b"), at(1).alias("_c"))
+    biased = F.col("score") * tempo_weight(F.lit(60.0 * rate) / F.col("lag"))
+    # a row of a series has at most high - low + 1 lags
+    lags = autocorrelation(df, keys, order, value, low, high).groupBy(*keys).agg(F.collect_list(F.struct(biased.alias("biased"), (-F.col("lag")).alias("back"), "lag", "score")).alias("_lags"))
+    one = lambda name, lag: F.get(F.transform(F.filter("_lags", lambda x: x["lag"] == lag), lambda x: x[name]), F.lit(0))
+    top = lags.withColumn("_top", F.array_max("_lags"))
+    short = half_up(F.col("_top.lag") / 1.5)
+    picked = top.withColumn("best_lag", F.when(F.coalesce(one("score", short) >= 0.6 * F.col("_top.score"), F.lit(False)), short).otherwise(F.col("_top.lag")).cast("int"))
+    near = picked.select(*keys, "best_lag", *[F.coalesce(one("biased", F.col("best_lag") + step), F.lit(0.0)).alias(name) for step, name in ((-1, "_a"), (0, "_b"), (1, "_c"))])
     bend = F.col("_a") - 2 * F.col("_b") + F.col("_c")
     shift = F.when((F.col("best_lag") > 1) & (bend != 0), 0.5 * (F.col("_a") - F.col("_c")) / bend).otherwise(0.0)
     found = near.select(*keys, "best_lag", half_up(clip(F.lit(60.0 * rate) / (F.col("best_lag") + shift), least, most)).cast("int").alias("_bpm"))
@@ -125,21 +134,26 @@ def zero_crossing(df: DataFrame, keys: Sequence[str], order: str, value: str) ->
     return steps.groupBy(*keys).agg(F.when(F.count("*") > 1, F.count_if("_turn") / (F.count("*") - 1)).otherwise(0.0).alias("zcr"))
 
 
-def one_pole(df: DataFrame, keys: Sequence[str], order: str, value: str, alpha: float) -> DataFrame:
-    """(keys, order, smooth): y += alpha * (x - y) from y = 0, a fold over each series.
+def one_pole(df: DataFrame, keys: Sequence[str], order: str, value: str, alpha: float, block: int = 128) -> DataFrame:
+    """(keys, order, smooth): y += alpha * (x - y) from y = 0, in order.
 
-    A series is one array in one task, and there is no chunked form: time grows with the square of its length.
+    A series passes through one task in batches, and only its last y is carried on.  Inside a block
+    all y are one product with the weights of what came before, so time grows with the length.
     """
-    pair = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("x")))).alias("_s"))
-    start = F.struct(F.lit(0.0).alias("y"), F.array().cast("array<double>").alias("all"))
-
-    def step(a: Column, v: Column) -> Column:
-        y = a["y"] + alpha * (v["x"] - a["y"])
-        return F.struct(y.alias("y"), F.concat(a["all"], F.array(y)).alias("all"))
-
-    smooth = F.aggregate("_s", start, step, lambda a: a["all"])
-    zipped = pair.select(*keys, F.explode(F.arrays_zip(F.col("_s.o").alias("o"), smooth.alias("y"))).alias("z"))
-    return zipped.select(*keys, F.col("z.o").alias(order), F.col("z.y").alias("smooth"))
+    steps = np.arange(block)
+    decay = (1 - alpha) ** (steps + 1)
+    weights = np.tril(alpha * (1 - alpha) ** np.maximum(steps[:, None] - steps[None, :], 0))
+
+    def each(y, columns: list[np.ndarray]) -> tuple[object, np.ndarray, list[np.ndarray]]:
+        own, x = columns[0], columns[1].astype(np.float64)
+        smooth, y = np.empty(len(x)), 0.0 if y is None else y
+        for at in range(0, len(x), block):
+            n = min(block, len(x) - at)
+            smooth[at : at + n] = weights[:n, :n] @ x[at : at + n] + decay[:n] * y
+            y = float(smooth[at + n - 1])
+        return y, np.arange(len(x)), [own, smooth]
+
+    return ordered(df.select(*keys, order, F.col(value).cast("double").alias("_x")), keys, [order], [order, "_x"], f"{order} {df.schema[order].dataType.simpleString()}, smooth double", each)
 
 
 def resample(df: DataFrame, keys: Sequence[str], index: str, value: str, source: int, target: int) -> DataFrame:

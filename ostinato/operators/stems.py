@@ -62,6 +62,23 @@ def overridden(stems: DataFrame, programs: DataFrame, label: str = "label") -> D
     return stems.join(programs, label, "left").withColumn("program", F.coalesce("override", "program")).drop("override")
 
 
+def zipped(df: DataFrame, keys: Sequence[str], labels: str, programs: str) -> DataFrame:
+    """(keys, label, override) from a list of labels and one of programs, by place: the shorter ends both, and the last of equal labels holds."""
+    n = F.least(F.size(labels), F.size(programs))
+    pairs = df.filter(n > 0).select(*keys, F.posexplode(F.arrays_zip(F.slice(labels, F.lit(1), n).alias("label"), F.slice(programs, F.lit(1), n).alias("override"))).alias("_k", "_p"))
+    return pairs.groupBy(*keys, F.col("_p.label").alias("label")).agg(F.max_by("_p.override", "_k").alias("override"))
+
+
+def with_label(labels: Column, label: Column) -> Column:
+    """A set of labels and one more."""
+    return F.array_union(labels, F.array(label))
+
+
+def without_label(labels: Column, label: Column) -> Column:
+    """A set of labels without one."""
+    return F.array_except(labels, F.array(label))
+
+
 def channels(stems: DataFrame, track: Sequence[str], order: str, drum: Column) -> DataFrame:
     """stems with `channel`: drums on 9, others in order over 0 to 15 without 9, again from 0 after fifteen."""
     split = stems.withColumn("_drum", drum)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
-from ..operators import activations, signal, stems
+from ..operators import activations, signal, stems, windows
 from ..sources import midi
 
 KEYS = ["track_id", "stem"]
@@ -33,10 +33,16 @@ def one_stem(pcm: DataFrame, label: str = "mix") -> DataFrame:
 
 @dataclass
 class Models:
-    """separate: pcm -> pcm with stem; activate: pcm of stems -> (track_id, stem, t, frame, onset); tag: pcm of stems -> (track_id, stem, class, score)."""
+    """separate: pcm -> pcm with stem; tag: pcm of stems -> (track_id, stem, class, score).
+
+    Notes come from activate_windows: (track_id, stem, window_no, samples), each of 43844 mono samples at
+    22050 Hz -> (track_id, stem, window_no, f, frame, onset), 172 rows a window; or from activate, which
+    cuts the pcm of stems itself: -> (track_id, stem, t, frame, onset).
+    """
 
     separate: Callable[[DataFrame], DataFrame] = one_stem
     activate: Callable[[DataFrame], DataFrame] | None = None
+    activate_windows: Callable[[DataFrame], DataFrame] | None = None
     tag: Callable[[DataFrame], DataFrame] | None = None
 
 
@@ -47,12 +53,34 @@ def loudness(pcm: DataFrame) -> DataFrame:
     return pcm.groupBy(*KEYS).agg(F.when(n > 0, F.sqrt(F.sum(squares) / n)).otherwise(0.0).alias("rms"))
 
 
-def pitched_notes(matrix: DataFrame, bpm: DataFrame, frame_least: float = 0.3) -> DataFrame:
-    """Notes of all stems with ticks and velocities (127 times the amplitude, within 40 and 127)."""
+def mono_at(pcm: DataFrame, rate: int = N.SAMPLE_RATE) -> DataFrame:
+    """Stems in one channel at `rate`, in chunks as they were cut."""
+    return signal.resample(signal.remix(pcm, KEYS, 1), KEYS, rate)
+
+
+def matrix_of(audio: DataFrame, activate_windows: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(track_id, stem, t, frame, onset) from a model that takes fixed windows of mono samples."""
+    return windows.trimmed(activate_windows(windows.fixed(audio, KEYS)), KEYS, windows.frame_totals(audio, KEYS))
+
+
+def rechunked(audio: DataFrame, chunk: int = 1 << 15) -> DataFrame:
+    """A mono signal in chunks of equal length, as span lookups want them."""
+    return windows.fixed(audio, KEYS, chunk, chunk, 0).select(*KEYS, F.col("window_no").alias("chunk_no"), (F.col("window_no") * chunk).alias("start"), "samples")
+
+
+def pitched_notes(matrix: DataFrame, audio: DataFrame, bpm: DataFrame, frame_least: float = 0.3, chunk: int = 1 << 15) -> DataFrame:
+    """Notes of all stems with ticks and velocities: the peak of the note's own mono samples against the stem's, times 127, within 40 and 127.
+
+    How sure the model is of a note says nothing of how loud it is.
+    """
     found = activations.notes(matrix, KEYS, frame_least).join(bpm.select("track_id", "bpm"), "track_id")
+    loudest = audio.groupBy(*KEYS).agg(F.max(F.array_max(F.transform("samples", F.abs))).cast("double").alias("_most"), F.sum(F.size("samples")).alias("_size"))
+    sample = lambda c: F.least(N.half_up(N.frame_seconds(F.col(c)) * N.SAMPLE_RATE), F.col("_size"))
+    spans = found.join(loudest, KEYS).withColumn("_from", sample("start_frame")).withColumn("_to", sample("end_frame"))
+    heard = windows.span_peaks(rechunked(audio, chunk), spans, KEYS, "_from", "_to", chunk)
     at = lambda c: N.ticks(N.frame_seconds(F.col(c)), F.col("bpm"))
-    velocity = F.greatest(F.lit(40), F.least(F.lit(127), N.half_up(127 * F.col("amplitude"))))
-    return found.select(*KEYS, at("start_frame").alias("start_tick"), at("end_frame").alias("end_tick"), "pitch", velocity.cast("int").alias("velocity"))
+    loud = N.half_up(127 * F.col("peak") / F.greatest(F.col("_most"), F.lit(1e-6)))
+    return heard.select(*KEYS, at("start_frame").alias("start_tick"), at("end_frame").alias("end_tick"), "pitch", N.clip(loud, 40, 127).cast("int").alias("velocity"))
 
 
 def analyze(pcm: DataFrame, models: Models, labels: list[str] | None = None, chunk: int = 1 << 16, sample_rate: int = 44100) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -71,8 +99,11 @@ def analyze(pcm: DataFrame, models: Models, labels: list[str] | None = None, chu
     rms = loudness(own.filter("stem <> 'drums'"))
     kept = stems.silent(rms, ["track_id"]).filter("NOT silent").drop("silent")
     notes = hits
-    if models.activate is not None:
-        pitched = pitched_notes(models.activate(own.filter("stem <> 'drums'")), tempo).join(kept.select(*KEYS), KEYS, "left_semi")
+    if models.activate is not None or models.activate_windows is not None:
+        voices = own.filter("stem <> 'drums'")
+        audio = mono_at(voices)
+        matrix = models.activate(voices) if models.activate is not None else matrix_of(audio, models.activate_windows)
+        pitched = pitched_notes(matrix, audio, tempo).join(kept.select(*KEYS), KEYS, "left_semi")
         balanced = stems.balanced(pitched, stems.velocity_scales(kept, ["track_id"]), KEYS)
         notes = hits.unionByName(balanced.withColumn("velocity", F.col("velocity").cast("int")).select(*hits.columns))
     notes = notes.withColumn("seq", F.xxhash64("start_tick", "pitch", "end_tick"))
@@ -83,7 +114,8 @@ def analyze(pcm: DataFrame, models: Models, labels: list[str] | None = None, chu
     tags = models.tag(own) if models.tag is not None else None
     parts = parts.join(shapes, KEYS, "left")
     parts = parts.join(tags, KEYS, "left") if tags is not None else parts.withColumn("class", F.lit(None).cast("int")).withColumn("score", F.lit(None).cast("double"))
-    named = stems.instruments(parts.withColumn("label", F.col("stem")).withColumn("audio_empty", F.lit(False)))
+    sizes = own.groupBy(*KEYS).agg((F.sum(F.size("samples")) <= 0).alias("audio_empty"))
+    named = stems.instruments(parts.join(sizes, KEYS).withColumn("label", F.col("stem")))
     return notes, named.select(*KEYS, F.dense_rank().over(_by_stem()).alias("ord"), "program", "drum", "confidence"), tempo
 
 
@@ -105,8 +137,22 @@ def write(notes: DataFrame, parts: DataFrame, tempo: DataFrame, kind: int = 0) -
 
 
 def write_stems(notes: DataFrame, parts: DataFrame, tempo: DataFrame) -> DataFrame:
-    """One file for each stem: (track_id, content) with `<track>/<stem>` as track_id."""
+    """One file for each stem: (track_id, content) with `<track>/<stem>` as track_id, which `midi.save` keeps as folders."""
     name = F.concat_ws("/", "track_id", "stem").alias("track_id")
     own = lambda df: df.select(name, *[c for c in df.columns if c != "track_id"])
     tempos = parts.join(tempo, "track_id").select(name, "bpm")
     return midi.files(own(notes.join(parts.select(*KEYS), KEYS, "left_semi")), own(parts), tempos, 0)
+
+
+def save(folder: str, notes: DataFrame, parts: DataFrame, tempo: DataFrame, options: dict[str, str] | None = None) -> None:
+    """Keep an analysis for a later review: Parquet tables of notes, parts, tempo and options."""
+    spark = notes.sparkSession
+    rows = spark.createDataFrame(sorted((options or {}).items()), "name string, value string")
+    for name, df in (("notes", notes), ("parts", parts), ("tempo", tempo), ("options", rows)):
+        df.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{name}")
+
+
+def load(spark, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, dict[str, str]]:
+    """(notes, parts, tempo, options) of a kept analysis."""
+    notes, parts, tempo, options = (spark.read.parquet(f"{folder.rstrip('/')}/{name}") for name in ("notes", "parts", "tempo", "options"))
+    return notes, parts, tempo, {r.name: r.value for r in options.collect()}  # a handful of settings

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
-from ..operators import joins, overlap, series, stems
+from ..operators import joins, overlap, series, stems, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -391,3 +391,116 @@ def ticks(spark, sf_dir):
 def label_confusion(spark, sf_dir):
     joined = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
     return out(joined.groupBy("source", "quality", "toxic").agg(F.count("*").alias("n")), "source", "quality", "toxic", "n")
+
+
+@query("""WITH h AS (SELECT event_type, epoch_us(ts) // 3600000000 - 473352 AS frame, value FROM events), c AS (SELECT *, unnest(generate_series(0, 720, 7)) AS o FROM h),
+w AS (SELECT event_type, frame, value * (1 + o % 3) AS v, CASE WHEN frame - o < 5 THEN frame - o + 1 ELSE 10 - (frame - o) END / 5.0 AS wt FROM c WHERE frame - o BETWEEN 0 AND 9)
+SELECT event_type, frame, round(sum(wt * v) / greatest(sum(wt), 1e-8), 6) AS value FROM w GROUP BY 1, 2""")
+def overlap_add_chunks(spark, sf_dir):
+    """Chunks of ten hours, one every seven, that each tell their hours differently: up to two of them say something of an hour."""
+    hour = F.floor(F.col("us") / HOUR).cast("long") - 473352
+    said = events(spark, sf_dir).select("event_type", hour.alias("frame"), "value")
+    first = F.greatest(F.lit(0), F.ceil((F.col("frame") - 9) / 7))
+    dealt = said.withColumn("o", F.explode(F.sequence(first.cast("long") * 7, F.floor(F.col("frame") / 7).cast("long") * 7, F.lit(7).cast("long"))))
+    rows = dealt.select("event_type", "frame", (F.col("frame") - F.col("o")).alias("i"), (F.col("value") * (1 + F.col("o") % 3)).alias("value"))
+    return out(overlap.overlap_add(rows, KEY, "frame", "i", "value", 10), "event_type", "frame", "value")
+
+
+@query("""WITH e AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS us, value FROM events), n AS (SELECT event_id, user_id, us AS b, us + 3600000000 * (1 + event_id % 40) AS f FROM e WHERE event_type = 'purchase'), t AS (SELECT user_id, max(abs(value)) AS top FROM e GROUP BY 1)
+SELECT n.event_id, round(max(abs(e.value)), 6) AS peak, CAST(greatest(40, least(127, floor(127 * max(abs(e.value)) / greatest(any_value(top), 1e-6) + 0.5))) AS BIGINT) AS velocity FROM n JOIN e ON e.user_id = n.user_id AND e.us >= b AND e.us < f JOIN t ON t.user_id = n.user_id GROUP BY 1""")
+def span_peak_velocity(spark, sf_dir):
+    """Purchases are notes of 1 to 40 hours, and all events of their user are samples: loudness of the note's own span against the user's."""
+    every = events(spark, sf_dir)
+    notes = every.filter("event_type = 'purchase'").select("event_id", "user_id", F.col("us").alias("b"), (F.col("us") + HOUR * (1 + F.col("event_id") % 40)).alias("f"))
+    top = every.groupBy("user_id").agg(F.max(F.abs("value")).alias("top"))
+    heard = joins.peak_between(notes, every, ["user_id"], "b", "f", "us", "value", 4 * HOUR).join(top, "user_id")
+    loud = N.half_up(127 * F.col("peak") / F.greatest(F.col("top"), F.lit(1e-6)))
+    return out(heard.withColumn("velocity", N.clip(loud, 40, 127)), "event_id", "peak", "velocity")
+
+
+def signal_of_users(spark, sf_dir):
+    """The values of each user in order of time as mono samples, in chunks of 16."""
+    w = Window.partitionBy("user_id").orderBy("us")
+    rows = events(spark, sf_dir).select("user_id", (F.row_number().over(w) - 1).cast("long").alias("k"), F.col("value").cast("float").alias("x"))
+    chunks = rows.groupBy("user_id", F.floor(F.col("k") / 16).alias("chunk_no")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda r: r["x"]).alias("samples"))
+    return chunks.withColumn("start", F.col("chunk_no") * 16)
+
+
+_SAMPLES = "WITH x AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS k, CAST(value AS FLOAT) AS x FROM events), n AS (SELECT user_id, count(*) AS n FROM x GROUP BY 1)"
+
+
+@query(_SAMPLES + """, w AS (SELECT user_id, n, unnest(generate_series(0, (n + 5) // 14)) AS window_no FROM n), s AS (SELECT user_id, n, window_no, unnest(generate_series(0, 19)) AS i FROM w WHERE window_no * 14 < n + 6)
+SELECT s.user_id, window_no, i, round(CAST(coalesce(x.x, 0) AS DOUBLE), 6) AS x FROM s LEFT JOIN x ON x.user_id = s.user_id AND x.k = window_no * 14 + i - 6""")
+def model_windows(spark, sf_dir):
+    """Windows of 20 samples every 14, counted from six zeros before the first."""
+    rows = windows.fixed(signal_of_users(spark, sf_dir), ["user_id"], 20, 14, 6)
+    return out(rows.select("user_id", "window_no", F.posexplode("samples").alias("i", "x")), "user_id", "window_no", "i", "x")
+
+
+@query(_SAMPLES + """, f AS (SELECT user_id, n, unnest(generate_series(0, (n + 5) // 14)) AS w FROM n), s AS (SELECT user_id, n, w, unnest(generate_series(0, 9)) AS i FROM f WHERE w * 14 < n + 6)
+SELECT user_id, w * 6 + i - 2 AS t, w * 100 + i AS v FROM s WHERE i BETWEEN 2 AND 7 AND w * 6 + i - 2 < n * 3 // 7""")
+def window_frames(spark, sf_dir):
+    """A model that says window * 100 + frame for ten frames a window: two go at both ends, the rest is numbered on and cut to the signal."""
+    audio = signal_of_users(spark, sf_dir)
+    said = windows.fixed(audio, ["user_id"], 20, 14, 6).select("user_id", "window_no", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("f"))
+    totals = audio.groupBy("user_id").agg(F.floor(F.sum(F.size("samples")) * 3 / 7).alias("total"))
+    rows = said.withColumn("v", F.col("window_no") * 100 + F.col("f"))
+    return out(windows.trimmed(rows, ["user_id"], totals, frames=10, edge=2), "user_id", "t", "v")
+
+
+@query(_SAMPLES + """, c AS (SELECT user_id, n // 2 AS n FROM n), o AS (SELECT user_id, n, unnest(generate_series(0, n - 1, 7)) AS "offset" FROM c), v AS (SELECT *, (10 - least(10, n - "offset")) // 2 AS lead FROM o),
+s AS (SELECT *, unnest(generate_series(0, 19)) AS i FROM v), q AS (SELECT *, "offset" - lead + i % 10 AS frame, i // 10 AS c FROM s)
+SELECT q.user_id, "offset", i, round(CAST(coalesce(CASE WHEN frame BETWEEN 0 AND n - 1 THEN x.x END, 0) AS DOUBLE), 6) AS x FROM q LEFT JOIN x ON x.user_id = q.user_id AND x.k = frame * 2 + c""")
+def model_slices(spark, sf_dir):
+    """The same samples as two channels: planar inputs of ten frames at the places of overlapping chunks."""
+    audio = signal_of_users(spark, sf_dir).withColumn("start", F.col("chunk_no") * 8)
+    totals = audio.groupBy("user_id").agg(F.floor(F.sum(F.size("samples")) / 2).alias("n"))
+    rows = windows.planar(audio, overlap.placements(totals, ["user_id"], "n", 10), ["user_id"], 10, 8)
+    return out(rows.select("user_id", "offset", F.posexplode("samples").alias("i", "x")), "user_id", "offset", "i", "x")
+
+
+@query("WITH r AS (SELECT CAST(k AS BIGINT) AS region, k * 3 AS lo, k * 3 + 7 AS hi, 900 + k * 20 AS lov, 1400 - k * 10 AS hiv FROM generate_series(0, 15) t(k)) SELECT p_partkey, region FROM part JOIN r ON p_size BETWEEN lo AND hi AND p_retailprice BETWEEN lov AND hiv")
+def region_match_both(spark, sf_dir):
+    """Sizes are keys and prices are velocities: both lie in the region's ranges."""
+    k = F.col("id")
+    regions = spark.range(16).select(k.alias("region"), (k * 3).alias("lo"), (k * 3 + 7).alias("hi"), (900 + k * 20).alias("lov"), (1400 - k * 10).alias("hiv"))
+    return out(joins.in_regions(table(spark, sf_dir, "part"), regions, "p_size", "lo", "hi", 8, ("p_retailprice", "lov", "hiv")), "p_partkey", "region")
+
+
+@query("""WITH k AS (SELECT user_id, event_type, event_id % 128 AS p, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events)
+SELECT user_id, event_type AS label, arg_max(p, i) AS override FROM k WHERE i <= n // 2 GROUP BY 1, 2""")
+def override_pairs(spark, sf_dir):
+    """Labels are a user's event types in order, programs only half as many numbers."""
+    rows = F.array_sort(F.collect_list(F.struct("ts", "event_type", (F.col("event_id") % 128).alias("p"))))
+    per = events(spark, sf_dir).groupBy("user_id").agg(rows.alias("r"))
+    lists = per.select("user_id", F.col("r.event_type").alias("labels"), F.slice("r.p", F.lit(1), F.floor(F.size("r") / 2).cast("int")).alias("programs"))
+    return out(stems.zipped(lists, ["user_id"], "labels", "programs"), "user_id", "label", "override")
+
+
+@query("""WITH l AS (SELECT user_id, list_distinct(list(event_type)) AS l FROM events GROUP BY 1)
+SELECT user_id, array_to_string(list_sort(CASE WHEN list_contains(l, 'mute') THEN l ELSE list_append(l, 'mute') END), ',') AS added, array_to_string(list_sort(list_filter(l, lambda x: x <> 'error')), ',') AS removed FROM l""")
+def label_sets(spark, sf_dir):
+    sets = events(spark, sf_dir).groupBy("user_id").agg(F.collect_set("event_type").alias("l"))
+    named = lambda c: F.array_join(F.array_sort(c), ",")
+    return out(sets.select("user_id", named(stems.with_label(F.col("l"), F.lit("mute"))).alias("added"), named(stems.without_label(F.col("l"), F.lit("error"))).alias("removed")), "user_id", "added", "removed")
+
+
+@query("""WITH e AS (SELECT event_id, user_id, event_id % 5 AS note, ts, CASE event_type WHEN 'click' THEN 1 ELSE 0 END AS "on" FROM events WHERE event_type IN ('click', 'view')),
+d AS (SELECT *, "on" - coalesce(lag("on") OVER (PARTITION BY user_id, note ORDER BY ts), 0) AS step FROM e)
+SELECT event_id, CAST(sum(step) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS BIGINT) AS sounding FROM d""")
+def sounding_notes(spark, sf_dir):
+    """Clicks start and views end one of five notes of their user."""
+    rows = events(spark, sf_dir).filter("event_type IN ('click', 'view')").withColumn("note", F.col("event_id") % 5)
+    return out(joins.sounding(rows, ["user_id"], "note", ["us"], F.col("event_type") == "click"), "event_id", "sounding")
+
+
+@query("""WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2), x AS (SELECT user_id, list(event_type ORDER BY event_type) AS l, string_agg(event_type || '=' || CAST(n * 2 AS VARCHAR), ',' ORDER BY event_type) FILTER (n > 1 AND event_type <> 'error') AS doubled FROM c GROUP BY 1)
+SELECT user_id, coalesce(doubled, '') AS doubled, array_to_string(list_reverse(l[1:2]), '<') AS first, sha256(array_to_string(l, '|')) AS digest, coalesce(l[4], '-') AS fourth FROM x""")
+def collections(spark, sf_dir):
+    """Map, array and hash functions over the counts of a user's event types."""
+    counts = events(spark, sf_dir).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    per = counts.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_type", "n"))).alias("r"))
+    doubled = F.transform_values(F.map_filter(F.map_from_entries("r"), lambda k, v: (v > 1) & (k != "error")), lambda k, v: v * 2)
+    names = F.col("r.event_type")
+    pairs = F.transform(F.map_entries(doubled), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return out(per.select("user_id", F.array_join(F.array_sort(pairs), ",").alias("doubled"), F.array_join(F.reverse(F.slice(names, 1, 2)), "<").alias("first"), F.sha2(F.array_join(names, "|"), 256).alias("digest"), F.coalesce(F.get(names, F.lit(3)), F.lit("-")).alias("fourth")), "user_id", "doubled", "first", "digest", "fourth")

@@ -6,7 +6,6 @@ parsed in one task.  Ticks become milliseconds by an as-of join over the tempo c
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from ..operators import joins, stems
+from . import stores
 
 DIVISION = 480
 #: Order of equal times in a file, and when read.
@@ -183,17 +183,17 @@ class _Written(DataSourceWriter):
         self.folder = folder
 
     def write(self, rows) -> WriterCommitMessage:
-        os.makedirs(self.folder, exist_ok=True)
+        store, root = stores.opened(self.folder)
         for row in rows:
-            path = os.path.join(self.folder, os.path.basename(str(row[0])) + ".mid")
-            with open(f"{path}.part", "wb") as file:
-                file.write(row[1])
-            os.replace(f"{path}.part", path)  # a task that is run again writes the same file
+            stores.put(store, f"{root}/{stores.relative(row[0])}.mid", [row[1]])  # a task that is run again writes the same file
         return WriterCommitMessage()
 
 
 class MidiFiles(DataSource):
-    """df.write.format("midi_files").save(folder): one .mid file for each (name, content) row, in a folder that all executors mount."""
+    """df.write.format("midi_files").save(folder): `<name>.mid` for each (name, content) row; folders in the name are kept.
+
+    The folder is a path or an address that pyarrow's file systems know, and all executors reach.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -204,3 +204,14 @@ class MidiFiles(DataSource):
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
         return _Written(self.options["path"])
+
+
+def save(files: DataFrame, folder: str) -> None:
+    """Write (track_id, content) files below a folder; two rows for one file are an error, and nothing is written then."""
+    spark = files.sparkSession
+    named = files.select(F.col("track_id").cast("string").alias("name"), "content")
+    twice = named.groupBy("name").count().filter("count > 1").limit(3).collect()
+    if twice:
+        raise ValueError(f"several files for {', '.join(str(r.name) for r in twice)}")
+    spark.dataSource.register(MidiFiles)
+    named.write.format("midi_files").mode("append").save(folder)

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import io
-import os
 import wave
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyarrow import fs
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+
+from . import stores
 
 SHAPE = "track_id string, chunk_no long, start long, sample_rate int, channels int, samples array<float>"
 CHUNK = 1 << 16
@@ -37,8 +40,12 @@ def decode_wav(data: bytes) -> Decoded:
     return rate, channels, x.astype(np.float32)
 
 
-def read_audio(spark: SparkSession, path: str, decode: Callable[[bytes], Decoded] = decode_wav, chunk: int = CHUNK, glob: str = "*.wav") -> DataFrame:
-    """Chunk rows of every file; a file is decoded in one task, in a store that Spark reads."""
+def read_audio(spark: SparkSession, path: str, decode: Callable[[bytes], Decoded] = decode_wav, chunk: int = CHUNK, glob: str | None = None) -> DataFrame:
+    """Chunk rows of every file; a file is decoded in one task, in a store that Spark reads.
+
+    Without `glob`, files are taken by their endings: .wav, or all of `AUDIO` for another decoder.
+    """
+    glob = glob or ("*.wav" if decode is decode_wav else f"*.{{{','.join(AUDIO)}}}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,24 +88,41 @@ class _RawReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         """Whole chunks, some for each task; bytes after the last whole frame are left out."""
-        names = sorted(os.path.join(self.path, n) for n in os.listdir(self.path)) if os.path.isdir(self.path) else [self.path]
+        store, root = stores.opened(self.path)
+        own = store.get_file_info(root)
+        files = sorted(store.get_file_info(fs.FileSelector(root, recursive=True)), key=lambda f: f.path) if own.type == fs.FileType.Directory else [own]
         step, out = self.chunk * self.per_task, []
-        for name in names:
-            n = os.path.getsize(name) // (4 * self.channels)
-            out += [_Part(name, at, min(n, at + step)) for at in range(0, n, step)]
+        for file in files:
+            n = file.size // (4 * self.channels) if file.type == fs.FileType.File else 0
+            out += [_Part(file.path, at, min(n, at + step)) for at in range(0, n, step)]
         return out
 
     def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
-        size = 4 * self.channels
-        with open(part.path, "rb") as file:
+        size, (store, _) = 4 * self.channels, stores.opened(self.path)
+        with store.open_input_file(part.path) as file:
             file.seek(part.first * size)
             for at in range(part.first, part.end, self.chunk):
                 x = np.frombuffer(file.read(min(self.chunk, part.end - at) * size), "<f4")
                 yield pa.RecordBatch.from_arrays([pa.array([part.path]), pa.array([at // self.chunk], pa.int64()), pa.array([at], pa.int64()), pa.array([self.rate], pa.int32()), pa.array([self.channels], pa.int32()), pa.array([x], pa.list_(pa.float32()))], names=[p.split()[0] for p in SHAPE.split(", ")])
 
 
+class _RawWriter(DataSourceWriter):
+    def __init__(self, folder: str):
+        self.folder = folder
+
+    def write(self, rows) -> WriterCommitMessage:
+        store, root = stores.opened(self.folder)
+        for name, own in groupby(rows, key=lambda r: r[0]):
+            stores.put(store, f"{root}/{stores.relative(name)}.f32", (np.asarray(r[1], "<f4").tobytes() for r in own))
+        return WriterCommitMessage()
+
+
 class RawSamples(DataSource):
-    """spark.read.format("pcm_f32le").options(rate=..., channels=...).load(path): little-endian floats, read by byte ranges from a folder that all executors mount."""
+    """Interleaved little-endian floats in a folder that all executors reach, without a header.
+
+    spark.read.format("pcm_f32le").options(rate=..., channels=...).load(path) reads files by byte ranges;
+    `save_raw` writes them.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -109,3 +133,18 @@ class RawSamples(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         return _RawReader(dict(self.options))
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return _RawWriter(self.options["path"])
+
+
+def save_raw(pcm: DataFrame, folder: str, keys: tuple[str, ...] = ("track_id",)) -> None:
+    """`<keys>.f32` for each signal; its chunks are appended in order by one task, a chunk at a time."""
+    named = pcm.select(F.concat_ws("/", *keys).alias("name"), "samples", F.col("chunk_no").cast("long").alias("chunk_no"))
+    pcm.sparkSession.dataSource.register(RawSamples)
+    named.repartition("name").sortWithinPartitions("name", "chunk_no").select("name", "samples").write.format("pcm_f32le").mode("append").save(folder)
+
+
+def class_map(spark: SparkSession, path: str) -> DataFrame:
+    """(index, mid, display_name): the classes of a tagging model, from a CSV file with a header."""
+    return spark.read.csv(path, header=True, schema="index int, mid string, display_name string", quote='"', escape='"')

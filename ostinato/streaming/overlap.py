@@ -16,7 +16,12 @@ from ..operators.overlap import weight
 
 
 def overlap_add(values: DataFrame, keys: Sequence[str], frame: str, index: str, value: str, segment: int, power: float = 1.0) -> DataFrame:
-    """(keys, frame, value) of finished frames, in append mode.  `closing` rows flush the rest."""
+    """(keys, frame, value) of finished frames, in append mode.  `closing` rows flush the rest.
+
+    State holds two segments at most: a row whose place lies outside its segment fails the query.
+    """
+    inside = F.col(index).between(0, segment - 1)
+    values = values.withColumn(index, F.when(inside | F.col(value).isNull(), F.col(index)).otherwise(F.raise_error(F.concat(F.lit("outside the segment: "), F.col(index).cast("string")))))
     w = weight(F.col(index), segment, power)
     w = F.when(F.col(value).isNull(), 0.0).otherwise(w)
     timed = values.withColumn("_at", F.timestamp_seconds(frame)).withWatermark("_at", f"{segment} seconds")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ostinato.plans import convert
-from ostinato.sources import midi, pcm
+from ostinato.sources import midi, pcm, stores
 from ostinato.streaming import overlap as stream
 
 from .test_operators import pcm as chunks
@@ -110,3 +110,78 @@ def test_convert(spark):
     _, events = midi.parse(convert.write(notes, convert.review(parts), tempo, 1).first().content)
     assert {e[2] for e in events} == {"TEMPO", "PROGRAM", "ON", "OFF"}
     assert convert.write_stems(notes, parts, tempo).count() == 2
+
+
+def test_windowed_model_and_velocities(spark, tmp_path):
+    """A model that hears a note wherever a window's samples are loud; the note is as loud as its samples, whatever the model says."""
+    n = 22050 * 5
+    x = np.zeros(n, np.float32)
+    x[11025 : 11025 * 3], x[11025 * 5 : 11025 * 7] = 0.25, 0.5
+    audio = chunks(spark, x, rate=22050, stem="bass").unionByName(chunks(spark, np.full(n, 0.2), rate=22050, stem="vocals"))  # quieter, so that the bass isn't balanced down
+
+    def activate(df):
+        frames = F.explode(F.sequence(F.lit(0), F.lit(171))).alias("f")
+        loud = F.abs(F.get("samples", F.least(F.col("f") * 256, F.lit(43843)))) > 0.1
+        said = df.filter("stem = 'bass'").select("track_id", "stem", "window_no", frames, "samples").select("track_id", "stem", "window_no", "f", loud.alias("loud"))
+        row = lambda v: F.transform(F.sequence(F.lit(0), F.lit(87)), lambda k: F.when((k == 30) & F.col("loud"), v).otherwise(0.0).cast("float"))
+        return said.select("track_id", "stem", "window_no", "f", row(0.9).alias("frame"), row(0.0).alias("onset"))
+
+    matrix = convert.matrix_of(convert.mono_at(audio), activate)
+    assert [r.t for r in matrix.select("t").orderBy("t").collect()] == list(range(n * 86 // 22050))
+    notes, parts, tempo = convert.analyze(audio, convert.Models(separate=lambda df: df, activate_windows=activate))
+    got = notes.filter("stem = 'bass'").orderBy("start_tick").collect()
+    assert [r.velocity for r in got] == [64, 127]  # peaks of 0.25 and 0.5 against the stem's 0.5
+    assert [r.pitch for r in got] == [51, 51] and abs(got[0].start_tick - 480) < 40 and abs(got[1].start_tick - 2400) < 40
+    convert.save(f"{tmp_path}/kept", notes, parts, tempo, {"bpm": "auto"})
+    again = convert.load(spark, f"{tmp_path}/kept")
+    assert all(sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect())) for a, b in zip(again, (notes, parts, tempo))) and again[3] == {"bpm": "auto"}
+
+
+def test_stems_of_several_tracks_keep_apart(spark, tmp_path):
+    notes = spark.createDataFrame([(t, s, 0, 0, 240, p, 100) for t, s, p in (("a", "drums", 36), ("b", "drums", 38), ("b", "bass", 40))], NOTES)
+    parts = spark.createDataFrame([("a", "drums", 0, 0, True), ("b", "bass", 0, 33, False), ("b", "drums", 1, 0, True)], PARTS)
+    files = convert.write_stems(notes, parts, spark.createDataFrame([("a", 120), ("b", 90)], "track_id string, bpm int"))
+    midi.save(files, f"{tmp_path}/out")
+    found = {str(p.relative_to(f"{tmp_path}/out")): p.read_bytes() for p in (tmp_path / "out").rglob("*.mid")}
+    assert sorted(found) == ["a/drums.mid", "b/bass.mid", "b/drums.mid"] and len(set(found.values())) == 3
+    with pytest.raises(ValueError):
+        midi.save(files.unionByName(files), f"{tmp_path}/twice")
+    assert not (tmp_path / "twice").exists()
+    assert stores.relative("file:/x//y.wav") == "x/y.wav"
+    for bad in ("../x", "/", "a/../../b"):
+        with pytest.raises(ValueError):
+            stores.relative(bad)
+
+
+def test_raw_samples_written_and_class_map(spark, tmp_path):
+    x = np.random.default_rng(1).normal(size=3000).astype("<f4")
+    pcm.save_raw(chunks(spark, x, channels=2, chunk=100).unionByName(chunks(spark, -x, channels=2, chunk=100, track="b")), f"{tmp_path}/raw", ("track_id", "stem"))
+    assert (tmp_path / "raw/a/drums.f32").read_bytes() == x.tobytes() and (tmp_path / "raw/b/drums.f32").read_bytes() == (-x).tobytes()
+    rows = spark.read.format("pcm_f32le").options(rate=8000, channels=2, chunk=64).load(f"{tmp_path}/raw").filter("track_id LIKE '%/b/%'").orderBy("chunk_no").collect()
+    assert np.array_equal(np.concatenate([r.samples for r in rows]).astype("<f4"), -x)
+    (tmp_path / "c.csv").write_text('index,mid,display_name\n0,/m/a,Speech\n1,/m/b,"Child, kid ""x"""\n')
+    assert [tuple(r) for r in pcm.class_map(spark, f"{tmp_path}/c.csv").orderBy("index").collect()] == [(0, "/m/a", "Speech"), (1, "/m/b", 'Child, kid "x"')]
+
+
+def test_other_decoders_take_audio_by_its_endings(spark, tmp_path):
+    for name in ("a.mp3", "b.flac", "c.mid", "d.txt"):
+        (tmp_path / name).write_bytes(b"xx")
+    rows = pcm.read_audio(spark, str(tmp_path), decode=lambda data: (8000, 1, np.ones(len(data), np.float32))).collect()
+    assert sorted(r.track_id.rsplit("/", 1)[-1] for r in rows) == ["a.mp3", "b.flac"]
+
+
+def test_a_place_outside_its_segment_fails_the_stream(spark, tmp_path):
+    shape = "k string, frame long, i long, v double"
+    spark.createDataFrame([("a", 0, 0, 1.0), ("a", 30, 12, 1.0)], shape).write.parquet(f"{tmp_path}/in")
+    q = stream.overlap_add(spark.readStream.schema(shape).parquet(f"{tmp_path}/in"), ["k"], "frame", "i", "v", 10).writeStream.format("memory").queryName("bad").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    with pytest.raises(Exception, match="outside the segment"):
+        q.awaitTermination(120)
+
+
+def test_empty_audio_keeps_the_default_instrument(spark):
+    empty = spark.createDataFrame([("a", "bass", 0, 0, 44100, 1, [])], chunks(spark, np.zeros(1)).schema)
+    both = empty.unionByName(chunks(spark, np.full(4410, 0.5), stem="guitar"))
+    tag = lambda df: df.select("track_id", "stem").distinct().withColumn("class", F.lit(148)).withColumn("score", F.lit(0.9))
+    _, parts, _ = convert.analyze(both.unionByName(chunks(spark, np.full(10, 0.5), track="b", stem="bass")), convert.Models(separate=lambda df: df, tag=tag))
+    got = {(r.track_id, r.stem): (r.program, r.confidence) for r in parts.collect()}
+    assert got[("a", "guitar")] == (0, 0.9) and got.get(("a", "bass"), (33, None)) == (33, None)

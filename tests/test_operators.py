@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ostinato.functions import numeric as N
-from ostinato.operators import activations, joins, overlap, series, signal, stems
+from ostinato.operators import activations, joins, overlap, series, signal, stems, windows
 
 K = ["track_id", "stem"]
 
@@ -179,3 +179,59 @@ def test_joins_take_the_last_of_equal_times(spark):
     left = spark.createDataFrame([("a", 5, 1), ("a", 0, 2), (None, 5, 3)], "k string, at int, id int")
     right = spark.createDataFrame([("a", 5, "x", 1), ("a", 5, "y", 2), ("a", 9, "z", 3)], "k string, at int, v string, seq int")
     assert {r.id: r.v for r in joins.as_of(left, right, ["k"], "at", "v", "seq").collect()} == {1: "y", 2: None, 3: None}
+
+
+@pytest.mark.parametrize("batch", [7, 10_000])
+def test_ordered_folds_over_batches(spark, batch):
+    """Series go over several batches, keys may be null, and time grows with the length."""
+    r = np.random.default_rng(8)
+    rows = [(k, i, float(x)) for k in ("a", None, "b") for i, x in enumerate(r.normal(size=900))]
+    df = spark.createDataFrame(rows, "k string, i long, x double").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = {(r.k, r.i): r.smooth for r in series.one_pole(df, ["k"], "i", "x", 0.1, block=16).collect()}
+        kept = {(r.k, r.i) for r in series.spacing(df.filter("i % 3 <> 1"), ["k"], "i", 4).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    y, last, want = 0.0, None, set()
+    for k, i, x in rows:
+        y = 0.1 * x + (0.0 if i == 0 else 0.9 * y)
+        assert abs(got[k, i] - y) < 1e-9
+        last = None if i == 0 else last
+        if i % 3 != 1 and (last is None or i - last >= 4):
+            want.add((k, i))
+            last = i
+    assert len(got) == len(rows) and kept == want
+
+
+def test_model_windows(spark):
+    x = np.random.default_rng(4).normal(size=100_000).astype(np.float32)
+    got = {r.window_no: r.samples for r in windows.fixed(pcm(spark, x, chunk=1000), K).collect()}
+    padded = np.concatenate([np.zeros(3840, np.float32), x])
+    assert sorted(got) == list(range(-(-len(padded) // 36164)))
+    for k, own in got.items():
+        want = np.zeros(43844, np.float32)
+        part = padded[k * 36164 : k * 36164 + 43844]
+        want[: len(part)] = part
+        assert np.array_equal(np.array(own, np.float32), want)
+    assert windows.fixed(pcm(spark, x[:0]), K).count() == 0
+
+
+def test_planar_slices(spark):
+    x = np.random.default_rng(5).normal(size=2 * 53).astype(np.float32)
+    totals = spark.createDataFrame([("a", "drums", 53)], "track_id string, stem string, n long")
+    places = overlap.placements(totals, K, "n", 20)
+    rows = {r.offset: r.samples for r in windows.planar(pcm(spark, x, channels=2, chunk=8), places, K, 20, 8).collect()}
+    assert sorted(rows) == [0, 15, 30, 45]
+    for p in places.collect():
+        want = np.zeros((2, 20), np.float32)
+        want[:, p.pad_left : p.pad_left + p.read_length] = x.reshape(-1, 2)[p.read_start : p.read_start + p.read_length].T
+        assert np.array_equal(np.array(rows[p.offset], np.float32), want.ravel())
+
+
+def test_peaks_of_spans(spark):
+    x = np.random.default_rng(6).normal(size=1000).astype(np.float32)
+    spans = [("a", "drums", b, e) for b, e in ((0, 1), (5, 5), (99, 101), (3, 998), (100, 200), (990, 1000), (3, 998))]
+    df = spark.createDataFrame(spans, "track_id string, stem string, b long, e long")
+    got = windows.span_peaks(pcm(spark, x, chunk=100), df, K, "b", "e", 100).collect()
+    assert len(got) == len(spans) and all(abs(r.peak - np.abs(x[r.b : r.e]).max(initial=0)) < 1e-9 for r in got)
