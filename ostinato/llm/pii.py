@@ -33,8 +33,22 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|.", re.S)
 _SEED = re.compile(r"[0-9]+|@|[\[(] ?at ?[\])]", re.I)
 _AT = re.compile(r"[\[(] ?at ?[\])]", re.I)
-#: Limits of a segment, in tokens and characters, and of the text around a seed.
-MOST_TOKENS, MOST_CHARS, AROUND = 20, 48, 40
+#: Spelled-out and spaced signs of addresses, as the signs that they stand for.
+_SIGNS = [(re.compile(r" ?[\[(] ?at ?[\])] ?| @ ?|@ ", re.I), "@"), (re.compile(r" ?[\[(] ?(?:dot|punkt|point) ?[\])] ?| \. ", re.I), "."), (re.compile(r"[\[(]\.[\])]"), ".")]
+_MAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,8}")
+
+
+@dataclass(frozen=True)
+class Limits:
+    """What bounds the entities that the field looks for: longer ones are left to the patterns, which have no limit.
+
+    A segment has at most `tokens` tokens (runs of digits, of letters, other signs) and `chars`
+    characters, and begins and ends within `around` characters of a digit run, an @ or a spelled-out one.
+    """
+
+    tokens: int = 24
+    chars: int = 64
+    around: int = 48
 
 
 def luhn(digits: str) -> bool:
@@ -81,16 +95,23 @@ def features(text: str, start: int, end: int) -> list[str]:
     shape = re.sub("[0-9]+", lambda m: f"<{len(m[0])}>", re.sub(r"[^\W\d_]+", "a", own))
     signs = "".join(sorted({c for c in own if not c.isalnum()}))
     before = re.search(r"([^\W\d_]+)\W{0,4}$", text[max(0, start - 24) : start])
+    plain = own
+    for pattern, sign in _SIGNS:
+        plain = pattern.sub(sign, plain)
+    mail, last = _MAIL.fullmatch(plain), plain.rsplit(".", 1)[-1]
+    dotted = plain.split(".")
+    whole = f"{text[start - 1 : start].isalnum() or text[start - 1 : start] in ('-', '_', '.', '+', '%', '@')} {text[end : end + 1] in ('-', '_', '@') or text[end : end + 1].isalnum()}"
     return [
         f"shape {shape}", f"digits {min(len(digits), 20)}", f"groups {len(groups)} {signs}", f"signs {signs}",
         f"ends {own[0] if not own[0].isalnum() else 'd' if own[0].isdigit() else 'a'} {'d' if own[-1].isdigit() else 'a' if own[-1].isalpha() else own[-1]}",
         f"letters {any(map(str.isalpha, own))} {'@' in own} {bool(_AT.search(own))} {'.' in own}",
         f"check {14 <= len(digits) <= 19} {luhn(digits)}", f"parts {len(groups) == 4 and all(map(_small, groups))} {signs}",
         f"cue {before[1].lower() if before else ''}", f"near {text[start - 1 : start]} {text[end : end + 1]}", "any",
+        f"mail {bool(mail)} {len(last) if mail else ''} {whole}", f"address {len(dotted) == 4 and plain != own and all(d.isascii() and d.isdigit() and _small(d) for d in dotted)} {whole}",
     ]
 
 
-def segments(text: str, start: int, end: int) -> tuple[list[int], list[tuple[int, int]]]:
+def segments(text: str, start: int, end: int, limits: Limits = Limits()) -> tuple[list[int], list[tuple[int, int]]]:
     """Bounds of the tokens of a stretch, and the candidate segments as pairs of places in them."""
     tokens = [m.span() for m in _TOKEN.finditer(text, start, end)]
     bounds = [s for s, _ in tokens] + [end]
@@ -102,9 +123,9 @@ def segments(text: str, start: int, end: int) -> tuple[list[int], list[tuple[int
         if not open_[i] or (s and text[s - 1].isalnum() and text[s].isalnum()):
             continue
         seed = False
-        for j in range(i + 1, min(i + MOST_TOKENS, len(tokens)) + 1):
+        for j in range(i + 1, min(i + limits.tokens, len(tokens)) + 1):
             e = bounds[j]
-            if e - s > MOST_CHARS or text[e - 1] == "\n":
+            if e - s > limits.chars or text[e - 1] == "\n":
                 break
             seed = seed or text[bounds[j - 1]].isdigit() or text[e - 1] == "@" or text[bounds[j - 1] : e].lower() == "at"
             if seed and j > i + 2 and close[j - 1] and not (text[e - 1].isalnum() and text[e : e + 1].isalnum()):
@@ -170,7 +191,7 @@ class Field:
                 j = places[back[j][0]][0]
         return out[::-1]
 
-    def spans(self, text: str, base: list[tuple[int, str, int]], least: float = 0.8) -> list[tuple[int, str, int]]:
+    def spans(self, text: str, base: list[tuple[int, str, int]], least: float = 0.8, limits: Limits = Limits()) -> list[tuple[int, str, int]]:
         """Spans beside the base, in the stretches around seeds that it leaves."""
         taken, runs = [(s, e) for s, _, e in base], []
         gaps, at = [], 0
@@ -180,14 +201,14 @@ class Field:
         gaps.append((at, len(text)))
         for lo, hi in gaps:
             for m in _SEED.finditer(text, lo, hi) if hi > lo else ():
-                s, e = max(lo, m.start() - AROUND), min(hi, m.end() + AROUND)
+                s, e = max(lo, m.start() - limits.around), min(hi, m.end() + limits.around)
                 if runs and s <= runs[-1][1] and runs[-1][0] >= lo:
                     runs[-1][1] = e
                 else:
                     runs.append([s, e])
         out = []
         for s, e in runs:
-            bounds, places = segments(text, s, e)
+            bounds, places = segments(text, s, e, limits)
             if not places:
                 continue
             scores = [self.scores(features(text, bounds[i], bounds[j])) for i, j in places]
@@ -197,14 +218,10 @@ class Field:
                 out += [(bounds[places[k][0]], KINDS[kind], bounds[places[k][1]]) for k, kind in chosen if chances[k][kind] >= least]
         return out
 
-    def learn(self, text: str, gold: list[tuple[int, str, int]], rate: float, seen: dict[str, list[float]]) -> None:
-        """One step up the likelihood of a sentence, with a rate for each weight."""
-        bounds, places = segments(text, 0, len(text))
-        found = [features(text, bounds[i], bounds[j]) for i, j in places]
-        chances = self.chances(len(bounds) - 1, places, [self.scores(x) for x in found])
-        right = {(s, e): KINDS.index(kind) for s, kind, e in gold}
-        for (i, j), own, p in zip(places, found, chances, strict=True):
-            kind = right.get((bounds[i], bounds[j]), -1)
+    def learn(self, n: int, places: list[tuple[int, int]], found: list[list[str]], right: list[int], rate: float, seen: dict[str, list[float]]) -> None:
+        """One step up the likelihood of a sentence of n tokens, with a rate for each weight; right: the kind of each segment, or -1."""
+        chances = self.chances(n, places, [self.scores(x) for x in found])
+        for own, kind, p in zip(found, right, chances, strict=True):
             pull = [(k == kind) - x for k, x in enumerate(p)]
             if max(map(abs, pull)) < 1e-3:
                 continue
@@ -215,11 +232,19 @@ class Field:
                     w[k] += rate * (x - 1e-3 * w[k]) / math.sqrt(g[k])
 
 
+def prepared(text: str, gold: list[tuple[int, str, int]]) -> tuple[int, list[tuple[int, int]], list[list[str]], list[int]]:
+    """What learning needs of a sentence: its tokens, segments, their features and kinds."""
+    bounds, places = segments(text, 0, len(text))
+    kinds = {(s, e): KINDS.index(kind) for s, kind, e in gold}
+    return len(bounds) - 1, places, [features(text, bounds[i], bounds[j]) for i, j in places], [kinds.get((bounds[i], bounds[j]), -1) for i, j in places]
+
+
 def sentences(n: int, seed: int = 5) -> Iterator[tuple[str, list[tuple[int, str, int]]]]:
     """Generated sentences with the spans in them; numbers of other kinds are the counter-examples."""
     r = random.Random(seed)
     digits = lambda k: "".join(r.choice("0123456789") for _ in range(k))
     word = lambda: "".join(r.choice("abcdefghilmnoprstuv") for _ in range(r.randint(2, 9)))
+    free = lambda: r.choice([word(), word(), word().title(), word() + "-" + word()])
 
     def card() -> str:
         head = r.choice("3456") + digits(r.choice([13, 14, 14, 14]))
@@ -228,11 +253,14 @@ def sentences(n: int, seed: int = 5) -> Iterator[tuple[str, list[tuple[int, str,
 
     def phone() -> str:
         a, b, c = digits(3), digits(3), digits(4)
-        return r.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"({a}) {b} {c}", f"{a}.{b}.{c}", f"00{digits(2)} {a} {b} {c}", f"+{digits(2)}/{a}/{b}{c}"])
+        return r.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"({a}) {b} {c}", f"{a}.{b}.{c}", f"({a}){b}-{c}", f"00{digits(2)} {a} {b} {c}", f"+{digits(2)}/{a}/{b}{c}"])
 
     def email() -> str:
-        name, host, top = r.choice([word(), f"{word()}.{word()}", word() + digits(2)]), word(), r.choice(["com", "org", "net", "de", "fr"])
-        return r.choice([f"{name} @ {host}.{top}", f"{name} [at] {host} [dot] {top}", f"{name}[at]{host}.{top}", f"{name} (at) {host} (dot) {top}", f"{name}(at){host}.{top}", f"{name}@{host} . {top}"])
+        name = r.choice([word(), word(), f"{word()}.{word()}", word() + digits(2), f"{word()[0]}.{word()}", f"{word()}_{word()}", f"{word()}_{word()[0]}{digits(2)}"])
+        host, top = r.choice([word(), word(), f"{word()}-{word()}", f"{word()}.{word()}"]), r.choice(["com", "org", "net", "de", "fr", "pl", "co.uk", "info"])
+        at = r.choice([" @ ", " [at] ", "[at]", " (at) ", "(at)", "@ ", " @"])
+        dot = r.choice([".", ".", " [dot] ", "[dot]", " (dot) ", "(dot)"]) if "@" not in at or r.random() < 0.5 else "."
+        return f"{name}{at}{dot.join([*host.split('.'), *top.split('.')])}" if r.random() < 0.9 else f"{name}@{host} . {top}"
 
     def ip() -> str:
         parts = [str(r.randint(0, 255)) for _ in range(4)]
@@ -241,12 +269,12 @@ def sentences(n: int, seed: int = 5) -> Iterator[tuple[str, list[tuple[int, str,
     def other() -> str:
         return r.choice([
             f"{r.randint(1900, 2030)}", f"{digits(2)}.{digits(2)}.{r.randint(1990, 2030)}", f"{r.randint(1990, 2030)}-{digits(2)}-{digits(2)}", f"{digits(2)}:{digits(2)}:{digits(2)}", f"{r.randint(1, 9)}.{r.randint(0, 20)}.{r.randint(0, 9)}",
-            f"${r.randint(1, 999)},{digits(3)}.{digits(2)}", f"{digits(3)}-{digits(4)}", f"{r.randint(1, 400)} - {r.randint(1, 400)}", digits(r.randint(1, 20)), f"{digits(4)} {digits(4)} {digits(4)} {digits(3)}", f"{word()}_{digits(4)}", f"{word()} = {digits(3)}.{digits(2)}", f"sk-{word()}{digits(6)}{word()}", f"{r.randint(256, 999)}.{digits(3)}.{digits(2)}.{digits(1)}", f"@{word()}", f"{digits(1)} {digits(1)} {digits(1)}", f"({digits(4)})", f"[{digits(2)}]", f"{digits(5)}-{digits(3)}-{digits(5)}", f"{digits(2)}%", f"v{digits(1)}.{digits(1)}", f"({word()} {r.randint(1900, 2030)})",
+            f"${r.randint(1, 999)},{digits(3)}.{digits(2)}", f"{digits(3)}-{digits(4)}", f"{r.randint(1, 400)} - {r.randint(1, 400)}", digits(r.randint(1, 20)), f"{digits(4)} {digits(4)} {digits(4)} {digits(3)}", f"{word()}_{digits(4)}", f"{word()} = {digits(3)}.{digits(2)}", f"sk-{word()}{digits(6)}{word()}", f"{r.randint(256, 999)}.{digits(3)}.{digits(2)}.{digits(1)}", f"@{word()}", f"{digits(1)} {digits(1)} {digits(1)}", f"({digits(4)})", f"[{digits(2)}]", f"{digits(5)}-{digits(3)}-{digits(5)}", f"{digits(2)}%", f"v{digits(1)}.{digits(1)}", f"({word()} {r.randint(1900, 2030)})", f"{word()}[at] {word()}", f"{word()} (at) {word()}", f"{word()}[{digits(1)}] @ {word()}[{digits(1)}]", f"{word()} @ {digits(1)}.{digits(2)}", f"{digits(3)}-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}", f"{digits(4)} . {digits(2)}", f"{digits(1)} - {digits(1)} ({digits(1)} - {digits(1)})",
         ])
 
-    makers = {"email": (email, ["mail", "contact", "email", "write", ""]), "ip": (ip, ["host", "server", "ip", ""]), "card": (card, ["card", "visa", "pay", ""]), "phone": (phone, ["call", "phone", "tel", "fax", ""])}
+    makers = {"email": (email, ["mail", "Mail", "contact", "email", "write to", "under", "is", ""]), "ip": (ip, ["host", "server", "Block", "at", "ip", ""]), "card": (card, ["card", "visa", "Card number", "with", "pay", ""]), "phone": (phone, ["call", "Call", "phone", "number is", "tel", "fax", ""])}
     for _ in range(n):
-        text, spans = " ".join(word() for _ in range(r.randint(0, 3))), []
+        text, spans = " ".join(free() for _ in range(r.randint(0, 3))), []
         for _ in range(r.randint(1, 2)):
             text += r.choice([" ", " ", ", ", ". ", "\n"]) if text else ""
             if r.random() < 0.55:
@@ -257,24 +285,24 @@ def sentences(n: int, seed: int = 5) -> Iterator[tuple[str, list[tuple[int, str,
                 spans.append((len(text), kind, len(text) + len(own)))
             else:
                 own = other()
-            text += own + r.choice([" ", ".", ", ", ""]) + " ".join(word() for _ in range(r.randint(0, 2)))
+            text += own + r.choice([" ", ".", ", ", ""]) + " ".join(free() for _ in range(r.randint(0, 2)))
         yield text, spans
 
 
 @cache
 def trained(n: int = 700, epochs: int = 4, rate: float = 0.3) -> Field:
     """The field, learned from n generated sentences; the same each time."""
-    own, seen, every = Field(), {}, list(sentences(n))
+    own, seen, every = Field(), {}, [prepared(*x) for x in sentences(n)]
     for _ in range(epochs):
-        for text, spans in every:
-            own.learn(text, spans, rate, seen)
+        for sentence in every:
+            own.learn(*sentence, rate, seen)
     return own
 
 
-def all_spans(text: str, own: Field) -> list[tuple[int, str, int, bool]]:
+def all_spans(text: str, own: Field, limits: Limits = Limits()) -> list[tuple[int, str, int, bool]]:
     """(start, kind, end, base) by start, then kind."""
     base = base_spans(text)
-    more = own.spans(text, base)
+    more = own.spans(text, base, limits=limits)
     return sorted([(*x, True) for x in base] + [(*x, False) for x in more], key=lambda x: (x[0], KINDS.index(x[1])))
 
 
@@ -282,7 +310,7 @@ _MARK = np.zeros(256, bool)
 _MARK[list(b"0123456789@")] = True
 
 
-def _each(batches: Iterator[pa.RecordBatch], own: Field, text: str, inner: bool = False) -> Iterator[tuple[pa.RecordBatch, list]]:
+def _each(batches: Iterator[pa.RecordBatch], own: Field, text: str, inner: bool = False, limits: Limits = Limits()) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Batches with the spans of their rows; texts without a seed aren't decoded."""
     for batch in batches:
         for part in slices(batch, text, inner=inner):
@@ -292,21 +320,23 @@ def _each(batches: Iterator[pa.RecordBatch], own: Field, text: str, inner: bool
             for i in range(part.num_rows):
                 t = flat[at[i] : at[i + 1]]
                 seeds = marks[i] or re.search(rb"[\[(] ?at ?[\])]", t, re.I)
-                out.append(all_spans(t.decode(), own) if seeds else [])
+                out.append(all_spans(t.decode(), own, limits) if seeds else [])
             yield part, out
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
     """(id, pii) of every row: spans by start (code points), then kind; `base` marks those of the patterns.
 
-    Null and empty texts have none; repeated rows get equal ones; an empty table gives none.
+    Null and empty texts have none; repeated rows get equal ones; an empty table gives none.  Very long
+    texts are searched whole, in stretches around digits and @ signs; spans that the field adds keep
+    within `limits` (entities are bounded in this method), those of the patterns have any length.
     """
     own = docs.sparkSession.sparkContext.broadcast(trained())
     source = docs.select(docs[id_col].alias("id"), text_column(docs, text_col))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, found in _each(batches, own.value, "text"):
+        for part, found in _each(batches, own.value, "text", limits=limits):
             rows = [[{"kind": k, "start": s, "end": e, "base": b} for s, k, e, b in x] for x in found]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, kind)], names=["id", "pii"])
 
@@ -323,16 +353,17 @@ def cover(text: str, spans: list[tuple[int, str, int, bool]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame, text_col: str = "text", size_col: str | None = None) -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text", size_col: str | None = None, limits: Limits = Limits()) -> DataFrame:
     """All columns of docs, with `<KIND>` in place of personal data; `size_col` gets the new number of code points.
 
-    Null and empty texts stay as they are.
+    Null and empty texts stay as they are; repeated rows are treated alike; very long texts are
+    searched whole (`find`); other columns, whatever their names, are passed on; an empty table stays empty.
     """
     own = docs.sparkSession.sparkContext.broadcast(trained())
     source = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, found in _each(batches, own.value, text_col, inner=True):
+        for part, found in _each(batches, own.value, text_col, inner=True, limits=limits):
             texts = part.column(0).field(text_col).cast(pa.string()).to_pylist()
             new = [cover(t, x) if x else t for t, x in zip(texts, found, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(new, pa.string())], names=["row", "seen"])

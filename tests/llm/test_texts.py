@@ -44,7 +44,92 @@ def test_field_finds_other_forms_and_little_else():
         assert set(base) <= got
         n, right = n + len(gold), right + len(got & set(gold))
         wrong += len(got - set(gold) - set(base))
-    assert right >= 0.55 * n and wrong <= 0.03 * n
+    assert right >= 0.75 * n and wrong <= 0.03 * n
+
+
+#: Written by hand, not by the templates that the field learns from: a sentence and the spans in it that no pattern finds.
+HAND = [
+    ("Please reach Anna Kowalska under anna.kowalska [at] uni-krakow [dot] pl before Friday.", "email:anna.kowalska [at] uni-krakow [dot] pl"),
+    ("Questions? Drop a line to support(at)blue-lagoon.org and we reply within two days.", "email:support(at)blue-lagoon.org"),
+    ("His address is j.smith @ example.co.uk, but he rarely reads it.", "email:j.smith @ example.co.uk"),
+    ("Contact: info [at] museum.fr for group visits.", "email:info [at] museum.fr"),
+    ("write to chris_b99[at]mailbox[dot]net now", "email:chris_b99[at]mailbox[dot]net"),
+    ("Adresse mail : claire.dubois(at)laposte(dot)fr, merci", "email:claire.dubois(at)laposte(dot)fr"),
+    ("Mail bob @ acme.com about the 2019 audit.", "email:bob @ acme.com"),
+    ("Our office number is (212) 555-0187, open weekdays from 9 to 5.", "phone:(212) 555-0187"),
+    ("Call 415-555-2671 and ask for the night manager.", "phone:415-555-2671"),
+    ("Teléfono: 0034 912 345 6789, extensión 12.", "phone:0034 912 345 6789"),
+    ("tel. (030) 901 8203 is the switchboard.", "phone:(030) 901 8203"),
+    ("(212)555-0187", "phone:(212)555-0187"),
+    ("The gateway sits at 192[.]168[.]14[.]7 behind the firewall.", "ip:192[.]168[.]14[.]7"),
+    ("Block 10 . 0 . 33 . 254 at once, it scans our ports.", "ip:10 . 0 . 33 . 254"),
+    ("She paid with 4111.1111.1111.1111 and kept the receipt.", "card:4111.1111.1111.1111"),
+    ("Card number 5500/0000/0000/0004, expires next year.", "card:5500/0000/0000/0004"),
+    ("visa 4012  8888  8888  1881 was declined twice", "card:4012  8888  8888  1881"),
+    ("In 1987 the band sold 120,000 copies at $9.99 each.", ""),
+    ("Version 2.4.11 fixes 37 bugs (see tickets 10045-10052).", ""),
+    ("The meeting of 12.05.2023 was moved to 14:30 in room 204.", ""),
+    ("Order 4111 1111 1111 1112 shipped; tracking 9400 1000 0000 0000.", ""),
+    ("ISBN 978-3-16-148410-0 is out of print.", ""),
+    ("Latitude 48.8566, longitude 2.3522, altitude 35 m.", ""),
+    ("Follow @nightowl or @spacecat for updates.", ""),
+    ("Pages 101 - 145 cover the years 1914 - 1918.", ""),
+    ("The score was 3 - 2 (1 - 1) after 120 minutes.", ""),
+    ("Invoice no. 2023-000457, total 1.299,00 EUR.", ""),
+    ("def f(x): return x[0] @ y[1]  # 2 by 2", ""),
+    ("see arr[at] and call it (at) noon", ""),
+    ("He lives at 221 Baker Street, London NW1 6XE.", ""),
+    ("sha1 2fd4e1c67a2d28fced849ee1bb76e7391b93eb12 matched", ""),
+    ("Population: 8,804,190 (2020); density 11,313.81 per km2.", ""),
+    ("He scored 42 points in 1962, 100 in one game.", ""),
+    ("Phone 555-0187 after six.", ""),
+]
+
+
+def test_field_finds_spans_in_sentences_of_no_template():
+    own, n, right, wrong = pii.trained(), 0, 0, []
+    for text, gold in HAND:
+        got = [f"{k}:{text[s:e]}" for s, k, e, base in pii.all_spans(text, own) if not base]
+        n, right = n + bool(gold), right + (gold in got)
+        wrong += [x for x in got if x != gold]
+    assert right >= 0.8 * n and not wrong
+
+
+def test_chances_and_best_way_equal_those_of_all_ways():
+    """Every way to cut a short text into segments and single outside tokens, one by one."""
+    own = pii.trained()
+    for text in ("call (212) 555-0187 or 4", "a@ b.com", "1 . 2 . 3 . 4"):
+        bounds, places = pii.segments(text, 0, len(text))
+        scores = [own.scores(pii.features(text, bounds[i], bounds[j])) for i, j in places]
+        n, ways = len(bounds) - 1, []
+
+        def go(at, score, taken, places=places, scores=scores, n=n, ways=ways):
+            if at == n:
+                ways.append((score, taken))
+                return
+            go(at + 1, score, taken)
+            for k, (i, j) in enumerate(places):
+                if i == at:
+                    for kind in range(len(pii.KINDS)):
+                        go(j, score + scores[k][kind], (*taken, (k, kind)))
+
+        go(0, 0.0, ())
+        assert len(ways) > 5
+        total = np.logaddexp.reduce([s for s, _ in ways])
+        top = max(ways)
+        best = own.best(n, places, scores)
+        assert abs(sum(scores[k][kind] for k, kind in best) - top[0]) < 1e-9
+        found = own.chances(n, places, scores)
+        for k in range(len(places)):
+            for kind in range(len(pii.KINDS)):
+                want = np.exp(np.logaddexp.reduce([s for s, taken in ways if (k, kind) in taken]) - total)
+                assert abs(found[k][kind] - want) < 1e-9
+
+
+def test_longer_entities_are_found_within_wider_limits():
+    own, text = pii.trained(), "write to anna.b @ " + ".".join(["verylonghostname"] * 4) + ".com today"
+    assert not [x for x in pii.all_spans(text, own, pii.Limits(chars=40)) if not x[3]]
+    assert [x[1] for x in pii.all_spans(text, own, pii.Limits(tokens=40, chars=120, around=120))] == ["email"]
 
 
 def test_spans_and_redaction(spark, odd, none):
