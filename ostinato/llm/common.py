@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -78,23 +79,6 @@ def slices(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_BYTES,
         lo = hi
 
 
-class Ids(dict):
-    """Numbers for words, made by `make` at the first sight of a word; it forgets all when it is full."""
-
-    def __init__(self, make, limit: int = 200_000):
-        super().__init__()
-        self.make, self.limit = make, limit
-
-    def __missing__(self, word):
-        value = self[word] = self.make(word)
-        return value
-
-    def of(self, words: list, dtype=np.int64) -> np.ndarray:
-        if len(self) > self.limit:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), dtype, len(words))
-
-
 def translation(keep: bytes) -> bytes:
     """For bytes.translate: A-Z in lower case, `keep` and all bytes of non-ASCII letters stay, the rest become spaces."""
     table = bytearray(b" " * 128 + bytes(range(128, 256)))
@@ -188,6 +172,105 @@ def word_hashes(text: np.ndarray, start: np.ndarray, end: np.ndarray, most: int
     return out
 
 
+def _distinct(words: np.ndarray) -> np.ndarray:
+    """Where each different row stands first."""
+    rows = np.ascontiguousarray(words).view(f"S{8 * words.shape[1]}").ravel()  # of one width, so zeros at the end count
+    return np.unique(rows, return_index=True)[1]
+
+
+class WordTable:
+    """Token ids of words, for as long as it lives.
+
+    Words of up to `LONG` bytes are kept, byte for byte; a hash only says where to look.  Only words
+    not seen before, and all longer ones, reach `encode_words`.  When it is full it forgets all.
+    """
+
+    SLOTS = 1 << 22
+    LONG = 32
+
+    def __init__(self, encode_words: Callable[[list[str]], list[list[int]]], limit: int = 1_200_000):
+        self.encode_words, self.limit = encode_words, limit
+        self.reset()
+
+    def reset(self) -> None:
+        self.slots = np.full(self.SLOTS, -1, np.int32)
+        self.words, self.at, self.n = np.zeros((1 << 15, self.LONG // 8 + 1), np.uint64), np.zeros(1 << 15, np.int64), 0
+        self.ids = np.zeros(1 << 16, np.uint32)
+
+    def _slot(self, words: np.ndarray) -> np.ndarray:
+        return (mixed(words) >> np.uint64(42)).astype(np.int64)
+
+    def _find(self, words: np.ndarray) -> np.ndarray:
+        """The number of each word (its bytes and length), or -1."""
+        found, slot = np.full(len(words), -1, np.int64), self._slot(words)
+        left = np.arange(len(words))
+        while len(left):
+            row = self.slots[slot[left]]
+            same = (row >= 0) & (self.words[row] == words[left]).all(1)
+            found[left[same]] = row[same]
+            left = left[~same & (row >= 0)]
+            slot[left] = (slot[left] + 1) % self.SLOTS
+        return found
+
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words and how many each has."""
+        found = self.encode_words(words)
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
+
+    def _learn(self, fresh: np.ndarray, words: list[str]) -> None:
+        """Enter words that aren't there."""
+        ids, sizes = self._encoded(words)
+        n, end = self.n + len(words), self.at[self.n] + sizes.cumsum()
+        while n + 2 > len(self.at):
+            self.at, self.words = np.concatenate([self.at, np.zeros_like(self.at)]), np.concatenate([self.words, np.zeros_like(self.words)])
+        while end[-1] > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.at[self.n] : end[-1]] = ids
+        self.at[self.n + 1 : n + 1] = end
+        self.words[self.n : n] = fresh
+        slot, left = self._slot(fresh), np.arange(len(words))
+        while len(left):
+            _, first = np.unique(slot[left], return_index=True)  # one word for each free slot
+            first = first[self.slots[slot[left[first]]] < 0]
+            self.slots[slot[left[first]]] = self.n + left[first]
+            left = np.delete(left, first)
+            slot[left] = (slot[left] + (self.slots[slot[left]] >= 0)) % self.SLOTS
+        self.n = n
+
+    def _rows(self, flat: bytes, words: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        rows = self._find(words)
+        missing = np.flatnonzero(rows < 0)
+        if len(missing):
+            first = missing[_distinct(words[missing])]
+            if self.n + len(first) > self.limit:
+                self.reset()
+                missing = np.arange(len(words))
+                first = _distinct(words)
+            self._learn(words[first], [flat[s:e].decode() for s, e in zip(start[first].tolist(), end[first].tolist(), strict=True)])
+            rows[missing] = self._find(words[missing])
+        return rows
+
+    def look_up(self, keys: np.ndarray, flat: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, one after another, and how many each has; words are known by `keys` (bytes, or what they are the same as)."""
+        keys, parts, sizes = padded(keys, self.LONG), [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for k in range(0, len(start), 1 << 17):
+            s, e = start[k : k + (1 << 17)], end[k : k + (1 << 17)]
+            n, begin = np.zeros(len(s), np.int64), np.zeros(len(s), np.int64)
+            short = np.flatnonzero(e - s <= self.LONG)
+            rows = self._rows(flat, exact_words(keys, s[short], e[short], self.LONG), s[short], e[short])
+            n[short] = self.at[rows + 1] - self.at[rows]
+            ids, begin[short] = self.ids, self.at[rows]
+            if len(short) < len(s):
+                long = np.flatnonzero(e - s > self.LONG)
+                more, n[long] = self._encoded([flat[a:b].decode() for a, b in zip(s[long].tolist(), e[long].tolist(), strict=True)])
+                ids, begin[long] = np.concatenate([ids, more]), len(ids) + n[long].cumsum() - n[long]
+            ends = n.cumsum()
+            parts.append(ids[np.repeat(begin - (ends - n), n) + np.arange(int(ends[-1]))])
+            sizes.append(n)
+        return np.concatenate(parts), np.concatenate(sizes)
+
+
 def word_bounds(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of each word; words stand between spaces and never cross rows (at: the rows' bounds)."""
     inside = np.zeros(len(text) + 2, bool)

@@ -14,14 +14,13 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, exact_words, mixed, padded, slices, text_column
+from .common import WordTable, as_bytes, cut, slices, text_column
 
 CAPACITY = 2048
 #: Pieces of one length that one task numbers, about.
@@ -39,89 +38,18 @@ _CLASS[ord("'")] = 3
 _CLASS[list(_SPACE)] = 0
 
 
-def _distinct(words: np.ndarray) -> np.ndarray:
-    """Where each different row stands first."""
-    rows = np.ascontiguousarray(words).view(f"S{8 * words.shape[1]}").ravel()  # of one width, so zeros at the end count
-    return np.unique(rows, return_index=True)[1]
-
-
-class WordTokenizer:
+class WordTokenizer(WordTable):
     """Ids of whole texts from a lower-casing tokenizer that never joins text over white space, or letters with signs.
 
-    Texts are cut into words there.  Words of up to `LONG` bytes are kept, byte for byte, in a table that
-    lives as long as the worker; a hash only says where to look.  Only words not seen before, and all
-    longer ones, reach the tokenizer.
+    Texts are cut into words there, and a `WordTable` keeps their ids for as long as the worker lives.
     """
 
-    SLOTS = 1 << 22
-    LONG = 32
-
     def __init__(self, path: str, limit: int = 1_200_000):
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.inner.get_added_tokens_decoder().values()]
-        self.limit = limit
-        self.reset()
-
-    def reset(self) -> None:
-        self.slots = np.full(self.SLOTS, -1, np.int32)
-        self.words, self.at, self.n = np.zeros((1 << 15, self.LONG // 8 + 1), np.uint64), np.zeros(1 << 15, np.int64), 0
-        self.ids = np.zeros(1 << 16, np.uint32)
-
-    def _slot(self, words: np.ndarray) -> np.ndarray:
-        return (mixed(words) >> np.uint64(42)).astype(np.int64)
-
-    def _find(self, words: np.ndarray) -> np.ndarray:
-        """The number of each word (its bytes and length), or -1."""
-        found, slot = np.full(len(words), -1, np.int64), self._slot(words)
-        left = np.arange(len(words))
-        while len(left):
-            row = self.slots[slot[left]]
-            same = (row >= 0) & (self.words[row] == words[left]).all(1)
-            found[left[same]] = row[same]
-            left = left[~same & (row >= 0)]
-            slot[left] = (slot[left] + 1) % self.SLOTS
-        return found
-
-    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all words and how many each has."""
-        found = [e.ids for e in self.inner.encode_batch(words, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
-
-    def _learn(self, fresh: np.ndarray, words: list[str]) -> None:
-        """Enter words that aren't there."""
-        ids, sizes = self._encoded(words)
-        n, end = self.n + len(words), self.at[self.n] + sizes.cumsum()
-        while n + 2 > len(self.at):
-            self.at, self.words = np.concatenate([self.at, np.zeros_like(self.at)]), np.concatenate([self.words, np.zeros_like(self.words)])
-        while end[-1] > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.at[self.n] : end[-1]] = ids
-        self.at[self.n + 1 : n + 1] = end
-        self.words[self.n : n] = fresh
-        slot, left = self._slot(fresh), np.arange(len(words))
-        while len(left):
-            _, first = np.unique(slot[left], return_index=True)  # one word for each free slot
-            first = first[self.slots[slot[left[first]]] < 0]
-            self.slots[slot[left[first]]] = self.n + left[first]
-            left = np.delete(left, first)
-            slot[left] = (slot[left] + (self.slots[slot[left]] >= 0)) % self.SLOTS
-        self.n = n
-
-    def _rows(self, flat: bytes, words: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        rows = self._find(words)
-        missing = np.flatnonzero(rows < 0)
-        if len(missing):
-            first = missing[_distinct(words[missing])]
-            if self.n + len(first) > self.limit:
-                self.reset()
-                missing = np.arange(len(words))
-                first = _distinct(words)
-            self._learn(words[first], [flat[s:e].decode() for s, e in zip(start[first].tolist(), end[first].tolist(), strict=True)])
-            rows[missing] = self._find(words[missing])
-        return rows
+        super().__init__(lambda words: [e.ids for e in self.inner.encode_batch(words, add_special_tokens=False)], limit)
 
     def encode(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, one after another, and the n + 1 bounds."""
@@ -136,24 +64,9 @@ class WordTokenizer:
         inside = np.concatenate([[False], kind > 0, [False]])
         start = np.flatnonzero(inside[1:-1] & (new[:-1] | ~inside[:-2]))
         end = np.flatnonzero(inside[1:-1] & (new[1:] | ~inside[2:])) + 1
-        lower, flat, parts, sizes = padded(_LOWER[raw], self.LONG), raw.tobytes(), [], []
-        for k in range(0, len(start), 1 << 17):
-            s, e = start[k : k + (1 << 17)], end[k : k + (1 << 17)]
-            n = np.zeros(len(s), np.int64)
-            short = np.flatnonzero(e - s <= self.LONG)
-            rows = self._rows(flat, exact_words(lower, s[short], e[short], self.LONG), s[short], e[short])
-            n[short] = self.at[rows + 1] - self.at[rows]
-            ids, begin = self.ids, np.zeros(len(s), np.int64)
-            begin[short] = self.at[rows]
-            if len(short) < len(s):
-                long = np.flatnonzero(e - s > self.LONG)
-                more, n[long] = self._encoded([flat[a:b].decode() for a, b in zip(s[long].tolist(), e[long].tolist(), strict=True)])
-                ids, begin[long] = np.concatenate([ids, more]), len(ids) + n[long].cumsum() - n[long]
-            ends = n.cumsum()
-            parts.append(ids[np.repeat(begin - (ends - n), n) + np.arange(int(ends[-1]))])
-            sizes.append(n)
-        total = np.concatenate([[0], np.concatenate(sizes).cumsum()]) if sizes else np.zeros(1, np.int64)
-        return np.concatenate(parts) if parts else np.zeros(0, np.uint32), total[np.searchsorted(start, at)]
+        ids, sizes = self.look_up(_LOWER[raw], raw.tobytes(), start, end)
+        total = np.concatenate([[0], sizes.cumsum()])
+        return ids, total[np.searchsorted(start, at)]
 
     def texts(self, raw: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
         """Ids of each row; a text that spells out a special token goes to the tokenizer whole, which gives it that token's id."""

@@ -168,11 +168,70 @@ def test_fertility_measures(spark, odd, none):
     df = spark.createDataFrame([(1, junk), (2, " ".join(f"ordinary{k} words{3 * k} number {k} here" for k in range(40))), (3, " ".join(["zq" * 30] * 20 + [f"w{k}" for k in range(60)]))], "doc_id long, text string")
     got = {r.doc_id: r for r in fertility.report(df).collect()}
     assert got[1].byte_share > 0.8 and got[2].kept and got[2].byte_share == 0
-    tight = {"latin": fertility.Band(50.0, 60.0, 0.1, 3.0), "other": fertility.BANDS["other"]}
-    assert not any(r.kept for r in fertility.measure(df.filter("doc_id = 2"), fertility.vocabulary(), bands=tight).collect())
-    assert fertility.measure(odd, fertility.vocabulary(), lang_col="lang").count() == odd.count()
-    assert fertility.measure(none, fertility.vocabulary()).count() == 0
-    assert fertility.script_of("где слово", 17) == "cyrillic" and fertility.script_of("12 34", 5) == "other"
+    tight = {"latin": fertility.Band(50.0, 60.0, 0.1, 3.0, 9.0), "other": fertility.BANDS["other"]}
+    assert not any(r.kept for r in fertility.measure(df.filter("doc_id = 2"), fertility.vocabularies(), bands=tight).collect())
+    assert fertility.measure(odd, fertility.vocabularies(), lang_col="lang").count() == odd.count()
+    assert fertility.measure(none, fertility.vocabularies()).count() == 0 and fertility.fit(fertility.report(none)) == {}
+    assert fertility.script_of("где слово", 17) == "cyrillic" and fertility.script_of("12 34", 5) == "none"
+
+
+PROSE = """The old mill stood at the bend of the river, and nobody in the village could say who had built it or when its wheel had
+last turned. Children went there in summer to swim below the broken weir, while their parents told them stories of a miller who
+had sold his shadow for a sack of golden flour. When the council finally decided to restore the building, the workers found a
+small iron box behind the hearth, and in it a bundle of letters that nobody had opened for more than a hundred years."""
+
+
+def test_junk_is_rejected_by_the_bands(spark):
+    """What the base rules keep: random letters, encoded data, keys hit at random, digits, signs and wrongly decoded text; prose stays."""
+    import base64
+    import random
+
+    r = random.Random(4)
+    any_of = lambda signs, n: "".join(r.choice(signs) for _ in range(n))
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    bad = {
+        "letters": " ".join(any_of(lower, r.randint(3, 9)) for _ in range(200)),
+        "base64": " ".join(base64.b64encode(r.randbytes(30)).decode() for _ in range(60)),
+        "hex": " ".join(r.randbytes(12).hex() for _ in range(80)),
+        "keys": " ".join(any_of("asdfjkl;", 7) for _ in range(150)),
+        "digits": " ".join(str(r.randrange(10**6)) for _ in range(200)),
+        "signs": " ".join(any_of("#*$%&|<>!?", 4) for _ in range(150)),
+        "decoded": " ".join(any_of("äöüéèßñ", 5).encode().decode("latin1") for _ in range(150)),
+        "scripts": " ".join("".join(chr(r.randrange(0x12000, 0x12300)) for _ in range(4)) for _ in range(80)),
+    }
+    prose = {"prose": PROSE, "upper": PROSE.upper(), "lines": PROSE.replace(",", ",\n")}
+    got = {x.doc_id: x for x in fertility.report(spark.createDataFrame([*bad.items(), *prose.items()], "doc_id string, text string")).collect()}
+    assert not any(x.base_failed for x in got.values())
+    assert [k for k in bad if got[k].kept and k != "scripts"] == [] and all(got[k].kept for k in prose)
+    own = fertility.fit(fertility.report(queries.read(spark, "/root/testdata/sf0.01", "documents")))
+    limits = {**fertility.BANDS, **own}
+    again = {x.doc_id: x.kept for x in fertility.measure(spark.createDataFrame([*bad.items()], "doc_id string, text string"), fertility.vocabularies(), bands=limits).collect()}
+    assert not again["letters"] and not again["base64"] and not again["hex"]
+
+
+def test_measures_equal_plain_ones(spark):
+    """Token by token, from the vocabularies themselves."""
+    import math
+    from collections import Counter
+
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    one, two = fertility.vocabularies()
+    pieces, lower = sentencepiece.SentencePieceProcessor(model_file=one), Tokenizer.from_file(two)
+    docs = queries.read(spark, SF, "documents").select("doc_id", "text").limit(80).unionByName(spark.createDataFrame([(-1, PROSE + " " + "x" * 99), (-2, "\U00012345 é漢字"), (-3, None)], "doc_id long, text string"))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in fertility.report(docs).collect():
+        words = re.findall(r"[^\x20\x09-\x0D]+", texts[r.doc_id])
+        ids = [k for w in words for k in pieces.encode(w)]
+        chars, n = sum(map(len, words)), max(1, len(ids))
+        entropy = -sum(c / n * math.log2(c / n) for c in Counter(ids).values())
+        small = max(1, len(lower.encode(texts[r.doc_id], add_special_tokens=False).ids))
+        want = (chars / n, sum(map(pieces.is_byte, ids)) / n, entropy, chars / small)
+        assert np.allclose((r.chars_per_token, r.byte_share, r.entropy, r.lower_chars_per_token), want)
+        b = fertility.BANDS[r.band]
+        inside = b.least_chars <= want[0] <= b.most_chars and want[1] <= b.most_bytes and b.least_entropy <= want[2] <= b.most_bits * want[0] and b.least_lower <= want[3]
+        assert r.kept == (not r.base_failed and (len(ids) < 20 or inside))
 
 
 def test_decontamination_in_blocks(spark, odd, none):
