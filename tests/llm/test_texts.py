@@ -199,7 +199,8 @@ def test_junk_is_rejected_by_the_bands(spark):
         "decoded": " ".join(any_of("äöüéèßñ", 5).encode().decode("latin1") for _ in range(150)),
         "scripts": " ".join("".join(chr(r.randrange(0x12000, 0x12300)) for _ in range(4)) for _ in range(80)),
     }
-    prose = {"prose": PROSE, "upper": PROSE.upper(), "lines": PROSE.replace(",", ",\n")}
+    bad["shouting"] = " ".join(f"{w}!!" for w in PROSE.upper().split())
+    prose = {"prose": PROSE, "short": " ".join(PROSE.split()[:55]), "lines": PROSE.replace(",", ",\n")}
     got = {x.doc_id: x for x in fertility.report(spark.createDataFrame([*bad.items(), *prose.items()], "doc_id string, text string")).collect()}
     assert not any(x.base_failed for x in got.values())
     assert [k for k in bad if got[k].kept and k != "scripts"] == [] and all(got[k].kept for k in prose)
@@ -230,7 +231,7 @@ def test_measures_equal_plain_ones(spark):
         want = (chars / n, sum(map(pieces.is_byte, ids)) / n, entropy, chars / small)
         assert np.allclose((r.chars_per_token, r.byte_share, r.entropy, r.lower_chars_per_token), want)
         b = fertility.BANDS[r.band]
-        inside = b.least_chars <= want[0] <= b.most_chars and want[1] <= b.most_bytes and b.least_entropy <= want[2] <= b.most_bits * want[0] and b.least_lower <= want[3]
+        inside = b.least_chars <= want[0] <= b.most_chars and want[1] <= b.most_bytes and min(b.least_entropy, 0.8 * math.log2(n)) <= want[2] <= b.most_bits * want[0] and b.least_lower <= want[3] <= b.most_gain * want[0]
         assert r.kept == (not r.base_failed and (len(ids) < 20 or inside))
 
 
