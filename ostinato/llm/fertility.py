@@ -51,7 +51,7 @@ class Band:
 #: Of the other scripts the tables have no text: their limits only shut out what falls back to bytes in
 #: a script that the vocabulary has letters of, and what repeats or mixes tokens beyond any writing.
 BANDS = {
-    "latin": Band(1.4, 8.0, 0.1, 3.7, 3.8, 1.5, 1.18),
+    "latin": Band(1.4, 8.0, 0.1, 3.7, 3.74, 1.5, 1.18),
     "cyrillic": Band(1.1, 8.0, 0.1, 3.0, 5.0),
     "greek": Band(0.9, 6.0, 0.4, 3.0, 6.5),
     "arabic": Band(0.8, 6.0, 0.4, 3.0, 7.0),
