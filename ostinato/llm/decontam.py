@@ -1,27 +1,30 @@
 """Benchmark decontamination with suffix arrays over shards of the training text.
 
 Each shard (a run of whole documents in one task) gets an array of its word suffixes in
-lexicographic order.  Every suffix of the test items is looked up there by binary search: the
-bounds of its first `window` words are all places where it occurs verbatim.  Places on one
-diagonal (document position minus item position) that follow one another are one longest match.
-
-Only suffixes that begin like some test suffix are entered in the array: a suffix whose first
-`seed` words never follow one another in a test item can't match a window of `seed` words or
-more.  Test items are taken in blocks of bounded size; each block is broadcast, and the hits
-of all blocks are joined, so neither side has to fit into memory.
+lexicographic order.  Every different window of the test items is looked up there by binary
+search: its bounds are all places where it occurs verbatim.  Places on one diagonal (document
+position minus item position) that follow one another are one longest match.
+
+Only suffixes that begin like some test suffix are entered in the array: a suffix whose first four
+words never follow one another in a test item can't match a longer window (items of fewer words
+have tables of their own).  Windows are looked up once, however many items share them, and lead to
+their items only after a document's windows are known.  Test items are taken in blocks of bounded
+size; each block is broadcast, and what further blocks hit is joined to the documents, so neither
+side has to fit into memory.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, as_bytes, inner_text, slices, text_column, written
+from .common import ALNUM, as_bytes, inner_text, slices, text_column
 
 #: Words of test items in one broadcast block at most (an item alone may be longer).
 BLOCK_WORDS = 2_000_000
@@ -33,95 +36,95 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(ALNUM).split()
 
 
-def _seed(ids: np.ndarray, width: int) -> np.ndarray:
-    """A slot of the seed table for the `width` words from each position on."""
-    n = len(ids) - width + 1
-    key = np.zeros(max(n, 0), np.uint64)
-    for j in range(width):
-        key = key * np.uint64(0x9E3779B97F4A7C15) + ids[j : j + max(n, 0)].astype(np.uint64)
+def _slots(rows: np.ndarray) -> np.ndarray:
+    """A slot of the seed table for each row of word numbers."""
+    key = np.zeros(len(rows), np.uint64)
+    for j in range(rows.shape[1]):
+        key = key * np.uint64(0x9E3779B97F4A7C15) + rows[:, j].astype(np.uint64)
     return (key * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - _BITS)
 
 
+def _seed(ids: np.ndarray, width: int) -> np.ndarray:
+    """Slots of the `width` words from each position on."""
+    return _slots(np.lib.stride_tricks.sliding_window_view(ids, width))
+
+
+def _expand(begin: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ranges of n places from begin: which range, and which place, one after another."""
+    which = np.repeat(np.arange(len(n)), n)
+    return which, np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(len(which))
+
+
 @dataclass
 class TestSuffixes:
-    """The suffixes of a block of test items, ready to be looked up."""
+    """The different windows of a block of test items in order, and the (item, place) pairs of each from `first` on."""
 
     __test__ = False
 
     window: int
     vocabulary: dict[bytes, int] = field(default_factory=dict)
     names: list = field(default_factory=list)
-    lengths: np.ndarray = None
     low: np.ndarray = None
     high: np.ndarray = None
+    span: np.ndarray = None
+    first: np.ndarray = None
     item: np.ndarray = None
     start: np.ndarray = None
-    span: np.ndarray = None
-    seed: int = 1
-    seeds: np.ndarray = None
+    seeds: dict[int, np.ndarray] = field(default_factory=dict)
 
     @classmethod
     def build(cls, items: list[tuple[object, bytes]], window: int) -> TestSuffixes:
         t = cls(window)
-        rows = []
+        keys, item, start = [np.zeros((0, window), ">u4")], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for name, text in items:
-            if ids := [t.vocabulary.setdefault(w, len(t.vocabulary) + 1) for w in words_of(text)]:
-                rows.append((len(t.names), np.array(ids, np.uint32)))
-                t.names.append(name)
-        t.lengths = np.array([len(ids) for _, ids in rows], np.int64)
-        t.seed = int(min([4, window, *t.lengths])) if rows else 1
-        t.seeds = np.zeros(1 << _BITS, bool)
-        keys, tops, item, start, span = [], [], [], [], []
-        for k, ids in rows:
-            width = min(window, len(ids))
+            if not (ids := [t.vocabulary.setdefault(w, len(t.vocabulary) + 1) for w in words_of(text)]):
+                continue
+            ids = np.array(ids, np.uint32)
+            width, seed = min(window, len(ids)), min(4, window, len(ids))
             n = len(ids) - width + 1
             padded = np.zeros((n, window), ">u4")
             padded[:, :width] = np.lib.stride_tricks.sliding_window_view(ids, width)
-            top = padded.copy()
-            top[:, width:] = 0xFFFFFFFF
             keys.append(padded)
-            tops.append(top)
-            item.append(np.full(n, k, np.int64))
+            item.append(np.full(n, len(t.names), np.int64))
             start.append(np.arange(n, dtype=np.int64))
-            span.append(np.full(n, width, np.int64))
-            t.seeds[_seed(ids, t.seed)] = True
-        text = lambda parts: np.ascontiguousarray((np.concatenate(parts) if parts else np.zeros((0, window))).astype(">u4")).view(f"S{4 * window}").ravel()
-        flat = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        t.low, t.high, t.item, t.start, t.span = text(keys), text(tops), flat(item), flat(start), flat(span)
+            t.names.append(name)
+            t.seeds.setdefault(seed, np.zeros(1 << _BITS, bool))[_seed(ids, seed)] = True
+        text = lambda x: np.ascontiguousarray(x.astype(">u4")).view(f"S{4 * window}").ravel()
+        every = np.concatenate(keys)
+        t.low, one, which = np.unique(text(every), return_index=True, return_inverse=True)
+        different = every[one].reshape(-1, window)
+        t.span = (different > 0).sum(1).astype(np.int64)
+        t.high = text(np.where(different > 0, different, 0xFFFFFFFF))
+        order = np.argsort(which, kind="stable")
+        t.item, t.start = np.concatenate(item)[order], np.concatenate(start)[order]
+        t.first = np.searchsorted(which[order], np.arange(len(t.low) + 1))
         return t
 
     def places(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(test suffix, position) of every occurrence of a window in a shard's words; 0 stands for words that no item has."""
-        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if not len(self.low) or len(ids) < self.seed:
-            return none
-        known = ids > 0
-        run = known[: len(ids) - self.seed + 1].copy()
-        for j in range(1, self.seed):
-            run &= known[j : j + len(run)]
-        at = np.flatnonzero(run)
-        if not len(at):
-            return none
-        near = ids[at[:, None] + np.arange(self.seed)]
-        key = np.zeros(len(at), np.uint64)
-        for j in range(self.seed):
-            key = key * np.uint64(0x9E3779B97F4A7C15) + near[:, j].astype(np.uint64)
-        at = at[self.seeds[(key * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - _BITS)]]
-        if not len(at):
-            return none
+        """(window, position) of every occurrence in a shard's words; 0 stands for words that no item has."""
+        at = [np.zeros(0, np.int64)]
+        for seed, table in self.seeds.items():
+            if len(ids) >= seed:
+                known = np.lib.stride_tricks.sliding_window_view(ids > 0, seed).all(1)
+                near = np.flatnonzero(known)
+                at.append(near[table[_slots(ids[near[:, None] + np.arange(seed)])]])
+        at = np.unique(np.concatenate(at))
         padded = np.concatenate([ids, np.zeros(self.window, ids.dtype)])
         suffixes = np.ascontiguousarray(padded[at[:, None] + np.arange(self.window)].astype(">u4")).view(f"S{4 * self.window}").ravel()
         order = np.argsort(suffixes, kind="stable")
         suffixes, at = suffixes[order], at[order]
         lo, hi = np.searchsorted(suffixes, self.low, "left"), np.searchsorted(suffixes, self.high, "right")
-        n = hi - lo
-        which = np.repeat(np.arange(len(n)), n)
-        first = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-        return which, at[first + np.arange(len(which))]
+        which, place = _expand(lo, hi - lo)
+        return which, at[place]
+
+    def items_of(self, windows: np.ndarray) -> np.ndarray:
+        """The items that have one of these windows."""
+        n = self.first[windows + 1] - self.first[windows]
+        return np.unique(self.item[_expand(self.first[windows], n)[1]])
 
 
 def _shard(batch: pa.RecordBatch, tests: TestSuffixes, text: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words per document, first word of each document in the shard, and suffix, document and place of each occurrence."""
+    """Words per document, first word of each document in the shard, and window, document and place of each occurrence."""
     raw, at = as_bytes(batch.column(batch.schema.get_field_index("text")) if text is None else inner_text(batch, text))
     raw, get = raw.tobytes(), tests.vocabulary.get
     counts, parts = np.zeros(batch.num_rows, np.int64), []
@@ -147,30 +150,49 @@ def joined(a: list[int], b: list[int]) -> list[int]:
     return out
 
 
+def _judged(part: pa.RecordBatch, tests: TestSuffixes, text: str | None) -> tuple[np.ndarray, list[list[int]], list[list[str]]]:
+    """Words, runs of hit words and sorted items of each row."""
+    counts, first, which, doc, place = _shard(part, tests, text)
+    spans, names = [[] for _ in range(part.num_rows)], [[] for _ in range(part.num_rows)]
+    order = np.lexsort((place, doc))
+    which, doc, place = which[order], doc[order], place[order]
+    bounds = np.searchsorted(doc, np.arange(part.num_rows + 1))
+    for i in np.unique(doc):
+        lo, hi = bounds[i], bounds[i + 1]
+        begin = place[lo:hi] - first[i]
+        end = np.maximum.accumulate(begin + tests.span[which[lo:hi]])
+        new = np.concatenate([[True], begin[1:] > end[:-1]])
+        last = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(begin) - 1]])
+        spans[i] = np.stack([begin[new], end[last]], 1).ravel().tolist()
+        names[i] = sorted({str(tests.names[k]) for k in tests.items_of(np.unique(which[lo:hi]))})
+    return counts, spans, names
+
+
 def _scan(batches: Iterator[pa.RecordBatch], tests: TestSuffixes, text: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, text, inner=True):
-            counts, first, which, doc, place = _shard(part, tests, text)
-            spans = [[] for _ in range(part.num_rows)]
-            names = [[] for _ in range(part.num_rows)]
-            order = np.lexsort((place, doc))
-            which, doc, place = which[order], doc[order], place[order]
-            bounds = np.searchsorted(doc, np.arange(part.num_rows + 1))
-            for i in np.unique(doc):
-                lo, hi = bounds[i], bounds[i + 1]
-                begin = place[lo:hi] - first[i]
-                end = np.maximum.accumulate(begin + tests.span[which[lo:hi]])
-                new = np.concatenate([[True], begin[1:] > end[:-1]])
-                last = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(begin) - 1]])
-                spans[i] = np.stack([begin[new], end[last]], 1).ravel().tolist()
-                names[i] = sorted({str(tests.names[k]) for k in np.unique(tests.item[which[lo:hi]])})
-            if part.num_columns > 1:
-                for i, (old, known) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)):
-                    spans[i], names[i] = joined(old, spans[i]), sorted({*known, *names[i]})
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(counts), pa.array(spans, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))],
-                names=["row", "n_words", "hit_spans", "items"],
-            )
+            counts, spans, names = _judged(part, tests, text)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts), pa.array(spans, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))], names=["row", "n_words", "hit_spans", "items"])
+
+
+def _found(batches: Iterator[pa.RecordBatch], tests: TestSuffixes) -> Iterator[pa.RecordBatch]:
+    """(one, two, spans, names) of the texts that a further block hits."""
+    for batch in batches:
+        for part in slices(batch):
+            _, spans, names = _judged(part, tests, None)
+            hit = [i for i, x in enumerate(spans) if x]
+            at = pa.array(hit, pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array([spans[i] for i in hit], pa.list_(pa.int64())), pa.array([names[i] for i in hit], pa.list_(pa.string()))], names=["one", "two", "spans", "names"])
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (row, n_words, hit_spans, items, more), where more is null or has the spans and names of other blocks."""
+    for batch in batches:
+        spans, names = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        for i in np.flatnonzero(batch.column(4).is_valid().to_numpy(zero_copy_only=False)).tolist():
+            for other in batch.column(4)[i].as_py():
+                spans[i], names[i] = joined(spans[i], other["spans"]), sorted({*names[i], *other["names"]})
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))], names=["row", "n_words", "hit_spans", "items"])
 
 
 def blocks(tests: DataFrame, id_col: str, text_col: str, window: int, block_words: int = BLOCK_WORDS) -> Iterator[TestSuffixes]:
@@ -187,7 +209,8 @@ def matches(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col:
     """Longest verbatim matches: `id_col`, item, doc_word, item_word, n_words.
 
     A row is a maximal run of equal words of at least `window` words (of the whole item where it
-    is shorter).  Null ids of items are left out; a null text has no words.
+    is shorter).  Null ids of items are left out; a null text has no words; very long texts are
+    searched whole; repeated rows have rows each, and so has each of several items that share a match.
     """
     spark = docs.sparkSession
     source = docs.select(docs[id_col].alias("id"), text_column(docs, text_col))
@@ -200,7 +223,9 @@ def matches(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col:
             for batch in batches:
                 for part in slices(batch):
                     _, first, which, doc, place = _shard(part, t)
-                    begin, item, start, span = place - first[doc], t.item[which], t.start[which], t.span[which]
+                    pair, each = _expand(t.first[which], t.first[which + 1] - t.first[which])
+                    doc, place, span = doc[pair], place[pair], t.span[which[pair]]
+                    begin, item, start = place - first[doc], t.item[each], t.start[each]
                     order = np.lexsort((begin, begin - start, item, doc))
                     doc, begin, item, start, span = (x[order] for x in (doc, begin, item, start, span))
                     new = np.ones(len(doc), bool)
@@ -224,19 +249,33 @@ def hits(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col: st
 
     Returns all columns of docs and n_words, hit_spans (start, end, start, end ... of the runs of
     hit words), items (ids of matched items as sorted strings).  Columns of docs with those names
-    are replaced.  A null or empty text has no words; repeated rows are judged alike; test items
-    with a null id or no words are left out.
+    are replaced.  A null or empty text has no words; very long texts are searched whole; repeated
+    rows are judged alike; test items with a null id or no words are left out; with equal ids (ties)
+    all their windows count as one item's.  An empty table gives none.
+
+    The first block of test items is scanned without a shuffle.  What further blocks hit is met by
+    the documents through two hashes of their text.
     """
     spark = docs.sparkSession
     kept = [c for c in docs.columns if c not in ("n_words", "hit_spans", "items")]
-    source = docs.select(F.struct(*[docs[c] for c in kept]).alias("row"))
-    shape = f"row {source.schema['row'].dataType.simpleString()}, n_words long, hit_spans array<long>, items array<string>"
-    found = None
+    row = F.struct(*[docs[c] for c in kept]).alias("row")
+    shape = f"row {docs.select(row).schema['row'].dataType.simpleString()}, n_words long, hit_spans array<long>, items array<string>"
+    text = text_column(docs, text_col)
+    keys = docs.select(text).select(F.xxhash64("text").alias("one"), F.xxhash64(F.lit(5), "text").alias("two"), "text")
+    found, more = None, []
     for block in blocks(tests, item_col, item_text_col, window, block_words):
         shared = spark.sparkContext.broadcast(block)
-        # each further block adds to the rows of the ones before, without a shuffle; written, so that a task holds one block
-        before = source if found is None else written(found)
-        found = before.mapInArrow(lambda batches, shared=shared: _scan(batches, shared.value, text_col), shape)
+        if found is None:
+            found = docs.select(row).mapInArrow(lambda batches, shared=shared: _scan(batches, shared.value, text_col), shape)
+        else:
+            own = keys.mapInArrow(lambda batches, shared=shared: _found(batches, shared.value), "one long, two long, spans array<long>, names array<string>")
+            # copies of a text are hit alike
+            more.append(own.groupBy("one", "two").agg(F.first(F.struct("spans", "names")).alias("hit")))
+    if more:
+        every = reduce(DataFrame.unionByName, more).groupBy("one", "two").agg(F.collect_list("hit").alias("more"))
+        own = F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit(""))
+        met = found.join(every, (F.xxhash64(own) == F.col("one")) & (F.xxhash64(F.lit(5), own) == F.col("two")), "left")
+        found = met.select("row", "n_words", "hit_spans", "items", "more").mapInArrow(_merged, shape)
     return found.select("row.*", "n_words", "hit_spans", "items")
 
 

@@ -263,6 +263,25 @@ def test_decontamination_in_blocks(spark, odd, none):
     assert {(x.doc_id, x.item) for x in runs} == {(d, i) for d, (_, _, names) in want.items() for i in names}
 
 
+def test_items_that_share_a_window_and_short_ones(spark):
+    """Ten thousand items with one instruction in common are looked up once; a one-word item doesn't let every suffix in."""
+    import time
+
+    common = " ".join(f"please{k}" for k in range(12))
+    items = [(k, f"{common} own{k} " + " ".join(f"x{k}y{j}" for j in range(3))) for k in range(10_000)] + [(-1, "lonely"), (-2, "two words")]
+    docs = [(k, f"a{k} {common} b", "") for k in range(300)] + [(1000, "Lonely is one, two words are two", ""), (1001, f"{common} own7 x7y0 x7y1 x7y2", ""), (1002, None, "")]
+    df, tests = spark.createDataFrame(docs, "doc_id long, text string, n_words string"), spark.createDataFrame(items, "item_id long, text string")
+    block = decontam.TestSuffixes.build([(i, t.encode()) for i, t in items], 10)
+    assert len(block.low) == 3 + 4 * 10_000 + 2 and sorted(block.seeds) == [1, 2, 4]
+    began = time.time()
+    got = {x.doc_id: x for x in decontam.hits(df, tests).collect()}
+    assert time.time() - began < 60
+    assert all(got[k].n_words == 14 and got[k].hit_spans == [1, 13] and len(got[k]["items"]) == 10_000 for k in range(300))
+    assert got[1000].hit_spans == [0, 1, 3, 5] and got[1000]["items"] == ["-1", "-2"] and got[1001].hit_spans == [0, 16] and got[1002].n_words == 0
+    whole = {(x.item, x.doc_word, x.item_word, x.n_words) for x in decontam.matches(df.filter("doc_id = 1001"), tests).filter("n_words > 13").collect()}
+    assert whole == {("7", 0, 0, 16)}
+
+
 def test_urls(spark):
     assert urls.split_url("HTTP://A.Com/x?y#z") == ("a.com", "/x") and urls.split_url(None) == ("", "") and urls.split_url("a.b/c") == ("", "")
     assert urls.split_url("x://ab") == ("ab", "") and urls.split_url("x://İB?q/") == ("İb", "")
