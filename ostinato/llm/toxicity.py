@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Rolling, as_bytes, inner_text, slices, word_bounds
+from .common import ALNUM, Rolling, as_bytes, inner_text, slices, word_bounds, written
 
-#: Labelled rows of each class that learning takes at most, about.
-SAMPLE_ROWS = 3000
+#: Labelled rows of each class that learning takes at most, and bytes of their features (4 for each different one of a text).
+SAMPLE_ROWS, SAMPLE_BYTES = 3000, 64 << 20
 _FILTER_BITS = 20
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -109,21 +109,23 @@ def in_fold(id_col: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, folds: int = 5, held_out: int = 0) -> Model:
-    """A model from at most about `sample_rows` rows of each label outside the held-out fold.
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, folds: int = 5, held_out: int = 0) -> Model:
+    """A model from at most `sample_rows` rows and `sample_bytes` of features of each label outside the held-out fold.
 
-    The rows are chosen by a hash of their id, so the same table gives the same model.  Null ids,
-    texts and labels are left out; with no two labels to tell apart, all scores are the one label.
+    Rows are chosen by a hash of id and text, so the same table gives the same model.  Where more of
+    one label are left out than of the other, the bias is put right for it, so that scores mean the
+    same at every size.  Null ids, texts and labels are left out; of equal ids with both labels 1
+    holds; with no two labels to tell apart, all scores are the one label.
     """
     known = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("y")).filter("id IS NOT NULL AND y IN (0, 1)").filter(~in_fold(F.col("id"), folds, held_out))
     counts = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Model()
-    share = F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1_000_003
+    spread = lambda *c: F.pmod(F.xxhash64(*c), F.lit(1_000_003)) / 1_000_003
     rate = F.lit(0.0)
     for y, n in counts.items():
-        rate = F.when(F.col("y") == y, min(1.0, sample_rows / n)).otherwise(rate)
-    few = known.filter(share < rate).groupBy("id").agg(F.max("y").alias("y"))  # of bounded size, see `rate`
+        rate = F.when(F.col("y") == y, min(1.0, 1.1 * sample_rows / n)).otherwise(rate)  # a tenth more than are taken
+    few = known.filter(spread("id") < rate).groupBy("id").agg(F.max("y").alias("y"))  # of bounded size, see `rate`
     source = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).filter("text IS NOT NULL").join(F.broadcast(few), "id").select("id", "y", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,14 +139,30 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 own = [np.unique(x).tobytes() for x in np.split(keys[order], cuts)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(own, pa.binary())], names=["id", "y", "x"])
 
-    found = source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, y int, x binary").orderBy(F.xxhash64("id"), "id", "x")
-    return ftrl([(np.frombuffer(r.x, np.uint32), r.y) for r in found.toLocalIterator()])
+    found = source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, y int, x binary")
+    found = written(found.select(F.xxhash64("id", "x").alias("h"), "y", "x"))
+    rows, odds = [], 0.0
+    for y in counts:
+        own = found.filter(F.col("y") == y)
+        total, left, taken = own.count(), sample_bytes, 0
+        for r in own.orderBy("h", "x").limit(sample_rows).toLocalIterator():
+            left -= len(r.x)
+            if left < 0 and taken:
+                break
+            rows.append((r.h, r.x, y))
+            taken += 1
+        # of the rows with this label, those of the ids chosen, and of those the ones taken
+        share = taken / max(total, 1) * min(1.0, 1.1 * sample_rows / counts[y])
+        odds += (1 if y == 0 else -1) * np.log(max(share, 1e-12))
+    model = ftrl([(np.frombuffer(x, np.uint32), y) for _, x, y in sorted(rows)])
+    return Model(model.keys, model.weights, model.bias + odds) if np.isfinite(model.bias) and len(model.keys) else model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of docs and `score`, the chance of label 1; null and empty texts get what the bias gives.
 
-    A column of docs named `score` is replaced.  Repeated rows get the same score, an empty table none.
+    A column of docs named `score` is replaced.  Very long texts are scored whole, repeated rows get the
+    same score, an empty table none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c != "score"]
@@ -162,7 +180,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that score under the threshold, with their own columns."""
+    """The documents that score under the threshold, with their own columns.
+
+    Null and empty texts have what the bias gives (under one half where most labels are 0); very long
+    texts are scored whole; repeated rows stay or go together; an empty table stays empty.
+    """
     found = score(docs.withColumnRenamed("score", "_score"), learn(docs, labels, id_col, text_col), id_col, text_col)
     return found.filter(F.col("score") < threshold).drop("score").withColumnRenamed("_score", "score")
 

@@ -292,6 +292,19 @@ def test_urls(spark):
     assert urls.judge(df.filter("1 = 0"), urls.RULES).count() == 0 and urls.judge(df, []).count() == len(rows)
 
 
+def test_rules_in_several_arrays_and_from_a_table(spark, odd, none):
+    """More rules than one array holds: the longest wins over all arrays, whichever has it."""
+    rules = [urls.Rule("allow" if k % 3 else "block", f"h{k}.com", f"/p{k % 7}/") for k in range(40)] + list(urls.RULES)
+    pages = [(k, f"http://a.h{k % 45}.com/p{k % 7}/x" + "y" * (9000 if k == 3 else 0)) for k in range(90)] + [(k + 100, u) for k, u in enumerate(["http://www.example.com/en/1", "http://m.example.com/en/", None, ""])]
+    df = spark.createDataFrame(pages, "page_id long, url string").selectExpr("*", "'x' AS host", "page_id AS verdict")
+    want = sorted((r.page_id, r.rule, r.verdict) for r in urls.judge(df, rules).collect())
+    few = sorted((r.page_id, r.rule, r.verdict) for r in urls.judge(df, rules, block_rules=6).collect())
+    table = spark.createDataFrame([(r.verdict, r.host, r.path) for r in rules] + [(None, "com", "/"), ("block", None, None)], "verdict string, host string, path string")
+    assert want == few == sorted((r.page_id, r.rule, r.verdict) for r in urls.judge(df, table, block_rules=6).collect())
+    assert len({v for _, _, v in want}) == 2 and any(r and r.startswith("h") for _, r, _ in want)
+    assert urls.judge(odd, rules, url_col="text").count() == odd.count() and urls.judge(none, table, url_col="text").count() == 0
+
+
 def test_equal_digests_are_told_apart(tmp_path):
     strings, same = [b"aa/", b"bb/", b"cc/"], lambda _: 5
     data, order = urls.DigestArray.pack(strings, same)
