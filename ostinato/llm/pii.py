@@ -292,7 +292,8 @@ def sentences(n: int, seed: int = 5) -> Iterator[tuple[str, list[tuple[int, str,
 @cache
 def trained(n: int = 700, epochs: int = 4, rate: float = 0.3) -> Field:
     """The field, learned from n generated sentences; the same each time."""
-    own, seen, every = Field(), {}, [prepared(*x) for x in sentences(n)]
+    own, seen, same = Field(), {}, {}
+    every = [(n_, places, [[same.setdefault(f, f) for f in x] for x in found], right) for n_, places, found, right in (prepared(*x) for x in sentences(n))]
     for _ in range(epochs):
         for sentence in every:
             own.learn(*sentence, rate, seen)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import ALNUM, Rolling, as_bytes, inner_text, slices, word_bounds, written
 
 #: Labelled rows of each class that learning takes at most, and bytes of their features (4 for each different one of a text).
-SAMPLE_ROWS, SAMPLE_BYTES = 3000, 64 << 20
+SAMPLE_ROWS, SAMPLE_BYTES = 3000, 24 << 20
 _FILTER_BITS = 20
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -78,14 +78,14 @@ def ftrl(rows: list[tuple[np.ndarray, int]], alpha: float = 1.0, beta: float = 1
     """Learn from (distinct features, label) rows in their order; features of fewer than `least_rows` rows are left out."""
     if len({y for _, y in rows}) < 2:  # nothing to tell apart
         return Model(bias=500.0 if rows and rows[0][1] else -np.inf)
-    every, counts = np.unique(np.concatenate([x for x, _ in rows]), return_counts=True)
-    every = every[counts >= least_rows]
+    flat = np.sort(np.concatenate([x for x, _ in rows]))
+    head = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    every = flat[head[np.diff(np.append(head, len(flat))) >= least_rows]]
+    del flat, head
     indexed = []
     for x, y in rows:
-        place = np.searchsorted(every, x)
-        ok = place < len(every)
-        place = place[ok]
-        indexed.append((np.append(place[every[place] == x[ok]], len(every)), y))  # the last is the bias
+        place = np.searchsorted(every, x[np.isin(x, every)]).astype(np.int32)
+        indexed.append((np.append(place, np.int32(len(every))), y))  # the last is the bias
     z, n = np.zeros(len(every) + 1), np.zeros(len(every) + 1)
     sparse = np.append(np.full(len(every), l1), 0.0)
 
