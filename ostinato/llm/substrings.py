@@ -12,16 +12,19 @@ shuffle many times the text, so positions share names as long as their context i
 3. Where an anchor occurs again in different stretches, one copy of each stretch is sorted by
    rank, and its windows are ranked at growing offsets, without those that are unique.
 
-Ranks are 64-bit names of byte stretches, not dense numbers, so no round needs a global count.
-A rank that very many different stretches share is spread over tasks, window by window.
+Ranks are names of byte stretches, not dense numbers, so no round needs a global count: an anchor's
+is a 64-bit rolling hash, a stretch's that and an xxhash of all its bytes, two unlike names that must
+both be equal, and what windows of one anchor have in common is compared byte by byte.  A rank that very many different stretches share is spread over tasks, window by window.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,7 +67,8 @@ def stretches(raw: np.ndarray, at: np.ndarray, length: int, seed: int, rolling:
     n = np.diff(np.append(head, len(p)))
     start, anchor, row = p[head], anchor[head], row[head]
     offset = anchor - start
-    whole = rolling.of(sums, start, start + n + length - 1) ^ ((offset * 4096 + n).astype(np.uint64) * _MIX)
+    flat = raw.tobytes()
+    whole = np.fromiter((xxhash.xxh3_64_intdigest(flat[s:e], k) for s, e, k in zip(start.tolist(), (start + n + length - 1).tolist(), (offset * 4096 + n).tolist(), strict=True)), np.uint64, len(start))
     return row, start - at[row], n, offset, names[anchor], whole
 
 
@@ -171,11 +175,11 @@ def _second(source: DataFrame, length: int, seed: int, again, look, hot) -> Data
                 flat, begin = raw.tobytes(), start + at[row]
                 yield rows(cold, packed[cold], bytes_=[flat[b : b + k + length - 1] for b, k in zip(begin[cold].tolist(), n[cold].tolist(), strict=True)])
                 if len(spread):
-                    sums = rolling.load(raw)
                     each = np.repeat(spread, n[spread])
                     step = np.arange(len(each)) - np.repeat(np.cumsum(n[spread]) - n[spread], n[spread])
                     p = begin[each] + step
-                    window = rolling.of(sums, p, p + length) ^ ((offset[each] - step).astype(np.uint64) * _MIX) ^ anchor[each].view(np.uint64)
+                    # windows with the anchor at the same place are told by all their bytes
+                    window = np.fromiter((xxhash.xxh3_64_intdigest(flat[i : i + length], k) for i, k in zip(p.tolist(), (offset[each] - step).tolist(), strict=True)), np.uint64, len(p))
                     yield rows(each, (start[each] + step + lo) << 24 | (1 << 12), window=window.view(np.int64))
 
     return source.mapInArrow(run, f"id {kind}, key long, packed long, anchor long, whole long, bytes binary, window long")
@@ -184,7 +188,8 @@ def _second(source: DataFrame, length: int, seed: int, again, look, hot) -> Data
 def grow(strings: list[bytes], offsets: np.ndarray, length: int, seed: int, rolling: Rolling) -> list[np.ndarray]:
     """For stretches with the same anchor: which windows of each occur again among them.
 
-    Windows are ranked by their first bytes, twice as many each round; those of unique rank drop out.
+    Windows are ranked by their first bytes, twice as many each round; those of unique rank drop out,
+    and the bytes of those that are left are compared.
     """
     raw = np.frombuffer(b"".join(strings), np.uint8)
     ends = np.cumsum([len(s) for s in strings])
@@ -200,6 +205,16 @@ def grow(strings: list[bytes], offsets: np.ndarray, length: int, seed: int, roll
         _, which, count = np.unique(rank, return_inverse=True, return_counts=True)
         again = count[which] > 1
         left, rank, have = left[again], rank[again], more
+    order = np.argsort(rank, kind="stable")
+    left, rank = left[order], rank[order]
+    head = np.flatnonzero(np.concatenate([[True], rank[1:] != rank[:-1]])) if len(left) else left
+    first = np.repeat(head, np.diff(np.append(head, len(left))))
+    windows = np.lib.stride_tricks.sliding_window_view(raw, length)
+    same = np.concatenate([(windows[p[left[k : k + 4096]]] == windows[p[left[first[k : k + 4096]]]]).all(1) for k in range(0, len(left), 4096)]) if len(left) else np.zeros(0, bool)
+    if not same.all():  # names that clash: the bytes themselves decide
+        at = (offsets[row] - step)[left]
+        names = Counter(zip(at.tolist(), map(bytes, windows[p[left]]), strict=True))
+        left = left[[names[k, bytes(w)] > 1 for k, w in zip(at.tolist(), windows[p[left]], strict=True)]]
     hit = np.zeros(len(row), bool)
     hit[left] = True
     return np.split(hit, np.cumsum(n)[:-1])
@@ -270,9 +285,9 @@ def repeats(source: DataFrame, length: int, seed: int) -> DataFrame:
     end = start + F.shiftright("packed", 12).bitwiseAND(F.lit(4095)) + (length - 1)
     full = second.filter("whole IS NOT NULL").join(again.select("anchor", "whole"), ["anchor", "whole"]).select("id", "key", start.alias("start"), end.alias("end"))
     cold = _third(second.filter("bytes IS NOT NULL"), length, seed)
-    spread = second.filter("window IS NOT NULL").select("id", "key", "packed", "window")
-    often = spread.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select("window")
-    warm = spread.join(often, "window").select("id", "key", start.alias("start"), end.alias("end"))
+    spread = second.filter("window IS NOT NULL").select("id", "key", "packed", "anchor", "window")
+    often = spread.groupBy("anchor", "window").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", "window")
+    warm = spread.join(often, ["anchor", "window"]).select("id", "key", start.alias("start"), end.alias("end"))
     return full.unionByName(cold).unionByName(warm)
 
 
@@ -309,7 +324,8 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
 
     A byte goes if a string of `length` bytes that covers it starts anywhere else in the table too.
     Null texts are empty; shorter texts stay whole; repeated rows are copies of one another, so all
-    of their bytes go if they are long enough.
+    of their bytes go if they are long enough.  Very long texts are searched whole, in overlapping
+    parts; other columns don't matter; an empty table gives none.
     """
     marked = _marked(docs, id_col, text_col, length, seed)
 

@@ -55,6 +55,19 @@ def test_substrings_of_spread_anchors(spark, monkeypatch):
     check(spark, copies(120, 3), 20, 6)
 
 
+def test_windows_whose_names_clash_are_compared(monkeypatch):
+    """With a rolling hash that gives everything one name, bytes decide."""
+    class Flat(substrings.Rolling):
+        def of(self, sums, start, end):
+            return np.zeros(len(np.atleast_1d(start)), np.uint64)
+
+    texts = [b"abcdefghijXYZabcdefgh", b"qbcdefghijXYZabcdefgz", b"mmmmmmmmmmXYZnnnnnnnn"]
+    for rolling in (Flat(), substrings.Rolling()):
+        got = substrings.grow(texts, np.array([10, 10, 10]), 12, 3, rolling)
+        want = [[sum(t[p : p + 12] == u[q : q + 12] and (i, p) != (j, q) for j, u in enumerate(texts) for q in (p,)) > 0 for p in range(len(t) - 11)] for i, t in enumerate(texts)]
+        assert [x.tolist() for x in got] == want and any(map(any, want))
+
+
 def test_stretches_hold_all_windows():
     raw = np.frombuffer("".join(copies(30, 4)).encode(), np.uint8)
     at = np.array([0, 500, 510, len(raw)])
