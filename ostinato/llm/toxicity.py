@@ -84,7 +84,9 @@ def ftrl(rows: list[tuple[np.ndarray, int]], alpha: float = 1.0, beta: float = 1
     del flat, head
     indexed = []
     for x, y in rows:
-        place = np.searchsorted(every, x[np.isin(x, every)]).astype(np.int32)
+        place = np.searchsorted(every, x)
+        place = place[place < len(every)]
+        place = place[every[place] == x[: len(place)]].astype(np.int32)  # x is sorted, so what lies beyond `every` is at its end
         indexed.append((np.append(place, np.int32(len(every))), y))  # the last is the bias
     z, n = np.zeros(len(every) + 1), np.zeros(len(every) + 1)
     sparse = np.append(np.full(len(every), l1), 0.0)
