@@ -82,12 +82,16 @@ def ftrl(rows: list[tuple[np.ndarray, int]], alpha: float = 1.0, beta: float = 1
     head = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
     every = flat[head[np.diff(np.append(head, len(flat))) >= least_rows]]
     del flat, head
-    indexed = []
-    for x, y in rows:
+    size = len(every)
+    found = np.empty(sum(len(x) for x, _ in rows) + len(rows), np.int32)  # the numbers of all rows' features in one array
+    bounds = [0]
+    for x, _ in rows:
         place = np.searchsorted(every, x)
-        place = place[place < len(every)]
-        place = place[every[place] == x[: len(place)]].astype(np.int32)  # x is sorted, so what lies beyond `every` is at its end
-        indexed.append((np.append(place, np.int32(len(every))), y))  # the last is the bias
+        place = place[place < size]
+        place = place[every[place] == x[: len(place)]]  # x is sorted, so what lies beyond `every` is at its end
+        found[bounds[-1] : bounds[-1] + len(place)] = place
+        bounds.append(bounds[-1] + len(place) + 1)
+        found[bounds[-1] - 1] = size  # the last is the bias
     z, n = np.zeros(len(every) + 1), np.zeros(len(every) + 1)
     sparse = np.append(np.full(len(every), l1), 0.0)
 
@@ -96,7 +100,8 @@ def ftrl(rows: list[tuple[np.ndarray, int]], alpha: float = 1.0, beta: float = 1
         return np.where(over > 0, -np.sign(z[k]) * over / ((beta + np.sqrt(n[k])) / alpha + l2), 0.0)
 
     for _ in range(epochs):
-        for k, y in indexed:
+        for at, end, (_, y) in zip(bounds[:-1], bounds[1:], rows, strict=True):
+            k = found[at:end]
             w = weights(k)
             g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y
             z[k] += g - (np.sqrt(n[k] + g * g) - np.sqrt(n[k])) / alpha * w
@@ -146,17 +151,21 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows, odds = [], 0.0
     for y in counts:
         own = found.filter(F.col("y") == y)
-        total, left, taken = own.count(), sample_bytes, 0
+        total, flat, used, taken = own.count(), np.empty(1 << 16, np.uint32), 0, 0
         for r in own.orderBy("h", "x").limit(sample_rows).toLocalIterator():
-            left -= len(r.x)
-            if left < 0 and taken:
+            x = np.frombuffer(r.x, np.uint32)
+            if taken and 4 * (used + len(x)) > sample_bytes:
                 break
-            rows.append((r.h, r.x, y))
-            taken += 1
+            while used + len(x) > len(flat):
+                flat = np.concatenate([flat, np.empty_like(flat)])
+            flat[used : used + len(x)] = x  # one array, so that nothing small stays behind in the driver
+            rows.append((r.h, y, len(rows), used, used + len(x)))
+            used, taken = used + len(x), taken + 1
+        rows = [(*row[:3], flat[row[3] : row[4]]) if len(row) == 5 else row for row in rows]
         # of the rows with this label, those of the ids chosen, and of those the ones taken
         share = taken / max(total, 1) * min(1.0, 1.1 * sample_rows / counts[y])
         odds += (1 if y == 0 else -1) * np.log(max(share, 1e-12))
-    model = ftrl([(np.frombuffer(x, np.uint32), y) for _, x, y in sorted(rows)])
+    model = ftrl([(x, y) for _, y, _, x in sorted(rows, key=lambda row: row[:3])])
     return Model(model.keys, model.weights, model.bias + odds) if np.isfinite(model.bias) and len(model.keys) else model
 
 
