@@ -320,7 +320,7 @@ def test_chat_windows(spark):
     rows += [(1, k, ["user", "assistant"][k % 2 == 0], "".join(r.choice(bits, r.integers(0, 300)))) for k in range(1, 120)]
     rows += [(None, None, None, None), (2, 0, "assistant", "x " * 5000), (2, 1, "user", "a"), (2, 1, "user", "a"), (3, 5, "assistant", "")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    found = chat.windows(df, budget=400, history=100, block=16)
+    found = chat.windows(df, budget=400, history=100, whole_turns=50)
     got = found.orderBy("conv_id", "window_start").collect()
     assert len([w for w in got if w.conv_id == 1]) > 5
     for w in got:
@@ -339,3 +339,25 @@ def test_chat_windows(spark):
     assert chat.windows(df.filter("1 = 0")).count() == 0
     plan = found._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_spread_conversations_have_the_same_windows(spark, odd, none):
+    r = np.random.default_rng(3)
+    turn = lambda: None if r.random() < 0.3 else int(r.integers(0, 40))
+    rows = [(1, turn(), str(r.choice(["user", "assistant", "system"], p=[0.49, 0.49, 0.02])), " ".join(r.choice(list("abc"), r.integers(0, 60)))) for _ in range(900)]
+    rows += [(None, None, "assistant", "the same")] * 300 + [(2, k, "a" * 100 + str(k % 3), "b" * 100 + str(r.integers(0, 5))) for k in range(30)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    whole, spread = (chat.windows(df, budget=300, history=80, whole_turns=n) for n in (10**6, 5))
+    assert sorted(map(repr, whole.collect())) == sorted(map(repr, spread.collect()))
+    clash = df.selectExpr("conv_id AS conv", "turn AS at", "role AS own", "text AS system", "1 AS n", "2 AS tail", "'x' AS block", "0 AS start", "0 AS tok")
+    named = chat.windows(clash, "conv", "at", "own", "system", budget=300, history=80, whole_turns=5).withColumnRenamed("conv", "conv_id")
+    assert sorted(map(repr, named.collect())) == sorted(map(repr, whole.collect()))
+    for n in (1, 10**6):
+        strange = chat.read_back(chat.windows(odd, "row", "key", "source", "text", whole_turns=n), "row")
+        assert sum(len(x.turns) for x in strange.collect()) == odd.count()
+        assert chat.windows(none, "row", "key", "source", "text", whole_turns=n).count() == 0
+
+
+def test_texts_of_chats_are_shuffled_once(spark):
+    plan = queries.QUERIES["op10_chat"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and not re.search("Python|Pandas|Arrow", plan)
