@@ -36,13 +36,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it from there; smaller on disk than a checkpoint."""
+def written(df: DataFrame, paths: list[str] | None = None) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it from there; smaller on disk than a checkpoint.
+
+    The folder is added to `paths`, for `dropped` once nothing reads it any more.
+    """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if paths is not None:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders that `written` made, and empty the list; what is still read must have been written elsewhere."""
+    sc = spark.sparkContext
+    while paths:
+        path = sc._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_column(df: DataFrame, text_col: str, alias: str = "text"):
     """The text as a string column in which null is empty."""
     return F.coalesce(df[text_col].cast("string"), F.lit("")).alias(alias)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import dropped, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -27,16 +27,21 @@ def _is_stars(edges: DataFrame) -> bool:
     return ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up")).filter("down > 1 OR (down > 0 AND up > 0)").isEmpty()
 
 
-def components(edges: DataFrame, a: str, b: str, most: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str, most: int = 60, paths: list[str] | None = None) -> DataFrame:
     """(node, component) of every node that has an edge to another node; component is its smallest node.
 
-    Edges stay distributed; each round is two aggregations, and its result is cut to the shared
-    folder.  Loops (a = b) and repeated edges don't matter; an empty list gives an empty result.
+    Edges stay distributed; each round is two aggregations, and its result is written to the shared
+    folder, where that of the round before is then deleted; the last one's folder is added to `paths`.  Loops (a = b) and repeated edges don't matter; an empty list gives an empty result.
     The number of rounds is logarithmic in the size of the largest component.
     """
-    now = cut(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a <> b").distinct())
+    own: list[str] = []
+    now = written(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a <> b").distinct(), own)
     for _ in range(most):
         if _is_stars(now):
+            if paths is not None:
+                paths += own
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-        now = cut(_small_star(_large_star(now)))
+        before, own = own, []
+        now = written(_small_star(_large_star(now)), own)
+        dropped(edges.sparkSession, before)
     raise RuntimeError(f"no star forest after {most} rounds")

@@ -152,6 +152,21 @@ def test_components_of_a_long_path(spark):
     assert got == {**{k: 0 for k in range(201)}, 600: 600, 601: 600}
 
 
+def test_superseded_tables_are_deleted(spark):
+    from pathlib import Path
+
+    from ostinato.llm import common, components
+
+    folder = Path(common.shared_dir(spark).removeprefix("file:"))
+    before, paths = set(folder.iterdir()), []
+    edges = spark.createDataFrame([(k, k + 1) for k in range(200)], "a long, b long")
+    found = components.components(edges, "a", "b", paths=paths)
+    assert {p.name for p in set(folder.iterdir()) - before} == {paths[0].rsplit("/", 1)[1]} and len(paths) == 1
+    assert {(r.node, r.component) for r in found.collect()} == {(k, 0) for k in range(201)}
+    common.dropped(spark, paths)
+    assert set(folder.iterdir()) == before and not paths
+
+
 def test_packing(spark, odd, none):
     from tokenizers import Tokenizer
 
