@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, fertility, langid, packing, pii, simhash, substrings, toxicity, urls
+from . import chat, decontam, fertility, langid, packing, pii, repair, simhash, substrings, toxicity, urls
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(read(spark, sf_dir, "conversations"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.report(read(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_pii": op2_pii,
@@ -64,8 +68,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_langid": op8_langid,
     "op9_simhash": op9_simhash,
     "op10_chat": op10_chat,
+    "op11_repair": op11_repair,
 }
 
+#: A list of 256 numbers, and the unsigned crc32 of a list of bytes with it.
+_CRC_TABLE = "list_transform(range(256), lambda i: list_reduce([i] || [0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END))"
+_CRC = "xor(4294967295, list_reduce([4294967295] || {bytes}, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))"
+
+
+def _edit(x: str, cost: str, name: str) -> str:
+    """A cost of six digits and an audit, after one more edit."""
+    return f"(lpad(CAST(CAST(left({x}, 6) AS BIGINT) + {cost} AS VARCHAR), 6, '0') || substr({x}, 7) || '{name}')"
+
+
+def _row_edits(kept: dict[str, str], chosen: list[str]) -> str:
+    """The least of keeping (initial: state before) and of giving a role."""
+    edits = [f"CASE WHEN code <> 'x' AND initial = '{i}' THEN {_edit(g, 'late', 'K')} END" for i, states in kept.items() for g in states.split()]
+    return ", ".join([*edits, *(f"CASE WHEN code <> 'x' THEN {_edit(g, '2 + late', 'R')} END" for g in chosen)])
+
 ORACLE_SQL: dict[str, str] = {
     "op10_chat": r"""
 WITH t AS (
@@ -90,6 +110,61 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(size) + coalesce(sum(size) FILTER (start >= stop - 256 AND role <> 'system' AND stop < total), 0) + 3 * count(DISTINCT begin) + coalesce(any_value(sys_size) * count(DISTINCT begin) FILTER (begin > sys_start), 0) AS BIGINT) AS formatted_chars
 FROM s GROUP BY conv_id
+""",
+    "op11_repair": rf"""
+WITH RECURSIVE crc AS MATERIALIZED (
+  SELECT {_CRC_TABLE} AS t
+), ruled AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_CRC.format(bytes="list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT))")} % 20 AS rule
+  FROM conversations, crc
+), d AS (
+  SELECT conv_id, turn, CASE rule WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE rule WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(range(CASE rule WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM ruled)
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d
+), f AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 't' ELSE '-' END AS fault,
+    left(role, 1) AS initial
+  FROM o
+), r AS MATERIALIZED (
+  SELECT *, CASE WHEN fault IN ('b', 'd') THEN 'x' ELSE '' END AS code, CASE fault WHEN 't' THEN 1 ELSE 0 END AS late,
+    coalesce(lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial NOT IN ('su', 'ua', 'au'), false) AS odd, i > 1 AS later
+  FROM f
+), steps(conv_id, i, b0, b1, b2, b3) AS (
+  SELECT conv_id, CAST(0 AS BIGINT), '000000', CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR) FROM r WHERE i = 1
+  UNION ALL
+  SELECT conv_id, i, {_edit("g0", "3", "D")}, least({_edit("g1", "3", "D")}, {_row_edits({"s": "g0"}, [])}),
+    least({_edit("g2", "3", "D")}, {_row_edits({"u": "g0 g1 g3"}, ["g0", "g1", "g3"])}), least({_edit("g3", "3", "D")}, {_row_edits({"a": "g2"}, ["g2"])})
+  FROM (
+    SELECT r.conv_id, r.i, code, late, initial, b0 AS g0, b1 AS g1, least(b2, {_edit("b0", "2", "I")}, {_edit("b1", "2", "I")}, {_edit("b3", "2", "I")}) AS g2, least(b3, {_edit("b2", "2", "I")}) AS g3
+    FROM steps JOIN r ON r.conv_id IS NOT DISTINCT FROM steps.conv_id AND r.i = steps.i + 1
+  )
+), ends AS (
+  SELECT conv_id, arg_max(least(b0, {_edit("b1", "4", "II")}, {_edit("b2", "2", "I")}, b3), i) AS best FROM steps GROUP BY conv_id
+), audits AS (
+  SELECT conv_id, CAST(left(best, 6) AS BIGINT) AS cost, substr(best, 7) AS audit FROM ends
+), edits AS (
+  SELECT conv_id, k, substr(audit, k, 1) AS edit, k - length(replace(left(audit, k), 'I', '')) AS inserted
+  FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS k FROM audits)
+), kept AS (
+  SELECT e.conv_id, k, edit, role, text, row_number() OVER (PARTITION BY e.conv_id ORDER BY k) AS m
+  FROM edits e LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM e.conv_id AND r.i = k - inserted AND edit <> 'I' WHERE edit <> 'D'
+), roles AS (
+  SELECT *, bool_or(m = 1 AND edit = 'K' AND left(role, 1) = 's') OVER (PARTITION BY conv_id) AS has_system FROM kept
+), repaired AS (
+  SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (m - has_system::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY m) AS lines
+  FROM roles GROUP BY conv_id
+), stats AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (odd) AS illegal
+  FROM r GROUP BY conv_id
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN stats s ON s.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN audits a ON a.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN repaired p ON p.conv_id IS NOT DISTINCT FROM c.conv_id
 """,
     "op6_urls": r"""
 WITH rules(verdict, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
