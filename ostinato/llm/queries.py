@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, fertility, langid, packing, pii, repair, simhash, substrings, toxicity, urls
+from . import chat, decontam, fertility, langid, packing, pii, quality, repair, simhash, substrings, toxicity, urls, variants
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -57,6 +57,14 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.report(read(spark, sf_dir, "conversations"))
 
 
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.report(read(spark, sf_dir, "documents"))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_pii": op2_pii,
@@ -69,6 +77,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_chat": op10_chat,
     "op11_repair": op11_repair,
+    "op12_variants": op12_variants,
+    "op13_quality": op13_quality,
 }
 
 #: A list of 256 numbers, and the unsigned crc32 of a list of bytes with it.
@@ -165,6 +175,38 @@ SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
   coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN stats s ON s.conv_id IS NOT DISTINCT FROM c.conv_id
 LEFT JOIN audits a ON a.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN repaired p ON p.conv_id IS NOT DISTINCT FROM c.conv_id
+""",
+    "op12_variants": rf"""
+WITH RECURSIVE crc AS MATERIALIZED (
+  SELECT {_CRC_TABLE} AS t
+), runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS w FROM documents
+), counted AS (
+  SELECT id, w, count(*) AS n FROM runs GROUP BY 1, 2
+), prefixes AS (
+  SELECT id, {_CRC.format(bytes="list_transform(string_split(id || ':', ''), lambda x: CAST(ascii(x) AS BIGINT))")} AS start FROM (SELECT DISTINCT id FROM counted), crc
+), hashed AS (
+  SELECT w, n, xor(4294967295, list_reduce([xor(4294967295, start)] || flatten(list_transform(string_split(w, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [195, unicode(x) - 64] END)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h
+  FROM counted JOIN prefixes USING (id), crc
+), v AS MATERIALIZED (
+  SELECT CASE WHEN h % 97 = 0 THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, CAST(sum(n) AS BIGINT) AS n
+  FROM hashed GROUP BY 1 HAVING sum(n) >= 3 AND length(word) >= 5
+), gone AS MATERIALIZED (
+  SELECT word, n, p, left(word, p - 1) || substr(word, p + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM v)
+), longer AS (
+  SELECT DISTINCT gone.word AS long, gone.n AS long_n, v.word AS short, v.n AS short_n FROM gone JOIN v ON gone.rest = v.word
+), near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM gone a JOIN gone b ON a.rest = b.rest AND a.p = b.p AND a.word <> b.word
+  UNION ALL SELECT long, short, short_n FROM longer UNION ALL SELECT short, long, long_n FROM longer
+), best AS (
+  SELECT word, other, other_n, count(*) OVER (PARTITION BY word) AS n_near FROM near QUALIFY row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) = 1
+), f AS MATERIALIZED (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * n THEN other END AS form, CASE WHEN other_n >= 2 * n THEN other_n END AS form_n FROM v LEFT JOIN best USING (word)
+), way(word, goal, k) AS (
+  SELECT word, form, 1 FROM f WHERE form IS NOT NULL
+  UNION ALL SELECT way.word, f.form, k + 1 FROM way JOIN f ON f.word = way.goal WHERE f.form IS NOT NULL
+)
+SELECT word, form, coalesce(r.goal, word) AS root, n, n_near, form_n FROM f LEFT JOIN (SELECT word, arg_max(goal, k) AS goal FROM way GROUP BY 1) r USING (word)
 """,
     "op6_urls": r"""
 WITH rules(verdict, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')

@@ -18,6 +18,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -262,7 +263,7 @@ def _replayed(audited: DataFrame) -> DataFrame:
             system[block[first]] = [str(roles[k])[:1] == "s" for k in first.tolist()]
             odd = (ordinal - system[block] + (start[block] == 2)) % 2 == 1
             chosen = pa.array(np.where(odd, "assistant", "user"), pa.string())
-            roles = pa.compute.if_else(pa.array(own), roles, chosen)
+            roles = pc.if_else(pa.array(own), roles, chosen)
             texts = inner.field(1).take(pa.array(row, mask=row < 0)).fill_null("") if len(inner) else pa.array([""] * len(kept))
             offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
             repaired = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([roles, texts], names=["role", "text"]))
