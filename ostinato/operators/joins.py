@@ -7,29 +7,66 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranges
 
-def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, value: str, seq: str | None = None) -> DataFrame:
-    """left, and `value` of the last right row of its keys at or before `at` (of equal times the last by `seq`; null if none).
 
-    One union and one window: rows are sorted once, and no pairs are made.
-    """
+def _united(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, value: str, seq: str | None) -> DataFrame:
     order = F.col(seq) if seq else F.lit(0)
     marks = right.select(*keys, F.col(at).alias("_at"), F.lit(0).alias("_side"), order.cast("long").alias("_seq"), F.struct(F.col(value).alias("v")).alias("_mark"))
     rows = left.select(*keys, F.col(at).alias("_at"), F.lit(1).alias("_side"), F.lit(0).cast("long").alias("_seq"), F.struct(*left.columns).alias("_row"))
-    both = marks.unionByName(rows, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("_at", "_side", "_seq").rowsBetween(Window.unboundedPreceding, 0)
-    seen = both.withColumn("_found", F.last("_mark", ignorenulls=True).over(w)).filter("_side = 1")
-    return seen.select("_row.*", F.col("_found.v").alias(value))
+    return marks.unionByName(rows, allowMissingColumns=True)
 
 
-def tempo_ms(events: DataFrame, changes: DataFrame, keys: Sequence[str], division: int | Column = 480, tick: str = "tick", micros: str = "micros", seq: str = "seq", start_micros: int = 500_000) -> DataFrame:
-    """events with `ms`: whole milliseconds of each tick over the tempo changes of its keys (of changes at one tick the last holds)."""
+def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, value: str, seq: str | None = None, whole_rows: int = ranges.WHOLE_ROWS) -> DataFrame:
+    """left, and `value` of the last right row of its keys at or before `at` (of equal times the last by `seq`; null if none).
+
+    One union and one window: rows are sorted once, and no pairs are made.  Keys of more than
+    `whole_rows` rows on both sides are cut at ranges of time, and each range gets the last mark before it.
+    """
+    both, order = _united(left, right, keys, at, value, seq), ["_at", "_side", "_seq"]
+    found = lambda df, by: df.withColumn("_found", F.last("_mark", ignorenulls=True).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    done = lambda df: df.filter("_side = 1").select("_row.*", F.col("_found.v").alias(value))
+    long = ranges.long_keys(ranges.counted(left, keys).unionByName(ranges.counted(right, keys)), keys, whole_rows)
+    if long is None:
+        return done(found(both, keys))
+    short, rest = ranges.split(both, keys, long)
+    rows = ranges.cut(rest, keys, order)
+    newest = F.max_by("_mark", F.when(F.col("_mark").isNotNull(), F.struct("_at", "_seq")))
+    rows = ranges.earlier(rows, keys, _carried=(newest, ranges.last))
+    met = found(rows, [*keys, ranges.RANGE]).withColumn("_found", F.coalesce("_found", "_carried"))
+    return done(found(short, keys)).unionByName(done(met))
+
+
+def tempo_ms(events: DataFrame, changes: DataFrame, keys: Sequence[str], division: int | Column = 480, tick: str = "tick", micros: str = "micros", seq: str = "seq", start_micros: int = 500_000, whole_rows: int = ranges.WHOLE_ROWS) -> DataFrame:
+    """events with `ms`: whole milliseconds of each tick over the tempo changes of its keys (of changes at one tick the last holds).
+
+    Keys with more than `whole_rows` changes have their sums taken over ranges of ticks, then inside them.
+    """
     begin = events.select(*keys).distinct().select(*keys, F.lit(0).cast("long").alias(tick), F.lit(start_micros).cast("long").alias(micros), F.lit(-1).cast("long").alias(seq))
     every = begin.unionByName(changes.select(*keys, F.col(tick).cast("long"), F.col(micros).cast("long"), F.col(seq).cast("long")))
-    w = Window.partitionBy(*keys).orderBy(tick, seq)
-    steps = every.withColumn("_step", F.coalesce((F.col(tick) - F.lag(tick).over(w)) * F.lag(micros).over(w), F.lit(0)))
-    placed = steps.withColumn("_state", F.struct(F.col(tick).alias("t"), F.col(micros).alias("m"), F.sum("_step").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("base")))
-    found = as_of(events, placed, keys, tick, "_state", seq)
+
+    part, order = [*keys, ranges.RANGE], [tick, seq]
+    state = F.struct(F.col(tick).alias("t"), F.col(micros).alias("m"))
+
+    def stepped(rows: DataFrame, by: Sequence[str], before: Column | None = None) -> DataFrame:
+        """Changes with what has passed since the one before; the first of a range has its `before` from earlier ranges."""
+        prior = F.lag(state).over(Window.partitionBy(*by).orderBy(*order))
+        prior = prior if before is None else F.coalesce(prior, before)
+        return rows.withColumn("_prior", prior).withColumn("_step", F.coalesce((F.col(tick) - F.col("_prior.t")) * F.col("_prior.m"), F.lit(0)))
+
+    def summed(steps: DataFrame, by: Sequence[str], sums: Column) -> DataFrame:
+        base = F.sum("_step").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) + sums
+        return steps.select(*keys, tick, seq, F.struct(F.col(tick).alias("t"), F.col(micros).alias("m"), base.alias("base")).alias("_state"))
+
+    long = ranges.long_keys(ranges.counted(changes, keys), keys, whole_rows)
+    if long is None:
+        states = summed(stepped(every, keys), keys, F.lit(0))
+    else:
+        short, rest = ranges.split(every, keys, long)
+        rows = ranges.earlier(ranges.cut(rest, keys, order), keys, _newest=(F.max_by(state, F.struct(*order)), ranges.last))
+        steps = ranges.earlier(stepped(rows, part, F.col("_newest")), keys, _sums=(F.sum("_step"), F.sum))
+        states = summed(stepped(short, keys), keys, F.lit(0)).unionByName(summed(steps, part, F.coalesce("_sums", F.lit(0))))
+    found = as_of(events, states, keys, tick, "_state", seq, whole_rows)
     total = (F.col("_state.base") + (F.col(tick) - F.col("_state.t")) * F.col("_state.m")) / 1000.0 / division
     return found.withColumn("ms", total.cast("long")).drop("_state")
 
@@ -52,12 +89,19 @@ def state_at(df: DataFrame, keys: Sequence[str], at: str, until) -> DataFrame:
 def in_regions(points: DataFrame, regions: DataFrame, x: str, low: str, high: str, width: int, also: tuple[str, str, str] | None = None) -> DataFrame:
     """Every point with every region whose range [low, high] holds its x (and whose second range holds its y: also = (y, low, high)).
 
-    Regions are dealt to all cells of `width` that they touch and points to their own, so the join
-    hashes on the cell instead of comparing all pairs.
+    Cells fit the ranges that there are: a range is dealt to cells of `width` times the power of two that
+    reaches its length, so it touches two of them at most, however wide it is.  A point is dealt to its
+    cell of each size that occurs, and the join hashes on size and cell in place of comparing all pairs.
+    Ranges that end before they begin hold nothing.
     """
-    cell = lambda c: F.floor(F.col(c) / width).cast("long")
-    spread = regions.withColumn("_cell", F.explode(F.sequence(cell(low), cell(high))))
-    met = points.withColumn("_cell", cell(x)).join(spread, "_cell").filter(F.col(x).between(F.col(low), F.col(high))).drop("_cell")
+    span = (F.col(high) - F.col(low)) / width
+    level = F.when(span <= 1, 0).otherwise(F.ceil(F.log2(span.cast("double")))).cast("int")
+    sized = regions.filter(F.col(high) >= F.col(low)).withColumn("_level", level)
+    levels = sorted(r[0] for r in sized.select("_level").distinct().collect())  # one of some sixty
+    cell = lambda c, k: F.floor(F.col(c) / (width * F.pow(F.lit(2.0), k))).cast("long")
+    spread = sized.withColumn("_cell", F.explode(F.array_distinct(F.array(cell(low, F.col("_level")), cell(high, F.col("_level"))))))
+    dealt = points.withColumn("_level", F.explode(F.array(*[F.lit(k) for k in levels]).cast("array<int>")))
+    met = dealt.withColumn("_cell", cell(x, F.col("_level"))).join(spread, ["_level", "_cell"]).filter(F.col(x).between(F.col(low), F.col(high))).drop("_level", "_cell")
     return met.filter(F.col(also[0]).between(F.col(also[1]), F.col(also[2]))) if also else met
 
 

@@ -8,10 +8,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clip, half_up, tempo_weight
+from . import ranges
 from .scan import ordered
 
 
@@ -56,24 +58,92 @@ def strict_peaks(df: DataFrame, keys: Sequence[str], order: str, value: str) ->
     return around.filter((F.col(value) > F.col("_before")) & (F.col(value) > F.col("_after"))).drop("_before", "_after")
 
 
-def spacing(df: DataFrame, keys: Sequence[str], x: str, gap: int) -> DataFrame:
+def _kept(last, own: np.ndarray, gap) -> np.ndarray:
+    """Places of the values that stand at least `gap` after the last one kept."""
+    kept = []
+    at = 0 if last is None else int(np.searchsorted(own, last + gap))
+    while at < len(own):
+        kept.append(at)
+        at = max(at + 1, int(np.searchsorted(own, own[at] + gap)))
+    return np.array(kept, np.int64)
+
+
+def exits(own: np.ndarray, gap) -> tuple[np.ndarray, np.ndarray]:
+    """What a stretch of sorted values keeps last, by where it is entered: (entries up to, last kept).
+
+    Each value leads to the first one `gap` behind it; ways are doubled until all have reached the
+    last value of theirs.  A stretch is entered within `gap` of its first value, so only those count, and
+    neighbours with one end are one entry.
+    """
+    n = len(own)
+    onward = np.maximum(np.searchsorted(own, own + gap), np.arange(n) + 1)
+    way = np.where(onward < n, onward, np.arange(n))
+    while True:
+        further = way[way]
+        if (further == way).all():
+            break
+        way = further
+    some = way[: int(np.searchsorted(own, own[0] + gap, "right")) + 1]
+    ends = np.flatnonzero(np.append(some[1:] != some[:-1], True))
+    return own[ends], own[some[ends]]
+
+
+def _long_spacing(own: DataFrame, keys: Sequence[str], x: str, gap: int) -> DataFrame:
+    """Spacing of series of any length: each range says where it leaves to for each way in, and only that is folded in order."""
+    rows = ranges.cut(own.distinct(), keys, [x])
+    kind = own.schema[x].dataType.simpleString()
+    kinds = ", ".join(f"{k} {own.schema[k].dataType.simpleString()}" for k in keys)
+
+    def described(group: pa.Table) -> pa.Table:
+        values = np.sort(group.column(x).to_numpy())
+        entry, end = exits(values, gap)
+        first = [group.column(k)[:1] for k in (*keys, ranges.RANGE)]
+        return pa.table([*first, pa.array([entry]), pa.array([end]), pa.array(values[-1:])], names=[*keys, ranges.RANGE, "entry", "end", "top"])
+
+    def folded(group: pa.Table) -> pa.Table:
+        group, last, found = group.sort_by(ranges.RANGE), None, []
+        for entry, end, top in zip(group.column("entry"), group.column("end"), group.column("top"), strict=True):
+            found.append(last)
+            entry, end = entry.values.to_numpy(), end.values.to_numpy()
+            if last is None:
+                last = end[0]
+            elif last + gap <= top.as_py():
+                last = end[int(np.searchsorted(entry, last + gap))]
+        return pa.table([*(group.column(k) for k in (*keys, ranges.RANGE)), pa.array(found, group.schema.field("top").type)], names=[*keys, ranges.RANGE, "_last"])
+
+    ways = rows.groupBy(*keys, ranges.RANGE).applyInArrow(described, f"{kinds}, {ranges.RANGE} int, entry array<{kind}>, end array<{kind}>, top {kind}")
+    # a row of a range has as many numbers as values lie within one gap, however many rows it stands for
+    entered = ways.groupBy(*keys).applyInArrow(folded, f"{kinds}, {ranges.RANGE} int, _last {kind}")
+
+    def each(last, columns: list[np.ndarray]) -> tuple[object, np.ndarray, list[np.ndarray]]:
+        own, first = columns
+        last = last if last is not None else None if np.isnan(first[0]) else first[0]
+        kept = _kept(last, own, gap)
+        return (own[kept[-1]] if len(kept) else last), kept, [own[kept]]
+
+    met = ranges.given(rows, entered, keys).withColumn("_last", F.coalesce(F.col("_last").cast("double"), F.lit(float("nan"))))
+    return ordered(met, [*keys, ranges.RANGE], [x], [x, "_last"], f"{x} {kind}", each).drop(ranges.RANGE)
+
+
+def spacing(df: DataFrame, keys: Sequence[str], x: str, gap: int, whole_rows: int = ranges.WHOLE_ROWS) -> DataFrame:
     """(keys, x) of the values that stand at least `gap` after the last one kept; repeated values count once.
 
-    What is kept depends on what was kept before, so each series is folded in order, from one kept
-    value to the next; only the last one is carried from batch to batch.
+    What is kept depends on what was kept before, so a series is folded in order, from one kept
+    value to the next.  Series of more than `whole_rows` rows are folded by ranges instead.
     """
 
     def each(last, columns: list[np.ndarray]) -> tuple[object, np.ndarray, list[np.ndarray]]:
-        own, kept = columns[0], []
-        at = 0 if last is None else int(np.searchsorted(own, last + gap))
-        while at < len(own):
-            kept.append(at)
-            at = max(at + 1, int(np.searchsorted(own, own[at] + gap)))
-        rows = np.array(kept, np.int64)
-        return (own[rows[-1]] if len(rows) else last), rows, [own[rows]]
+        own = columns[0]
+        kept = _kept(last, own, gap)
+        return (own[kept[-1]] if len(kept) else last), kept, [own[kept]]
 
     own = df.filter(F.col(x).isNotNull()).select(*keys, x)
-    return ordered(own, keys, [x], [x], f"{x} {df.schema[x].dataType.simpleString()}", each)
+    shape = f"{x} {df.schema[x].dataType.simpleString()}"
+    long = ranges.long_keys(ranges.counted(own, keys), keys, whole_rows)
+    if long is None:
+        return ordered(own, keys, [x], [x], shape, each)
+    short, rest = ranges.split(own, keys, long)
+    return ordered(short, keys, [x], [x], shape, each).unionByName(_long_spacing(rest, keys, x, gap))
 
 
 def merge_onsets(a: DataFrame, b: DataFrame, keys: Sequence[str], x: str, gap: int) -> DataFrame:
@@ -92,15 +162,35 @@ def inferred_onsets(df: DataFrame, keys: Sequence[str], order: str, onset: str,
     return risen.withColumn("inferred", F.greatest(F.col(onset), scaled)).drop("_top", "_most")
 
 
-def autocorrelation(df: DataFrame, keys: Sequence[str], order: str, value: str, low: int, high: int) -> DataFrame:
+def autocorrelation(df: DataFrame, keys: Sequence[str], order: str, value: str, low: int, high: int, block: int = 1 << 14) -> DataFrame:
     """(keys, lag, score): sums of products of rows `lag` apart, for each lag from low to high.
 
-    Each row sees the bounded number of rows from `low` to `high` ahead of it in one window, and
-    products are summed by lag before they are shuffled.
+    Places are cut in blocks of `block` frames; the first `high` frames of a block also go to the one
+    before, so blocks are independent and a long series is many tasks.  In a block each lag is one
+    look-up of sorted places and one product of arrays.
     """
-    ahead = F.collect_list(F.struct(F.col(order).alias("f"), F.col(value).alias("v"))).over(by(keys, order).rangeBetween(low, high))
-    met = df.select(*keys, order, value).withColumn("_ahead", ahead).select(*keys, F.col(order).alias("_f"), F.col(value).alias("_a"), F.explode("_ahead").alias("_b"))
-    return met.groupBy(*keys, (F.col("_b.f") - F.col("_f")).cast("int").alias("lag")).agg(F.sum(F.col("_a") * F.col("_b.v")).alias("score"))
+    own = F.floor(F.col(order) / block).cast("long")
+    # a block needs what lies up to `high` frames ahead of its own rows
+    first = F.floor((F.col(order) - high) / block).cast("long")
+    rows = df.select(*keys, order, F.col(value).cast("double").alias("_v"), own.alias("_own"), F.explode(F.sequence(first, own)).alias("_block"))
+    lags = np.arange(low, high + 1)
+
+    def each(state, columns: list[np.ndarray]) -> tuple[object, np.ndarray, list[np.ndarray]]:
+        at, x, inside = columns
+        at, mine = at.astype(np.int64), inside.astype(bool)
+        if state is not None:  # the block's earlier rows that may still have partners
+            at, x, mine = np.concatenate([state[0], at]), np.concatenate([state[1], x]), np.concatenate([state[2], mine])
+        fresh = len(at) - len(columns[0])
+        sums, n = np.zeros(len(lags)), np.zeros(len(lags), bool)
+        for k, lag in enumerate(lags.tolist()):
+            place = np.searchsorted(at, at[fresh:] - lag)  # each new row with the one `lag` before it
+            met = (at[place] == at[fresh:] - lag) & mine[place]
+            sums[k], n[k] = x[place[met]] @ x[fresh:][met], met.any()
+        tail = at >= at[-1] - high
+        return (at[tail], x[tail], mine[tail]), np.zeros(int(n.sum()), np.int64), [lags[n].astype(np.int32), sums[n]]
+
+    met = ordered(rows.withColumn("_mine", F.col("_own") == F.col("_block")), [*keys, "_block"], [order], [order, "_v", "_mine"], "lag int, score double", each)
+    return met.groupBy(*keys, "lag").agg(F.sum("score").alias("score"))
 
 
 def tempo(df: DataFrame, keys: Sequence[str], order: str, value: str = "flux", rate: float = 86.1328125, least: float = 60.0, most: float = 200.0, default: int = 120) -> DataFrame:
@@ -134,11 +224,13 @@ def zero_crossing(df: DataFrame, keys: Sequence[str], order: str, value: str) ->
     return steps.groupBy(*keys).agg(F.when(F.count("*") > 1, F.count_if("_turn") / (F.count("*") - 1)).otherwise(0.0).alias("zcr"))
 
 
-def one_pole(df: DataFrame, keys: Sequence[str], order: str, value: str, alpha: float, block: int = 128) -> DataFrame:
+def one_pole(df: DataFrame, keys: Sequence[str], order: str, value: str, alpha: float, block: int = 128, whole_rows: int = ranges.WHOLE_ROWS) -> DataFrame:
     """(keys, order, smooth): y += alpha * (x - y) from y = 0, in order.
 
     A series passes through one task in batches, and only its last y is carried on.  Inside a block
     all y are one product with the weights of what came before, so time grows with the length.
+    Series of more than `whole_rows` rows are cut at ranges: what comes into a range is the last y of the
+    one before, and goes out times (1 - alpha) to the number of its rows, plus what it has by itself.
     """
     steps = np.arange(block)
     decay = (1 - alpha) ** (steps + 1)
@@ -146,14 +238,32 @@ def one_pole(df: DataFrame, keys: Sequence[str], order: str, value: str, alpha:
 
     def each(y, columns: list[np.ndarray]) -> tuple[object, np.ndarray, list[np.ndarray]]:
         own, x = columns[0], columns[1].astype(np.float64)
-        smooth, y = np.empty(len(x)), 0.0 if y is None else y
+        smooth, y = np.empty(len(x)), (float(columns[2][0]) if len(columns) > 2 else 0.0) if y is None else y
         for at in range(0, len(x), block):
             n = min(block, len(x) - at)
             smooth[at : at + n] = weights[:n, :n] @ x[at : at + n] + decay[:n] * y
             y = float(smooth[at + n - 1])
         return y, np.arange(len(x)), [own, smooth]
 
-    return ordered(df.select(*keys, order, F.col(value).cast("double").alias("_x")), keys, [order], [order, "_x"], f"{order} {df.schema[order].dataType.simpleString()}, smooth double", each)
+    def carried(y, columns: list[np.ndarray]) -> tuple[object, np.ndarray, list[np.ndarray]]:
+        y, found = 0.0 if y is None else y, np.empty(len(columns[0]))
+        for k, (n, end) in enumerate(zip(columns[1].tolist(), columns[2].tolist(), strict=True)):
+            found[k] = y
+            y = end + (1 - alpha) ** n * y
+        return y, np.arange(len(found)), [columns[0], found]
+
+    own = df.select(*keys, order, F.col(value).cast("double").alias("_x"))
+    shape = f"{order} {df.schema[order].dataType.simpleString()}, smooth double"
+    long = ranges.long_keys(ranges.counted(own, keys), keys, whole_rows)
+    if long is None:
+        return ordered(own, keys, [order], [order, "_x"], shape, each)
+    short, rest = ranges.split(own, keys, long)
+    rows, part = ranges.cut(rest, keys, [order]), [*keys, ranges.RANGE]
+    alone = ordered(rows, part, [order], [order, "_x"], shape, each)
+    ends = alone.groupBy(*part).agg(F.count("*").alias("_n"), F.max_by("smooth", order).alias("_y"))
+    entered = ordered(ends, keys, [ranges.RANGE], [ranges.RANGE, "_n", "_y"], f"{ranges.RANGE} int, _y0 double", carried)
+    done = ordered(ranges.given(rows, entered, keys), part, [order], [order, "_x", "_y0"], shape, each).drop(ranges.RANGE)
+    return ordered(short, keys, [order], [order, "_x"], shape, each).unionByName(done)
 
 
 def resample(df: DataFrame, keys: Sequence[str], index: str, value: str, source: int, target: int) -> DataFrame:

@@ -23,6 +23,28 @@ CLASS_PROGRAMS = [
 ]
 GENERIC_SYNTH_CLASS = 153
 
+# fixed values: the names of programs 0 to 127, eight of a family in a line
+PROGRAM_NAMES = (
+    "Acoustic Grand Piano", "Bright Acoustic Piano", "Electric Grand Piano", "Honky-tonk Piano", "Electric Piano 1", "Electric Piano 2", "Harpsichord", "Clavinet",
+    "Celesta", "Glockenspiel", "Music Box", "Vibraphone", "Marimba", "Xylophone", "Tubular Bells", "Dulcimer",
+    "Drawbar Organ", "Percussive Organ", "Rock Organ", "Church Organ", "Reed Organ", "Accordion", "Harmonica", "Tango Accordion",
+    "Acoustic Guitar (nylon)", "Acoustic Guitar (steel)", "Electric Guitar (jazz)", "Electric Guitar (clean)", "Electric Guitar (muted)", "Overdriven Guitar", "Distortion Guitar", "Guitar Harmonics",
+    "Acoustic Bass", "Electric Bass (finger)", "Electric Bass (pick)", "Fretless Bass", "Slap Bass 1", "Slap Bass 2", "Synth Bass 1", "Synth Bass 2",
+    "Violin", "Viola", "Cello", "Contrabass", "Tremolo Strings", "Pizzicato Strings", "Orchestral Harp", "Timpani",
+    "String Ensemble 1", "String Ensemble 2", "Synth Strings 1", "Synth Strings 2", "Choir Aahs", "Voice Oohs", "Synth Voice", "Orchestra Hit",
+    "Trumpet", "Trombone", "Tuba", "Muted Trumpet", "French Horn", "Brass Section", "Synth Brass 1", "Synth Brass 2",
+    "Soprano Sax", "Alto Sax", "Tenor Sax", "Baritone Sax", "Oboe", "English Horn", "Bassoon", "Clarinet",
+    "Piccolo", "Flute", "Recorder", "Pan Flute", "Blown Bottle", "Shakuhachi", "Whistle", "Ocarina",
+    "Lead 1 (square)", "Lead 2 (sawtooth)", "Lead 3 (calliope)", "Lead 4 (chiff)", "Lead 5 (charang)", "Lead 6 (voice)", "Lead 7 (fifths)", "Lead 8 (bass + lead)",
+    "Pad 1 (new age)", "Pad 2 (warm)", "Pad 3 (polysynth)", "Pad 4 (choir)", "Pad 5 (bowed)", "Pad 6 (metallic)", "Pad 7 (halo)", "Pad 8 (sweep)",
+    "FX 1 (rain)", "FX 2 (soundtrack)", "FX 3 (crystal)", "FX 4 (atmosphere)", "FX 5 (brightness)", "FX 6 (goblins)", "FX 7 (echoes)", "FX 8 (sci-fi)",
+    "Sitar", "Banjo", "Shamisen", "Koto", "Kalimba", "Bag pipe", "Fiddle", "Shanai",
+    "Tinkle Bell", "Agogo", "Steel Drums", "Woodblock", "Taiko Drum", "Melodic Tom", "Synth Drum", "Reverse Cymbal",
+    "Guitar Fret Noise", "Breath Noise", "Seashore", "Bird Tweet", "Telephone Ring", "Helicopter", "Applause", "Gunshot",
+)
+UNKNOWN_PROGRAM = "Unknown"
+
+
 
 def loudness(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Root mean square and peak of each group; 0 where all values are null."""
@@ -57,9 +79,16 @@ def defaults(stems: DataFrame, label: str = "label") -> DataFrame:
     return stems.withColumn("program", F.coalesce(own["program"], F.lit(0))).withColumn("drum", F.coalesce(own["drum"], F.lit(False)))
 
 
-def overridden(stems: DataFrame, programs: DataFrame, label: str = "label") -> DataFrame:
-    """stems whose program is replaced where `programs` (label, override) has one."""
-    return stems.join(programs, label, "left").withColumn("program", F.coalesce("override", "program")).drop("override")
+def overridden(stems: DataFrame, programs: DataFrame, label: str | Sequence[str] = "label") -> DataFrame:
+    """stems whose program is replaced where `programs` (label, override) has one; `label` may be several columns."""
+    return stems.join(programs, label if isinstance(label, str) else list(label), "left").withColumn("program", F.coalesce("override", "program")).drop("override")
+
+
+def named(stems: DataFrame, program: str = "program") -> DataFrame:
+    """stems with `program_name`; numbers without a name are Unknown."""
+    names = F.array(*map(F.lit, PROGRAM_NAMES))
+    known = F.col(program).between(0, len(PROGRAM_NAMES) - 1)
+    return stems.withColumn("program_name", F.when(known, F.get(names, F.col(program).cast("int"))).otherwise(UNKNOWN_PROGRAM))
 
 
 def zipped(df: DataFrame, keys: Sequence[str], labels: str, programs: str) -> DataFrame:

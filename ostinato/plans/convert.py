@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
-from ..operators import activations, signal, stems, windows
+from ..operators import activations, separation, signal, stems, tagging, windows
 from ..sources import midi
 
 KEYS = ["track_id", "stem"]
@@ -33,7 +33,15 @@ def one_stem(pcm: DataFrame, label: str = "mix") -> DataFrame:
 
 @dataclass
 class Models:
-    """separate: pcm -> pcm with stem; tag: pcm of stems -> (track_id, stem, class, score).
+    """What the caller gives.
+
+    Stems come from separate_slices: (track_id, offset, total, samples), each the model's input of one
+    channel after another at 44100 Hz -> (track_id, offset, total, output), flat over `sources`, channels and
+    samples; slices, overlap-add and trimming are done around it.  Or from separate: pcm -> pcm with stem.
+
+    Tags come from tag_patches: (track_id, stem, window_no, samples), each of `patch` mono samples at
+    16000 Hz, every `patch_hop` -> (track_id, stem, scores), a row of 521 scores a patch; they are pooled and
+    mapped to programs.  Or from tag: pcm of stems -> (track_id, stem, class, score).
 
     Notes come from activate_windows: (track_id, stem, window_no, samples), each of 43844 mono samples at
     22050 Hz -> (track_id, stem, window_no, f, frame, onset), 172 rows a window; or from activate, which
@@ -44,6 +52,29 @@ class Models:
     activate: Callable[[DataFrame], DataFrame] | None = None
     activate_windows: Callable[[DataFrame], DataFrame] | None = None
     tag: Callable[[DataFrame], DataFrame] | None = None
+    separate_slices: Callable[[DataFrame], DataFrame] | None = None
+    sources: tuple[str, ...] = separation.SOURCES
+    segment: int = separation.SEGMENT
+    tag_patches: Callable[[DataFrame], DataFrame] | None = None
+    patch: int = 15_600
+    patch_hop: int = 7_680
+
+
+def stems_of(pcm: DataFrame, models: Models, chunk: int, sample_rate: int) -> DataFrame:
+    """pcm with stem, in chunks of `chunk` frames where a model of slices makes them."""
+    if models.separate_slices is None:
+        return models.separate(pcm)
+    track = ["track_id"]
+    wide = signal.resample(signal.remix(pcm, track, separation.CHANNELS), track, sample_rate)
+    return separation.separated(wide, models.separate_slices, track, models.sources, models.segment, chunk=chunk, sample_rate=sample_rate)
+
+
+def tags_of(own: DataFrame, models: Models) -> DataFrame | None:
+    """(track_id, stem, class, score) of stems, by the model that the caller gives."""
+    if models.tag_patches is None:
+        return models.tag(own) if models.tag is not None else None
+    heard = windows.fixed(mono_at(own, tagging.TAG_RATE), KEYS, models.patch, models.patch_hop, 0)
+    return tagging.tags(models.tag_patches(heard), KEYS)
 
 
 def loudness(pcm: DataFrame) -> DataFrame:
@@ -89,7 +120,7 @@ def analyze(pcm: DataFrame, models: Models, labels: list[str] | None = None, chu
     Stems are chosen before the tempo is taken, so without drums it is 120.  Pitched stems that are
     silent against the loudest are left out, and the velocities of the rest are balanced.
     """
-    own = models.separate(pcm)
+    own = stems_of(pcm, models, chunk, sample_rate)
     own = own.filter(F.col("stem").isin(labels)) if labels is not None else own
     drums = own.filter("stem = 'drums'")
     found = signal.tempo(drums, KEYS, sample_rate).select("track_id", "bpm")
@@ -111,7 +142,7 @@ def analyze(pcm: DataFrame, models: Models, labels: list[str] | None = None, chu
     second = (F.col("bpm") * N.TICKS_PER_QUARTER) / 60.0
     timed = notes.join(tempo, "track_id").withColumn("s", F.col("start_tick") / second).withColumn("e", F.col("end_tick") / second)
     shapes = stems.roles(stems.note_shapes(timed, KEYS, "s", "e", "pitch", "seq")).select(*KEYS, F.col("program").alias("role_program"))
-    tags = models.tag(own) if models.tag is not None else None
+    tags = tags_of(own, models)
     parts = parts.join(shapes, KEYS, "left")
     parts = parts.join(tags, KEYS, "left") if tags is not None else parts.withColumn("class", F.lit(None).cast("int")).withColumn("score", F.lit(None).cast("double"))
     sizes = own.groupBy(*KEYS).agg((F.sum(F.size("samples")) <= 0).alias("audio_empty"))
@@ -126,9 +157,10 @@ def _by_stem():
 
 
 def review(parts: DataFrame, excluded: DataFrame | None = None, programs: DataFrame | None = None) -> DataFrame:
-    """parts without the excluded (track_id, stem) rows, with the overriding (track_id, stem, override) programs."""
+    """parts without the excluded (track_id, stem) rows, with the overriding (track_id, stem, override) programs, and what each program is called."""
     out = parts.join(excluded, KEYS, "left_anti") if excluded is not None else parts
-    return out.join(programs, KEYS, "left").withColumn("program", F.coalesce("override", "program")).drop("override") if programs is not None else out
+    out = stems.overridden(out, programs, KEYS) if programs is not None else out
+    return stems.named(out)
 
 
 def write(notes: DataFrame, parts: DataFrame, tempo: DataFrame, kind: int = 0) -> DataFrame:

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
-from ..operators import joins, overlap, series, stems, windows
+from ..operators import joins, overlap, separation, series, stems, tagging, windows
+from ..sources import pcm
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -187,10 +189,16 @@ def stem_excluded(spark, sf_dir):
     return events(spark, sf_dir).join(drop, "event_type", "left_anti").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("SELECT label, CAST(coalesce(o, p) AS BIGINT) AS program, drum FROM (VALUES ('drums', 0, true), ('bass', 33, false), ('vocals', 85, false), ('guitar', 25, false), ('piano', 0, false), ('flute', 0, false)) s(label, p, drum) LEFT JOIN (VALUES ('bass', 38), ('flute', 73)) x(k, o) ON label = k")
+@query("""WITH l(label, i) AS (VALUES ('drums', 0), ('bass', 1), ('vocals', 2), ('guitar', 3), ('piano', 4), ('flute', 5)), d(label, p, drum) AS (VALUES ('drums', 0, true), ('bass', 33, false), ('vocals', 85, false), ('guitar', 25, false), ('piano', 0, false), ('other', 0, false)),
+s AS (SELECT DISTINCT user_id, label FROM events JOIN l ON i = event_id % 6), x AS (SELECT user_id, label, arg_max(event_id % 128, event_id) AS o FROM events JOIN l ON i = event_id % 6 WHERE event_type = 'purchase' GROUP BY 1, 2)
+SELECT user_id, label, CAST(coalesce(o, p, 0) AS BIGINT) AS program, coalesce(drum, false) AS drum FROM s LEFT JOIN x USING (user_id, label) LEFT JOIN d USING (label)""")
 def program_override(spark, sf_dir):
-    labels = spark.createDataFrame([(x,) for x in ("drums", "bass", "vocals", "guitar", "piano", "flute")], "label string")
-    return out(stems.overridden(stems.defaults(labels), spark.createDataFrame([("bass", 38), ("flute", 73)], "label string, override int")), "label", "program", "drum")
+    """A user's events are stems by id; the last purchase in a stem overrides the program of its label."""
+    labels = F.array(*map(F.lit, ("drums", "bass", "vocals", "guitar", "piano", "flute")))
+    rows = table(spark, sf_dir, "events").withColumn("label", F.get(labels, (F.col("event_id") % 6).cast("int")))
+    given = rows.filter("event_type = 'purchase'").groupBy("user_id", "label").agg(F.max_by(F.col("event_id") % 128, "event_id").alias("override"))
+    own = stems.defaults(rows.select("user_id", "label").distinct())
+    return out(stems.overridden(own, given, ["user_id", "label"]), "user_id", "label", "program", "drum")
 
 
 @query("SELECT p.event_id, p.user_id, c.event_id AS last_click FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c ON p.user_id = c.user_id AND p.ts >= c.ts")
@@ -290,10 +298,11 @@ def chunk_placement(spark, sf_dir):
     return out(overlap.placements(tracks, ["user_id"], "n", 10), "user_id", "offset", "valid", "read_start", "read_length", "pad_left", "trim_start")
 
 
-@query("""WITH x AS (SELECT event_type, value, (epoch_us(ts) // 3600000000) % 10 AS i, epoch_us(ts) // 3600000000 AS frame FROM events), w AS (SELECT *, (CASE WHEN i < 5 THEN i + 1 ELSE 10 - i END) / 5.0 AS wt FROM x)
+@query("""WITH x AS (SELECT event_type, value, event_id % 10 AS i, epoch_us(ts) // 3600000000 AS frame FROM events), w AS (SELECT *, (CASE WHEN i < 5 THEN i + 1 ELSE 10 - i END) / 5.0 AS wt FROM x)
 SELECT event_type, frame, round(sum(wt * value) / greatest(sum(wt), 1e-8), 6) AS value FROM w GROUP BY 1, 2""")
 def overlap_add(spark, sf_dir):
-    rows = events(spark, sf_dir).withColumn("frame", F.floor(F.col("us") / HOUR).cast("long")).withColumn("i", F.col("frame") % 10)
+    """What several chunks say of an hour: an event's place in its chunk is told by its id."""
+    rows = events(spark, sf_dir).withColumn("frame", F.floor(F.col("us") / HOUR).cast("long")).withColumn("i", F.col("event_id") % 10)
     return out(overlap.overlap_add(rows, KEY, "frame", "i", "value", 10), "event_type", "frame", "value")
 
 
@@ -376,9 +385,27 @@ def event_order(spark, sf_dir):
     return out(events(spark, sf_dir).withColumn("place", F.row_number().over(w)), "event_id", "user_id", "place")
 
 
-@query("SELECT i, round(i * 256 / 22050.0 - (i // 172) * (256 / 22050.0 * (172 - 43844 / 256.0) + 0.0018), 6) AS sec FROM (SELECT unnest(generate_series(0, 999)) AS i)")
+@query("SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, round(i * 256 / 22050.0 - (i // 172) * (256 / 22050.0 * (172 - 43844 / 256.0) + 0.0018), 6) AS sec FROM (SELECT l_orderkey, l_linenumber, l_orderkey * 8 + l_linenumber AS i FROM lineitem)")
 def frame_time(spark, sf_dir):
-    return out(spark.range(1000).select(F.col("id").alias("i"), N.frame_seconds(F.col("id")).alias("sec")), "i", "sec")
+    rows = table(spark, sf_dir, "lineitem").withColumn("i", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    return out(rows.select("l_orderkey", "l_linenumber", N.frame_seconds(F.col("i")).alias("sec")), "l_orderkey", "l_linenumber", "sec")
+
+
+@query("""SELECT event_id, list_transform([event_id % 65536 - 32768, 0, 32767], lambda x: round(x / 32768.0, 6)) AS scaled,
+list_transform([value / 10, -4.5, 4.0], lambda x: CASE WHEN abs(x) > 4 THEN 0 ELSE round(x, 6) END) AS tamed FROM events""")
+def sample_ranges(spark, sf_dir):
+    """Sixteen-bit numbers as samples, and samples beyond 4 as silence."""
+    shorts = F.array((F.col("event_id") % 65536 - 32768).cast("int"), F.lit(0), F.lit(32767))
+    rows = pcm.scaled(table(spark, sf_dir, "events").withColumn("shorts", shorts)).withColumn("x", F.array((F.col("value") / 10).cast("float"), F.lit(-4.5).cast("float"), F.lit(4.0).cast("float")))
+    places = lambda c: F.transform(c, lambda x: F.round(x.cast("double"), 6))
+    return rows.select("event_id", places("samples").alias("scaled"), places(pcm.tamed("x")).alias("tamed"))
+
+
+@query("SELECT user_id, event_id, event_id % 131 AS program, CASE WHEN event_id % 131 < 128 THEN 1 ELSE 0 END AS known FROM events")
+def program_names(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumn("program", F.col("event_id") % 131)
+    named = stems.named(rows)
+    return out(named.withColumn("known", (F.col("program_name") != "Unknown").cast("long")), "user_id", "event_id", "program", "known")
 
 
 @query("SELECT event_id, CAST(floor(value * 480 * (60 + event_id % 141) / 60 + 0.5) AS BIGINT) AS ticks, 60000000 // (60 + event_id % 141) AS micros FROM events")
@@ -504,3 +531,48 @@ def collections(spark, sf_dir):
     names = F.col("r.event_type")
     pairs = F.transform(F.map_entries(doubled), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
     return out(per.select("user_id", F.array_join(F.array_sort(pairs), ",").alias("doubled"), F.array_join(F.reverse(F.slice(names, 1, 2)), "<").alias("first"), F.sha2(F.array_join(names, "|"), 256).alias("digest"), F.coalesce(F.get(names, F.lit(3)), F.lit("-")).alias("fourth")), "user_id", "doubled", "first", "digest", "fourth")
+
+
+_FRAMES = "WITH e AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS f, round(value * 4) / 4 AS x FROM events)"
+
+
+def frames_of_type(spark, sf_dir, chunk):
+    """Events of each type as two channels, value and half of it, in quarters, in chunks of `chunk` frames."""
+    x = F.round(F.col("value") * 4) / 4
+    rows = table(spark, sf_dir, "events").select("event_type", (F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) - 1).cast("long").alias("f"), x.alias("x"))
+    own = rows.groupBy("event_type", F.floor(F.col("f") / chunk).cast("long").alias("chunk_no")).agg(F.array_sort(F.collect_list(F.struct("f", "x"))).alias("r"))
+    both = F.flatten(F.transform("r", lambda r: F.array(r["x"].cast("float"), (r["x"] / 2).cast("float"))))
+    return own.select("event_type", "chunk_no", (F.col("chunk_no") * chunk).alias("start"), F.lit(100).alias("sample_rate"), F.lit(2).alias("channels"), both.alias("samples"))
+
+
+@query(_FRAMES + """, n AS (SELECT event_type, count(*) AS total FROM e GROUP BY 1
+), p AS (
+  SELECT event_type, total, o, least(512, total - o) AS valid FROM (SELECT *, unnest(range(0, total, 384)) AS o FROM n)
+), m AS (
+  SELECT e.event_type, f, x, (512 - valid) // 2 + f - o AS place FROM e JOIN p ON e.event_type = p.event_type AND f BETWEEN o AND o + valid - 1
+), w AS (
+  SELECT *, CASE WHEN place < 256 THEN place + 1 ELSE 512 - place END / 256.0 AS w FROM m
+)
+SELECT event_type, stem, f AS frame, round(CAST(CAST(sum(w * (x * g + place / 64.0)) / sum(w) AS FLOAT) AS DOUBLE), 6) AS first, round(CAST(CAST(sum(w * (x / 2 * g + place / 64.0)) / sum(w) AS FLOAT) AS DOUBLE), 6) AS second
+FROM w, (VALUES ('drums', 1.0), ('bass', 2.0)) s(stem, g) GROUP BY 1, 2, 3""")
+def separated_stems(spark, sf_dir):
+    """A model that doubles its input for the second stem, and adds a ramp over each slice to both."""
+    def model(x):
+        ramp = np.arange(x.shape[1]) / 64
+        return np.stack([x + ramp, 2 * x + ramp])
+
+    own = separation.separated(frames_of_type(spark, sf_dir, 300), separation.each_slice(model, KEY), KEY, ("drums", "bass"), 512, chunk=200, sample_rate=100)
+    rows = own.select("event_type", "stem", "start", F.posexplode(F.arrays_zip(F.filter("samples", lambda _, i: i % 2 == 0).alias("a"), F.filter("samples", lambda _, i: i % 2 == 1).alias("b"))).alias("k", "s"))
+    return out(rows.select("event_type", "stem", (F.col("start") + F.col("k")).alias("frame"), F.col("s.a").alias("first"), F.col("s.b").alias("second")), "event_type", "stem", "frame", "first", "second")
+
+
+_TAG_CLASSES = [(c % 64, p) for c, p in stems.CLASS_PROGRAMS if 134 <= c < 198]
+
+
+@query(_SCORES + ", q AS (SELECT label, cls, CAST(round(100 * avg(CAST(score AS DOUBLE)), 1) AS FLOAT) AS m FROM s GROUP BY 1, 2), c(cls, ord) AS (VALUES " + ", ".join(f"({c}, {k})" for k, (c, _) in enumerate(_TAG_CLASSES)) + """)
+SELECT CAST(label AS BIGINT) AS label, CAST(cls AS BIGINT) AS class, round(CAST(m AS DOUBLE), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY m DESC, ord DESC) AS k FROM q JOIN c USING (cls) WHERE m >= CAST(0.5 AS FLOAT)) WHERE k = 1""")
+def pooled_tags(spark, sf_dir):
+    """Vectors of a label are its patches; means in tenths, so that equal ones occur."""
+    means = tagging.pooled(table(spark, sf_dir, "embeddings"), ["label"], "embedding")
+    means = means.withColumn("means", F.transform("means", lambda x: F.round(100 * x, 1)))
+    return out(tagging.best_tag(means, ["label"], 0.5, _TAG_CLASSES), "label", "class", "score")
