@@ -203,13 +203,41 @@ def test_junk_is_rejected_by_the_bands(spark):
     prose = {"prose": PROSE, "short": " ".join(PROSE.split()[:55]), "lines": PROSE.replace(",", ",\n")}
     got = {x.doc_id: x for x in fertility.report(spark.createDataFrame([*bad.items(), *prose.items()], "doc_id string, text string")).collect()}
     assert not any(x.base_failed for x in got.values())
-    assert [k for k in bad if got[k].kept and k != "scripts"] == [] and all(got[k].kept for k in prose)
+    assert [k for k in bad if got[k].kept] == [] and all(got[k].kept for k in prose)
     own = fertility.fit(fertility.report(queries.read(spark, "/root/testdata/sf0.01", "documents")))
     limits = {**fertility.BANDS, **own}
     again = {x.doc_id: x.kept for x in fertility.measure(spark.createDataFrame([*bad.items()], "doc_id string, text string"), fertility.vocabularies(), bands=limits).collect()}
     assert not again["letters"] and not again["base64"] and not again["hex"]
 
 
+#: Written by hand; the vocabulary writes them with some bytes, but most of it as letters and words.
+SCRIPTS = {
+    "han": "今天天气很好，我们一起去公园散步。孩子们在湖边玩耍，老人坐在长椅上聊天。经济发展需要创新和合作，政府提出了新的计划，希望改善人民的生活。",
+    "kana": "今日はとても良い天気なので、公園へ散歩に行きました。子どもたちは湖のそばで遊んでいて、お年寄りはベンチに座って話していました。",
+    "hangul": "오늘은 날씨가 매우 좋아서 우리는 함께 공원으로 산책을 갔습니다. 아이들은 호숫가에서 놀고 있었고 노인들은 벤치에 앉아 이야기를 나누었습니다.",
+    "devanagari": "आज मौसम बहुत अच्छा है इसलिए हम सब पार्क में टहलने गए। बच्चे झील के किनारे खेल रहे थे और बूढ़े लोग बेंच पर बैठकर बातें कर रहे थे।",
+    "cyrillic": "Сегодня очень хорошая погода, поэтому мы пошли гулять в парк. Дети играли у озера, а старики сидели на скамейке и разговаривали.",
+    "greek": "Σήμερα ο καιρός είναι πολύ καλός, γι' αυτό πήγαμε όλοι μαζί βόλτα στο πάρκο. Τα παιδιά έπαιζαν δίπλα στη λίμνη.",
+    "arabic": "الطقس اليوم جميل جدا لذلك ذهبنا جميعا للتنزه في الحديقة. كان الأطفال يلعبون بالقرب من البحيرة وكان كبار السن يجلسون على المقعد ويتحدثون.",
+    "hebrew": "היום מזג האוויר טוב מאוד ולכן הלכנו כולנו לטייל בפארק. הילדים שיחקו ליד האגם והזקנים ישבו על הספסל ודיברו.",
+    "other": "დღეს ძალიან კარგი ამინდია, ამიტომ ყველანი ერთად პარკში სასეირნოდ წავედით. ბავშვები ტბასთან თამაშობდნენ და მოხუცები სკამზე ისხდნენ.",
+}
+
+
+def test_bytes_decide_in_every_script(spark):
+    """Sentences lie below the limit of their band, and random characters of scripts that the vocabulary knows in part, or not, above it."""
+    import random
+
+    r = random.Random(2)
+    spans = {"han": (0x4E00, 0x9FFF), "hangul": (0xAC00, 0xD7A3), "devanagari": (0x904, 0x94D), "kana": (0x3041, 0x30FF), "greek": (0x391, 0x3C9), "arabic": (0x621, 0x64A), "other": (0x12000, 0x12300)}
+    junk = {f"junk {k}": " ".join("".join(chr(r.randrange(a, b)) for _ in range(4)) for _ in range(120)) for k, (a, b) in spans.items()}
+    got = {x.doc_id: x for x in fertility.measure(spark.createDataFrame([*SCRIPTS.items(), *junk.items()], "doc_id string, text string"), fertility.vocabularies()).collect()}
+    for k in SCRIPTS:
+        assert got[k].band == k and got[k].byte_share < fertility.BANDS[k].most_bytes and got[k].chars_per_token > fertility.BANDS[k].least_chars, k
+    for k in spans:
+        assert got[f"junk {k}"].byte_share > fertility.BANDS[k].most_bytes and not got[f"junk {k}"].kept, k
+
+
 def test_measures_equal_plain_ones(spark):
     """Token by token, from the vocabularies themselves."""
     import math
