@@ -14,6 +14,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +32,22 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|.", re.S)
-_SEED = re.compile(r"[0-9]+|@|[\[(] ?at ?[\])]", re.I)
+#: Whole lists of numbers, @ signs and spelled-out ones.
+_SEED = re.compile(r"[0-9]++(?:(?:\x20?[,;:/|-]\x20?|[\x20.\t])?[0-9]++)*+|@|[\[(] ?at ?[\])]", re.I)
 _AT = re.compile(r"[\[(] ?at ?[\])]", re.I)
 #: Spelled-out and spaced signs of addresses, as the signs that they stand for.
 _SIGNS = [(re.compile(r" ?[\[(] ?at ?[\])] ?| @ ?|@ ", re.I), "@"), (re.compile(r" ?[\[(] ?(?:dot|punkt|point) ?[\])] ?| \. ", re.I), "."), (re.compile(r"[\[(]\.[\])]"), ".")]
 _MAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,8}")
 
 
+#: Between numbers that go on, and what may stand before the sign of an address, spelled out or not.
+_AHEAD = re.compile(r"(?:\x20?[,;:/|-]\x20?|[\x20.\t])?[0-9]")
+_BEHIND = re.compile(r"[0-9](?:\x20?[,;:/|-]\x20?|[\x20.\t])?\Z")
+_NEXT = re.compile(r"[^0-9A-Za-z]{1,3}(?=[0-9])")
+_NAME = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]* ?[\[(]? ?")
+_DIGITS = re.compile(r"[0-9]+")
+
+
 @dataclass(frozen=True)
 class Limits:
     """What bounds the entities that the field looks for: longer ones are left to the patterns, which have no limit.
@@ -133,6 +143,74 @@ def segments(text: str, start: int, end: int, limits: Limits = Limits()) -> tupl
     return bounds, out
 
 
+def _goes_on(text: str, at: int, sign: str, ahead: bool) -> bool:
+    """Whether a number goes on at this place: digits, or digits behind what stands between numbers of a list or behind `sign`, which stands inside too."""
+    if ahead:
+        return _AHEAD.match(text, at) is not None or bool(sign) and text.startswith(sign, at) and text[at + len(sign) : at + len(sign) + 1].isdigit()
+    return _BEHIND.search(text[max(0, at - 4) : at]) is not None or bool(sign) and text.endswith(sign, 0, at) and text[max(0, at - len(sign) - 1) : max(0, at - len(sign))].isdigit()
+
+
+def possible(text: str, s: int, e: int) -> bool:
+    """Whether a segment could be of some kind.
+
+    It reads as an address once spelled-out signs are signs; or it has no letters, as many digits as a
+    phone or a card or four short groups of them, and stands alone, so that no number goes on at its
+    ends.  So hardly any segment of a table of numbers is possible.
+    """
+    own = text[s:e]
+    if "@" in own or _AT.search(own):
+        plain = own
+        for pattern, sign in _SIGNS:
+            plain = pattern.sub(sign, plain)
+        return _MAIL.fullmatch(plain) is not None
+    groups = list(_DIGITS.finditer(own))
+    digits = sum(m.end() - m.start() for m in groups)
+    if not (10 <= digits <= 19 or len(groups) == 4 and all(m.end() - m.start() <= 3 for m in groups)) or any(map(str.isalpha, own)):
+        return False
+    first, last = (own[groups[0].end() : groups[1].start()], own[groups[-2].end() : groups[-1].start()]) if len(groups) > 1 else ("", "")
+    return not _goes_on(text, s, first, False) and not _goes_on(text, e, last, True)
+
+
+def candidates(text: str, start: int, end: int, limits: Limits = Limits()) -> tuple[list[int], list[tuple[int, int]]]:
+    """`segments` that are `possible`, without a look at most others: their digits are summed and their signs counted on the way."""
+    tokens = [m.span() for m in _TOKEN.finditer(text, start, end)]
+    bounds, n, out = [s for s, _ in tokens] + [end], len(tokens), []
+    signs = list(accumulate((text[s] == "@" or e - s == 2 and text[s:e].lower() == "at" and text[max(0, s - 2) : s].rstrip(" ")[-1:] in ("[", "(") for s, e in tokens), initial=0))
+    for i in range(n):
+        s, stop = bounds[i], min(i + limits.tokens, n)
+        first = text[s]
+        if not (first.isalnum() or first in "+([") or (s and text[s - 1].isalnum() and first.isalnum()):
+            continue
+        mail = signs[stop] > signs[i]
+        if mail:  # what stands before the first sign must be a name
+            at = i
+            while signs[at + 1] == signs[i]:
+                at += 1
+            mail = _NAME.fullmatch(text, s, bounds[at]) is not None
+        if not mail:
+            if first.isalpha() or first.isdigit() and _goes_on(text, s, "", False):
+                continue
+            if first.isdigit() and bounds[i + 1] - s < 10 and (m := _NEXT.match(text, bounds[i + 1])) and _goes_on(text, s, m[0], False):
+                continue
+        digits, seed = 0, False
+        for j in range(i + 1, stop + 1):
+            at, e = bounds[j - 1], bounds[j]
+            c = text[at]
+            if e - s > limits.chars or text[e - 1] == "\n":
+                break
+            if c.isdigit():
+                seed, digits = True, digits + e - at
+            elif signs[j] > signs[j - 1]:
+                seed = True
+            if not mail and (digits > 19 or c.isalpha()):
+                break
+            if seed and j > i + 2 and (text[e - 1].isalnum() or text[e - 1] in ")]") and not (text[e - 1].isalnum() and text[e : e + 1].isalnum()):
+                if (signs[j] > signs[i] if mail else digits >= 4) or digits >= 4:
+                    if possible(text, s, e):
+                        out.append((i, j))
+    return bounds, out
+
+
 def _add(a: float, b: float) -> float:
     return max(a, b) + math.log1p(math.exp(-abs(a - b))) if max(a, b) > -math.inf else -math.inf
 
@@ -201,6 +279,9 @@ class Field:
         gaps.append((at, len(text)))
         for lo, hi in gaps:
             for m in _SEED.finditer(text, lo, hi) if hi > lo else ():
+                long = m.end() - m.start() > 19
+                if long and (m.end() - m.start() > limits.chars or sum(map(str.isdigit, m[0])) > 19):
+                    continue  # a list goes on at each place inside it, and all of it is too much
                 s, e = max(lo, m.start() - limits.around), min(hi, m.end() + limits.around)
                 if runs and s <= runs[-1][1] and runs[-1][0] >= lo:
                     runs[-1][1] = e
@@ -208,10 +289,12 @@ class Field:
                     runs.append([s, e])
         out = []
         for s, e in runs:
-            bounds, places = segments(text, s, e, limits)
+            bounds, places = candidates(text, s, e, limits)
             if not places:
                 continue
             scores = [self.scores(features(text, bounds[i], bounds[j])) for i, j in places]
+            if max(map(max, scores)) <= 0:  # then no segment is in the best way
+                continue
             chosen = self.best(len(bounds) - 1, places, scores)
             if chosen:
                 chances = self.chances(len(bounds) - 1, places, scores)
@@ -234,7 +317,7 @@ class Field:
 
 def prepared(text: str, gold: list[tuple[int, str, int]]) -> tuple[int, list[tuple[int, int]], list[list[str]], list[int]]:
     """What learning needs of a sentence: its tokens, segments, their features and kinds."""
-    bounds, places = segments(text, 0, len(text))
+    bounds, places = candidates(text, 0, len(text))
     kinds = {(s, e): KINDS.index(kind) for s, kind, e in gold}
     return len(bounds) - 1, places, [features(text, bounds[i], bounds[j]) for i, j in places], [kinds.get((bounds[i], bounds[j]), -1) for i, j in places]
 

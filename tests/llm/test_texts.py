@@ -95,6 +95,38 @@ def test_field_finds_spans_in_sentences_of_no_template():
     assert right >= 0.8 * n and not wrong
 
 
+def test_candidates_are_the_possible_segments():
+    """Sums on the way leave out nothing that a look at each segment would keep."""
+    import random
+
+    r = random.Random(3)
+    signs = [*"0123456789", " ", ".", ",", "; ", " . ", "-", "a", "at", "[at]", "@", "(", ")", "\n", "é", "٣", "/"]
+    texts = [t for t, _ in pii.sentences(300, 9)] + ["".join(r.choice(signs) for _ in range(r.randint(1, 60))) for _ in range(600)] + [t for t, _ in HAND]
+    kept = 0
+    for t in texts:
+        bounds, places = pii.segments(t, 0, len(t))
+        want = [(i, j) for i, j in places if pii.possible(t, bounds[i], bounds[j])]
+        assert pii.candidates(t, 0, len(t)) == (bounds, want), t
+        kept += len(want)
+    assert kept > 100
+
+
+def test_tables_of_numbers_cost_little():
+    """No place inside a list of numbers begins a candidate, so a table takes little more than the patterns."""
+    import random
+    import time
+
+    own, r = pii.trained(), random.Random(1)
+    for sep in (",", " ", "\t", "; ", " | "):
+        table = "\n".join(sep.join(f"{r.random() * 1000:.{r.randint(0, 3)}f}" for _ in range(8)) for _ in range(400))
+        began = time.process_time()
+        pii.base_spans(table)
+        base = time.process_time() - began
+        began = time.process_time()
+        assert not [x for x in pii.all_spans(table, own) if not x[3]]
+        assert time.process_time() - began < 25 * base + 0.02, sep
+
+
 def test_chances_and_best_way_equal_those_of_all_ways():
     """Every way to cut a short text into segments and single outside tokens, one by one."""
     own = pii.trained()
