@@ -17,16 +17,21 @@ def _united(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, val
     return marks.unionByName(rows, allowMissingColumns=True)
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, value: str, seq: str | None = None, whole_rows: int = ranges.WHOLE_ROWS) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, value: str, seq: str | None = None, whole_rows: int | None = ranges.WHOLE_ROWS) -> DataFrame:
     """left, and `value` of the last right row of its keys at or before `at` (of equal times the last by `seq`; null if none).
 
     One union and one window: rows are sorted once, and no pairs are made.  Keys of more than
-    `whole_rows` rows on both sides are cut at ranges of time, and each range gets the last mark before it.
+    `whole_rows` rows on both sides are cut at ranges of time, and each range gets the last mark before it;
+    None saves the count where keys are known to be short.
     """
+    both = ranges.counted(left, keys).unionByName(ranges.counted(right, keys)) if whole_rows is not None else None
+    return _as_of(left, right, keys, at, value, seq, ranges.long_keys(both, keys, whole_rows) if both is not None else None)
+
+
+def _as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, value: str, seq: str | None, long: DataFrame | None) -> DataFrame:
     both, order = _united(left, right, keys, at, value, seq), ["_at", "_side", "_seq"]
     found = lambda df, by: df.withColumn("_found", F.last("_mark", ignorenulls=True).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
     done = lambda df: df.filter("_side = 1").select("_row.*", F.col("_found.v").alias(value))
-    long = ranges.long_keys(ranges.counted(left, keys).unionByName(ranges.counted(right, keys)), keys, whole_rows)
     if long is None:
         return done(found(both, keys))
     short, rest = ranges.split(both, keys, long)
@@ -37,10 +42,10 @@ def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, value
     return done(found(short, keys)).unionByName(done(met))
 
 
-def tempo_ms(events: DataFrame, changes: DataFrame, keys: Sequence[str], division: int | Column = 480, tick: str = "tick", micros: str = "micros", seq: str = "seq", start_micros: int = 500_000, whole_rows: int = ranges.WHOLE_ROWS) -> DataFrame:
+def tempo_ms(events: DataFrame, changes: DataFrame, keys: Sequence[str], division: int | Column = 480, tick: str = "tick", micros: str = "micros", seq: str = "seq", start_micros: int = 500_000, whole_rows: int | None = ranges.WHOLE_ROWS) -> DataFrame:
     """events with `ms`: whole milliseconds of each tick over the tempo changes of its keys (of changes at one tick the last holds).
 
-    Keys with more than `whole_rows` changes have their sums taken over ranges of ticks, then inside them.
+    Keys of more than `whole_rows` rows on both sides have their sums taken over ranges of ticks, then inside them.
     """
     begin = events.select(*keys).distinct().select(*keys, F.lit(0).cast("long").alias(tick), F.lit(start_micros).cast("long").alias(micros), F.lit(-1).cast("long").alias(seq))
     every = begin.unionByName(changes.select(*keys, F.col(tick).cast("long"), F.col(micros).cast("long"), F.col(seq).cast("long")))
@@ -58,7 +63,8 @@ def tempo_ms(events: DataFrame, changes: DataFrame, keys: Sequence[str], divisio
         base = F.sum("_step").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) + sums
         return steps.select(*keys, tick, seq, F.struct(F.col(tick).alias("t"), F.col(micros).alias("m"), base.alias("base")).alias("_state"))
 
-    long = ranges.long_keys(ranges.counted(changes, keys), keys, whole_rows)
+    both = ranges.counted(events, keys).unionByName(ranges.counted(changes, keys)) if whole_rows is not None else None
+    long = ranges.long_keys(both, keys, whole_rows) if both is not None else None
     if long is None:
         states = summed(stepped(every, keys), keys, F.lit(0))
     else:
@@ -66,7 +72,7 @@ def tempo_ms(events: DataFrame, changes: DataFrame, keys: Sequence[str], divisio
         rows = ranges.earlier(ranges.cut(rest, keys, order), keys, _newest=(F.max_by(state, F.struct(*order)), ranges.last))
         steps = ranges.earlier(stepped(rows, part, F.col("_newest")), keys, _sums=(F.sum("_step"), F.sum))
         states = summed(stepped(short, keys), keys, F.lit(0)).unionByName(summed(steps, part, F.coalesce("_sums", F.lit(0))))
-    found = as_of(events, states, keys, tick, "_state", seq, whole_rows)
+    found = _as_of(events, states, keys, tick, "_state", seq, long)
     total = (F.col("_state.base") + (F.col(tick) - F.col("_state.t")) * F.col("_state.m")) / 1000.0 / division
     return found.withColumn("ms", total.cast("long")).drop("_state")
 

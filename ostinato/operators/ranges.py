@@ -26,7 +26,10 @@ def _same(keys: Sequence[str]) -> Column:
 
 
 def long_keys(counts: DataFrame, keys: Sequence[str], most: int) -> DataFrame | None:
-    """Of (keys, n) with several rows a key: the keys of more than `most`, written; None if there are none."""
+    """Of (keys, n) with several rows a key: the keys of more than `most`, written; None if there are none.
+
+    This is a job over what is counted, so what costs much to make should be written before.
+    """
     found = counts.groupBy(*keys).agg(F.sum("n").alias("n")).filter(F.col("n") > most).select(*[F.col(k).alias(f"_long_{k}") for k in keys])
     found = written(found)
     return None if found.isEmpty() else found

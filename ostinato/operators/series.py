@@ -125,11 +125,12 @@ def _long_spacing(own: DataFrame, keys: Sequence[str], x: str, gap: int) -> Data
     return ordered(met, [*keys, ranges.RANGE], [x], [x, "_last"], f"{x} {kind}", each).drop(ranges.RANGE)
 
 
-def spacing(df: DataFrame, keys: Sequence[str], x: str, gap: int, whole_rows: int = ranges.WHOLE_ROWS) -> DataFrame:
+def spacing(df: DataFrame, keys: Sequence[str], x: str, gap: int, whole_rows: int | None = ranges.WHOLE_ROWS) -> DataFrame:
     """(keys, x) of the values that stand at least `gap` after the last one kept; repeated values count once.
 
     What is kept depends on what was kept before, so a series is folded in order, from one kept
-    value to the next.  Series of more than `whole_rows` rows are folded by ranges instead.
+    value to the next.  Series of more than `whole_rows` rows are folded by ranges instead; None saves
+    the count where series are known to be short.
     """
 
     def each(last, columns: list[np.ndarray]) -> tuple[object, np.ndarray, list[np.ndarray]]:
@@ -139,16 +140,16 @@ def spacing(df: DataFrame, keys: Sequence[str], x: str, gap: int, whole_rows: in
 
     own = df.filter(F.col(x).isNotNull()).select(*keys, x)
     shape = f"{x} {df.schema[x].dataType.simpleString()}"
-    long = ranges.long_keys(ranges.counted(own, keys), keys, whole_rows)
+    long = ranges.long_keys(ranges.counted(own, keys), keys, whole_rows) if whole_rows is not None else None
     if long is None:
         return ordered(own, keys, [x], [x], shape, each)
     short, rest = ranges.split(own, keys, long)
     return ordered(short, keys, [x], [x], shape, each).unionByName(_long_spacing(rest, keys, x, gap))
 
 
-def merge_onsets(a: DataFrame, b: DataFrame, keys: Sequence[str], x: str, gap: int) -> DataFrame:
+def merge_onsets(a: DataFrame, b: DataFrame, keys: Sequence[str], x: str, gap: int, whole_rows: int | None = ranges.WHOLE_ROWS) -> DataFrame:
     """The distinct union of two onset lists, spaced again."""
-    return spacing(a.select(*keys, x).unionByName(b.select(*keys, x)), keys, x, gap)
+    return spacing(a.select(*keys, x).unionByName(b.select(*keys, x)), keys, x, gap, whole_rows)
 
 
 def inferred_onsets(df: DataFrame, keys: Sequence[str], order: str, onset: str, value: str) -> DataFrame:

@@ -27,10 +27,17 @@ def mono(samples: np.ndarray, channels: int) -> np.ndarray:
 
 
 def with_halo(pcm: DataFrame, keys: Sequence[str], frames: int) -> DataFrame:
-    """pcm with `halo`: the first `frames` frames of what follows each chunk (of its next chunk)."""
+    """pcm with `halo`: the first `frames` frames of what follows each chunk (of its next chunk).
+
+    Where the next chunk is shorter than that and isn't the last, the halo would be too short, so the query fails.
+    """
+    w = Window.partitionBy(*keys).orderBy("chunk_no")
     head = F.slice("samples", 1, (F.lit(frames) * F.col("channels")).cast("int"))
-    following = F.lead(head).over(Window.partitionBy(*keys).orderBy("chunk_no"))
-    return pcm.withColumn("halo", F.coalesce(following, F.array().cast("array<float>")))
+    following = F.lead(head).over(w)
+    short = (F.size(following) < F.lit(frames) * F.col("channels")) & F.lead("chunk_no", 2).over(w).isNotNull()
+    message = F.concat(F.lit("a chunk shorter than the reach of "), F.lit(str(frames)), F.lit(" frames follows chunk "), F.col("chunk_no").cast("string"))
+    safe = F.when(short, F.raise_error(message).cast("array<float>")).otherwise(following)
+    return pcm.withColumn("halo", F.coalesce(safe, F.array().cast("array<float>")))
 
 
 def _kernel(df: DataFrame, keys: Sequence[str], schema: str, each: Callable[[dict], dict[str, np.ndarray]]) -> DataFrame:
@@ -84,9 +91,10 @@ def onsets(pcm: DataFrame, keys: Sequence[str], sample_rate: int = 44100, size:
 
     def band(cutoff: float | None) -> DataFrame:
         rise = series.flux(frames(pcm, keys, size, hop, cutoff), keys, "frame")
-        return series.spacing(series.peaks(series.threshold(rise, keys, spread=spread), keys, "frame"), keys, "frame", gap)
+        # no count of peaks, which would take all spectra again: a fold holds one batch of them, however long the signal is
+        return series.spacing(series.peaks(series.threshold(rise, keys, spread=spread), keys, "frame"), keys, "frame", gap, None)
 
-    merged = series.merge_onsets(band(None), band(HIGH_HZ), keys, "frame", gap)
+    merged = series.merge_onsets(band(None), band(HIGH_HZ), keys, "frame", gap, None)
     return merged.select(*keys, (F.col("frame") * hop).alias("onset"))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric as N
 from ..operators import activations, separation, signal, stems, tagging, windows
 from ..sources import midi
+from ..tables import written
 
 KEYS = ["track_id", "stem"]
 
@@ -117,10 +118,13 @@ def pitched_notes(matrix: DataFrame, audio: DataFrame, bpm: DataFrame, frame_lea
 def analyze(pcm: DataFrame, models: Models, labels: list[str] | None = None, chunk: int = 1 << 16, sample_rate: int = 44100) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(notes, parts, tempo) of each track.
 
+    Stems and activations that models make are written to the shared folder, as several steps read them.
     Stems are chosen before the tempo is taken, so without drums it is 120.  Pitched stems that are
     silent against the loudest are left out, and the velocities of the rest are balanced.
     """
     own = stems_of(pcm, models, chunk, sample_rate)
+    if models.separate is not one_stem or models.separate_slices is not None:
+        own = written(own)  # so that the model runs once, whatever reads its stems
     own = own.filter(F.col("stem").isin(labels)) if labels is not None else own
     drums = own.filter("stem = 'drums'")
     found = signal.tempo(drums, KEYS, sample_rate).select("track_id", "bpm")
@@ -133,7 +137,7 @@ def analyze(pcm: DataFrame, models: Models, labels: list[str] | None = None, chu
     if models.activate is not None or models.activate_windows is not None:
         voices = own.filter("stem <> 'drums'")
         audio = mono_at(voices)
-        matrix = models.activate(voices) if models.activate is not None else matrix_of(audio, models.activate_windows)
+        matrix = written(models.activate(voices) if models.activate is not None else matrix_of(audio, models.activate_windows))
         pitched = pitched_notes(matrix, audio, tempo).join(kept.select(*KEYS), KEYS, "left_semi")
         balanced = stems.balanced(pitched, stems.velocity_scales(kept, ["track_id"]), KEYS)
         notes = hits.unionByName(balanced.withColumn("velocity", F.col("velocity").cast("int")).select(*hits.columns))

@@ -137,3 +137,32 @@ def test_a_generic_synth_gives_way(spark):
     rows = [("vocals", False, 153, 0.9, 81), ("guitar", False, 153, 0.9, None), ("guitar", False, 153, 0.9, 89), ("vocals", False, 24, 0.9, 81)]
     df = spark.createDataFrame(rows, "label string, audio_empty boolean, class int, score double, role_program int")
     assert [(r.program, r.confidence) for r in stems.instruments(df).collect()] == [(85, None), (25, None), (89, None), (85, 0.9)]
+
+
+def test_a_short_chunk_in_the_middle_fails(spark):
+    from ostinato.operators import signal
+
+    rows = [("a", "s", k, at, 100, 1, [0.1] * n) for k, (at, n) in enumerate(((0, 8), (8, 2), (10, 8)))]
+    df = spark.createDataFrame(rows, "track_id string, stem string, chunk_no long, start long, sample_rate int, channels int, samples array<float>")
+    with pytest.raises(Exception, match="shorter than the reach of 4 frames follows chunk 0"):
+        signal.with_halo(df, K, 4).collect()
+    assert [len(r.halo) for r in signal.with_halo(df, K, 2).orderBy("chunk_no").collect()] == [2, 2, 0]
+    assert [len(r.halo) for r in signal.with_halo(df.filter("chunk_no < 2"), K, 4).orderBy("chunk_no").collect()] == [2, 0]
+
+
+def test_models_run_once(spark):
+    """Stems are read by many steps, but the separation model sees each slice one time."""
+    from ostinato.operators import separation
+
+    from .test_operators import clicks, pcm as chunks
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def split(y):
+        seen.add(1)
+        return np.stack([y] * 6)
+
+    song = chunks(spark, np.repeat(clicks(120, seconds=2), 2), channels=2).drop("stem")
+    notes, parts, tempo = convert.analyze(song, convert.Models(separate_slices=separation.each_slice(split), segment=40_000), chunk=1 << 14)
+    assert parts.count() == 6 and notes.count() > 0 and tempo.count() == 1
+    assert seen.value == 3
