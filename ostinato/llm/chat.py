@@ -83,7 +83,8 @@ def _whole(rows: DataFrame, budget: int, history: int) -> DataFrame:
 def _spread(rows: DataFrame, budget: int, history: int) -> DataFrame:
     """The same of conversations of any size: no task holds more than a range of turns or a window."""
     once = rows.groupBy("conv", "turn", "role", "text", "tok").agg(F.count("*").alias("n"))
-    key = F.when(F.length("role") <= KEY_CHARS, F.left(F.col("text"), F.lit(KEY_CHARS)))
+    # of roles that are cut the text isn't looked at, so that all that begin alike share a range
+    key = F.when(F.length("role") < KEY_CHARS, F.left(F.col("text"), F.lit(KEY_CHARS)))
     # written, so that all that follows sees the same ranges
     ranged = written(once.repartitionByRange("conv", "turn", F.left(F.col("role"), F.lit(KEY_CHARS)), key).withColumn("block", F.spark_partition_id()))
     sizes = ranged.groupBy("conv", "block").agg(F.sum(F.col("tok") * F.col("n")).alias("tok"), F.min(F.when(F.col("role") == "system", F.struct("turn", "text", "tok"))).alias("system"))
