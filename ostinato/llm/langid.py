@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .common import as_bytes, slices, text_column
 from .toxicity import in_fold
 
-#: Rows of each language that learning takes at most, about.
-SAMPLE_ROWS = 600
+#: Rows of each language that learning takes at most, rows of all, and languages: the ones with most rows.
+SAMPLE_ROWS, SAMPLE_TOTAL, MOST_LANGUAGES = 600, 12_000, 200
 DIMENSIONS = 4096
 UNKNOWN = "und"
 _LETTERS = np.arange(256, dtype=np.uint8)
@@ -97,18 +97,22 @@ def fit(x: np.ndarray, y: np.ndarray, languages: list[str], steps: int = 250, ra
     return Model(languages, code, w, b, trust / trust.mean())
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, folds: int = 4, held_out: int = 2) -> Model | None:
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, sample_total: int = SAMPLE_TOTAL, most_languages: int = MOST_LANGUAGES, folds: int = 4, held_out: int = 2) -> Model | None:
     """A model from at most `sample_rows` rows of each language outside the held-out fold; None if there are none.
 
+    Of more than `most_languages` values those with most rows are learned (ties: the first by name), and of many
+    languages fewer rows each, so that the driver gets `sample_total` rows at most.
+
     Rows are chosen by a hash of id and text; each comes to the driver as a vector of fixed size.  Null texts and languages and texts without letters are left out.
     """
     known = docs.select(docs[id_col].alias("id"), docs[lang_col].cast("string").alias("y"), docs[text_col].cast("string").alias("text")).filter("y IS NOT NULL AND text IS NOT NULL").filter(~in_fold(F.col("id"), folds, held_out))
-    counts = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}  # a row per language
+    counts = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "y").limit(most_languages).collect()}
     if not counts:
         return None
-    rates = F.create_map(*[F.lit(v) for y, n in counts.items() for v in (y, min(1.0, 1.5 * sample_rows / n))])
+    sample_rows = max(1, min(sample_rows, sample_total // len(counts)))
+    rates = docs.sparkSession.createDataFrame([(y, min(1.0, 1.5 * sample_rows / n)) for y, n in counts.items()], "y string, rate double")
     known = known.withColumn("h", F.xxhash64(F.col("id").cast("string"), "text"))
-    few = known.filter(F.pmod("h", F.lit(1_000_003)) / 1_000_003 < rates[F.col("y")])
+    few = known.join(F.broadcast(rates), "y").filter(F.pmod("h", F.lit(1_000_003)) / 1_000_003 < F.col("rate")).drop("rate")  # a row per language, `most_languages` at most
     # equal rows of one id and text are chosen together, so the bound is kept by number
     number = F.row_number().over(Window.partitionBy("y").orderBy("h", "id", "text"))
     few = few.withColumn("k", number).filter(F.col("k") <= sample_rows).select("y", "text")

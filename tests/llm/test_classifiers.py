@@ -176,3 +176,34 @@ def test_mixed_texts_are_ambiguous(spark):
     assert any(got[k].ambiguous for k in range(7, 14)) and not any(got[k].ambiguous for k in (0, 1, 2, 18, 19, 20))
     clean = langid.predict(docs.filter("length(text) > 300"), model)
     assert clean.filter("ambiguous").count() <= 0.01 * clean.count()
+
+
+def test_a_column_of_many_languages_keeps_to_the_bounds(spark, monkeypatch):
+    """Three thousand values, most of them dirt: the frequent ones are learned, from a bounded number of rows."""
+    docs = queries.read(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text", "lang")
+    dirty = spark.range(3000).select((F.col("id") + 10_000).alias("doc_id"), F.lit("some words here").alias("text"), F.concat(F.lit("x"), F.col("id").cast("string")).alias("lang"))
+    seen, plain = [], langid.fit
+    monkeypatch.setattr(langid, "fit", lambda x, y, languages: seen.append(len(x)) or plain(x, y, languages))
+    model = langid.learn(docs.unionByName(dirty), sample_total=60, most_languages=8)
+    known = {r.lang for r in docs.filter("lang IS NOT NULL").select("lang").distinct().collect()}
+    assert len(model.languages) <= 8 and known & set(model.languages) and seen[0] <= 60
+    one = langid.learn(docs)
+    assert set(one.languages) == known
+
+
+def test_vectors_equal_plain_counts():
+    """Square roots of shares of hashed n-grams of one to three letters, one by one."""
+    from ostinato.llm.common import as_bytes
+    import pyarrow as pa
+
+    texts = ["Ab, é", "", "zz", "a"]
+    raw, at = as_bytes(pa.array(texts))
+    got = langid.vectors(raw, at)
+    for t, row in zip(texts, got):
+        b = [int(langid._LETTERS[c]) for c in t.encode()]
+        grams = [g for g in b] + [x * 257 + y + 1 for x, y in zip(b, b[1:])] + [x * 66049 + y * 257 + z + 2 for x, y, z in zip(b, b[1:], b[2:])]
+        want = np.zeros(langid.DIMENSIONS)
+        for g in grams:
+            want[(g * 2654435761 % 2**32) >> 20] += 1
+        want = np.sqrt(want)
+        assert np.allclose(row, want / max(np.linalg.norm(want), 1e-9), atol=1e-5)
