@@ -211,6 +211,7 @@ def matches(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col:
     A row is a maximal run of equal words of at least `window` words (of the whole item where it
     is shorter).  Null ids of items are left out; a null text has no words; very long texts are
     searched whole; repeated rows have rows each, and so has each of several items that share a match.
+    Other columns, whatever their names, don't matter; an empty table of documents or of items gives no rows.
     """
     spark = docs.sparkSession
     source = docs.select(docs[id_col].alias("id"), text_column(docs, text_col))

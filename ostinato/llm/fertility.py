@@ -199,7 +199,8 @@ def measure(docs: DataFrame, vocabularies: Sequence[str], id_col: str = "doc_id"
 def fit(measured: DataFrame, tail: float = 0.001, room: float = 0.08) -> dict[str, Band]:
     """Bands from the measures of a table, one for each script or language in it: quantiles of all its rows that base rules keep, and some room.
 
-    A row of few numbers for each band reaches the driver.
+    A row of few numbers for each band reaches the driver.  Rows that base rules reject, null and empty texts
+    among them, are left out; repeated rows count each; an empty table, or one without kept rows, gives no bands.
     """
     q = lambda c, p: F.percentile_approx(c, p, 10_000)
     bits = F.col("entropy") / F.greatest(F.col("chars_per_token"), F.lit(1e-9))

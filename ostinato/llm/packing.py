@@ -232,7 +232,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     """(id, piece, start, length, ids_crc32, sequence_id, offset) of every piece.
 
     Every document has at least one piece, as `end_id` follows its ids (null and empty texts have
-    just that).  Rows that repeat an id are documents of their own.  An empty table has no rows.
+    just that).  Rows that repeat an id are documents of their own.  A very long text is cut into as many pieces
+    as it needs, and only such texts are; documents of equal length take places in the order of their hashes.
+    Other columns of docs, whatever their names, don't matter.  An empty table has no rows.
     """
     spark = docs.sparkSession
     cutting = cut(pieces(docs, tokenizer, capacity, end_id, id_col, text_col))

@@ -414,6 +414,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits
     Null and empty texts have none; repeated rows get equal ones; an empty table gives none.  Very long
     texts are searched whole, in stretches around digits and @ signs; spans that the field adds keep
     within `limits` (entities are bounded in this method), those of the patterns have any length.
+    Of ways to cut a text that are equally good the one with fewer spans is taken; other columns don't matter.
     """
     own = docs.sparkSession.sparkContext.broadcast(trained())
     source = docs.select(docs[id_col].alias("id"), text_column(docs, text_col))

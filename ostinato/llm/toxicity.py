@@ -122,7 +122,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Rows are chosen by a hash of id and text, so the same table gives the same model.  Where more of
     one label are left out than of the other, the bias is put right for it, so that scores mean the
     same at every size.  Null ids, texts and labels are left out; of equal ids with both labels 1
-    holds; with no two labels to tell apart, all scores are the one label.
+    holds; with no two labels to tell apart, all scores are the one label.  A very long text counts with all its
+    different features, as far as `sample_bytes` goes (at least one row of each label is taken whole).
     """
     known = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("y")).filter("id IS NOT NULL AND y IN (0, 1)").filter(~in_fold(F.col("id"), folds, held_out))
     counts = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
