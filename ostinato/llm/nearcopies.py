@@ -1,13 +1,17 @@
 """Near copies by longer SimHash fingerprints: five-word shingles with a similarity of 0.8 or more.
 
-Three of 64 bits only join texts that are nearly equal, and no number of pieces of a fingerprint
-that fits the disk finds all pairs at 0.8 (24-bit pieces: some 350 for 99.9 %).  So the inverted
-index has the shingles themselves: in any order of all shingles, two sets with a Jaccard similarity
+Three of 64 bits only join texts that are nearly equal, so fingerprints have 512 bits, of the distinct five-word
+shingles.  They are found as op9's are: an inverted index has a posting list for each value of three bytes in place
+(`pieces`); pairs in a list are tallied by the bytes that they share in place; those with enough are verified, bit by bit where
+the bits tell that they are surely similar or surely not (4.5 deviations from 0.8), else by their shingle sets.
+
+No number of pieces of a fingerprint that fits the disk finds all pairs at 0.8 (24-bit pieces: some 350 for 99.9 %),
+so an exact way for the rest follows: pairs that the fingerprints left in different components are looked for by the shingles
+themselves.  In any order of all shingles, two sets with a Jaccard similarity
 of t share one of the first m - ceil(t m) + 1 of m, whatever the edit was.  The order takes shingles
-that a sample of texts has often last, which keeps lists short; no order can lose a pair.  Check fingerprints, 512 bits of
-the distinct five-word shingles, tell of most pairs that meet that they are surely similar or
-surely not (4.5 deviations from 0.8); the others are decided by their shingle sets.  Where a list has
-few of them, each is decided by itself, and what is false is gone.  A list with more, or a long one,
+that a sample of texts has often last, which keeps lists short; no order can lose a pair.  Lists that are in one component
+by then have nothing left to find.  In the others bits decide what they can, and shingle sets the rest.  Where a list has
+few such pairs, each is decided by itself, and what is false is gone.  A list with more, or a long one,
 as texts from a template make, is a dense one: its nodes form clusters, in which each is held against one
 of them, and then against those that are still apart.  There, nodes that have the same of the shingles that
 occur twice in the cluster are one class, as they are equally similar to all others: however many fill
@@ -20,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, dropped, slices, text_column, word_bounds, word_hashes, written
@@ -28,6 +32,9 @@ from .components import components
 from .simhash import _forest, row_key, survivors
 
 CHECK_WORDS, SHINGLE = 8, 5
+#: Bytes in place that name a posting list of fingerprints, and bytes in place that two of a list must share to be verified:
+#: of 64, pairs at 0.8 that share three have 19 on average and fewer than 6 about once in a million, unlike ones 3.2 and 6 or more in 0.2 %.
+PIECE, SHARED = 3, 6
 #: One of so many texts is looked at for frequent shingles; those that so many of them have count; the most frequent ones go to all tasks.
 SAMPLE, OFTEN, MOST_OFTEN = 16, 4, 200_000
 #: Of smaller sets the bits tell too little; their pairs are decided by the sets.
@@ -217,27 +224,33 @@ def _checks(table: pa.Table, column: int) -> np.ndarray:
     return np.frombuffer(b"".join(table.column(column).to_pylist()), np.uint64).reshape(table.num_rows, -1)
 
 
-def _links(batches: Iterator[pa.RecordBatch], similarity: float, pairs: int = PAIRS) -> Iterator[pa.RecordBatch]:
-    """Links (a, b, kind) between the rows (list, node, size, check) of each list.
+def _links(batches: Iterator[pa.RecordBatch], similarity: float, pairs: int = PAIRS, shared: int = 0) -> Iterator[pa.RecordBatch]:
+    """Links (a, b, kind) between the rows (list, node, size, check, label) of each list that have different labels.
 
+    Pairs are tallied by the bytes of their fingerprints that are equal in place; only those with `shared` or more are looked at.
     SURE: a forest of what is surely similar.  OPEN: all pairs to decide between its trees, of a list with at
     most `pairs` of them a node.  DENSE: a forest of those of other lists, with all nodes that have any.
     """
     near, far = limits(similarity)
 
     def out(table: pa.Table) -> pa.RecordBatch:
-        group, (node, size), check = _groups(table, 1), (table.column(k).to_numpy() for k in (1, 2)), _checks(table, 3)
+        group, (node, size, label), check = _groups(table, 1), (table.column(k).to_numpy() for k in (1, 2, 4)), _checks(table, 3)
         opened, many = np.zeros(int(group[-1]) + 1, np.int64), pairs * np.bincount(group)
         none = np.zeros(0, np.int64)
         a, b, dense_a, dense_b, c, d = none, none, none, none, [none], [none]
         left, step = np.arange(len(node)), 1
         while len(left := left[left + step < len(node)]) and len(left := left[group[left] == group[left + step]]):
-            differ = np.bitwise_count(check[left] ^ check[left + step]).sum(1)
-            small, large = np.minimum(size[left], size[left + step]), np.maximum(size[left], size[left + step])
+            at = left[label[left] != label[left + step]]
+            differ = check[at] ^ check[at + step]
+            if shared:
+                enough = (differ.view(np.uint8) == 0).sum(1) >= shared
+                at, differ = at[enough], differ[enough]
+            differ = np.bitwise_count(differ).sum(1)
+            small, large = np.minimum(size[at], size[at + step]), np.maximum(size[at], size[at + step])
             sure = (differ <= near) & (small >= SMALL)
             open_ = ~sure & _could(small, large, small - (small == large), similarity) & ((differ < far) | (small < SMALL))
-            a, b = np.concatenate([a, node[left[sure]]]), np.concatenate([b, node[left[sure] + step]])
-            at = left[open_]
+            a, b = np.concatenate([a, node[at[sure]]]), np.concatenate([b, node[at[sure] + step]])
+            at = at[open_]
             opened += np.bincount(group[at], minlength=len(opened))
             full = opened[group[at]] > many[group[at]]
             dense_a, dense_b = np.concatenate([dense_a, node[at[full]]]), np.concatenate([dense_b, node[at[full] + step]])
@@ -465,6 +478,44 @@ def _clusters(members: DataFrame, dense: DataFrame, joined: DataFrame, facts: Da
     return joined if links.isEmpty() else components(as_links(joined).unionByName(links), "a", "b", paths=paths)
 
 
+def pieces(check: Column) -> Column:
+    """Names of the lists of a fingerprint: each `PIECE` bytes of it with their place."""
+    return F.array(*[F.xxhash64(F.lit(k), F.substring(check, PIECE * k + 1, PIECE)) for k in range(8 * CHECK_WORDS // PIECE)])
+
+
+def by_fingerprints(facts: DataFrame, similarity: float, list_rows: int) -> DataFrame:
+    """Links (a, b, kind), SURE or OPEN, of nodes (node, size, check) that meet in a positional list.
+
+    A list of more than `list_rows` nodes is dealt to parts, each with the list's least node besides its own, so
+    that a group of near copies is joined through that one.
+    """
+    lists = facts.select(F.explode(pieces(F.col("check"))).alias("list"), "node")
+    counts = lists.groupBy("list").agg(F.count("*").alias("n"), F.min("node").alias("hub")).filter("n > 1")
+    parts = F.ceil(F.col("n") / list_rows).cast("long")
+    own = F.when(F.col("node") == F.col("hub"), F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), parts)))
+    dealt = lists.join(counts, "list").select("list", "node", F.explode(own).alias("part")).select(F.xxhash64("list", "part").alias("list"), "node")
+    rows = dealt.join(facts, "node").select("list", "node", "size", "check", F.col("node").alias("label"))
+    rows = rows.repartition("list").sortWithinPartitions("list", "node")
+    met = rows.mapInArrow(lambda batches: _links(batches, similarity, shared=SHARED), "a long, b long, kind int")
+    return met.filter(F.col("kind") != DENSE)  # dense lists are left to the shingles
+
+
+def by_shingles(nodes: DataFrame, joined: DataFrame, similarity: float, list_rows: int, paths: list[str]) -> DataFrame:
+    """Links (a, b, kind) of nodes (node, size, lists, check) that share one of their first shingles and aren't in one component of `joined`."""
+    label = joined.select(F.col("node").alias("own"), F.col("component").alias("label"))
+    known = nodes.join(label, F.col("node") == F.col("own"), "left").withColumn("label", F.coalesce("label", "node")).drop("own")
+    facts = known.select("node", "size", "check", "label")
+    postings = known.select(F.explode("lists").alias("list"), "node", "label")
+    # only lists of several components count, and only their postings meet the fingerprints
+    counts = postings.groupBy("list").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").drop("high")
+    shared = written(postings.drop("label").join(counts, "list"), paths)
+    near = shared.filter(F.col("n") <= list_rows).join(facts, "node").select("list", "node", "size", "check", "label").repartition("list").sortWithinPartitions("list", "node")
+    met = near.mapInArrow(lambda batches: _links(batches, similarity), "a long, b long, kind int")
+    # `low` is a node too, of a component that the list has
+    long = shared.filter(F.col("n") > list_rows).filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"), F.lit(DENSE).alias("kind"))
+    return met.unionByName(long)
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, list_rows: int = 1000) -> DataFrame:
     """(id, component_id) of every row; component_id is the smallest id that links reach.
 
@@ -472,8 +523,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
     long texts count with all their shingles; repeated rows are in one component; ties of similarity
     at the limit are links; other columns don't matter; an empty table gives none.
 
-    One pass over the lists joins what is surely similar.  Pairs that it leaves open are decided by
-    their sets, and then the clusters of dense lists.  Pairs are looked at inside tasks, and only forests
+    Lists of fingerprints join what is verified there.  Lists of shingles have what may be left between these components; pairs
+    that bits leave open are decided by their sets, and then the clusters of dense lists.  Pairs are looked at inside tasks, and only forests
     leave them.  Tables between these steps are deleted when the last links are written.
     """
     steps: list[str] = []
@@ -482,24 +533,26 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
     found = told_apart(found, same)
     nodes = found.dropDuplicates(["node"]).select("node", "size", "lists", "check")
     facts = nodes.select("node", "size", "check")
-    postings = nodes.select(F.explode("lists").alias("list"), "node")
-    # only lists with company count, and only their postings meet the fingerprints
-    counts = postings.groupBy("list").agg(F.count("*").alias("n"), F.min("node").alias("hub")).filter("n > 1")
-    shared = written(postings.join(counts, "list"), steps)
-    near = shared.filter(F.col("n") <= list_rows).join(facts, "node").select("list", "node", "size", "check").repartition("list").sortWithinPartitions("list", "node")
-    met = near.mapInArrow(lambda batches: _links(batches, similarity), "a long, b long, kind int")
-    long = shared.filter(F.col("n") > list_rows).filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"), F.lit(DENSE).alias("kind"))
-    links = written(met.unionByName(long), steps)
-    of = lambda kind: links.filter(F.col("kind") == kind).select("a", "b")
-    left, dense = of(OPEN).distinct(), of(DENSE).distinct()
     ends = lambda df: df.select(F.col("a").alias("node")).unionByName(df.select(F.col("b").alias("node")))
-    open_ = written(ends(left).unionByName(ends(dense)).distinct(), steps)
-    digests = found.join(open_, "node", "left_semi").groupBy("node").agg(F.min("digest").alias("digest")).select("digest")
-    own = written(told_apart(sets(docs, text_col, digests), same).select("node", "own"), steps)
-    pairs = left.join(own.select(F.col("node").alias("a"), F.col("own").alias("one")), "a").join(own.select(F.col("node").alias("b"), F.col("own").alias("two")), "b")
-    alike = lambda df: df.select("a", "b", "one", "two").mapInArrow(lambda batches: _similar(batches, similarity), "a long, b long")
+    of = lambda links, kind: links.filter(F.col("kind") == kind).select("a", "b")
+
+    def verified(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """True links (a, b), of those the bits leave open by their sets; the sets (node, own) of nodes of open and dense links."""
+        left = of(links, OPEN).distinct()
+        open_ = written(ends(links.filter(F.col("kind") != SURE)).distinct(), steps)
+        digests = found.join(open_, "node", "left_semi").groupBy("node").agg(F.min("digest").alias("digest")).select("digest")
+        own = written(told_apart(sets(docs, text_col, digests), same).select("node", "own"), steps)
+        pairs = left.join(own.select(F.col("node").alias("a"), F.col("own").alias("one")), "a").join(own.select(F.col("node").alias("b"), F.col("own").alias("two")), "b")
+        alike = pairs.select("a", "b", "one", "two").mapInArrow(lambda batches: _similar(batches, similarity), "a long, b long")
+        return of(links, SURE).unionByName(alike), own
+
     # plans stay short, for the driver's sake, as each step is written
-    joined = components(of(SURE).unionByName(alike(pairs)), "a", "b", paths=steps)
+    true, _ = verified(written(by_fingerprints(facts, similarity, list_rows), steps))
+    joined = components(true, "a", "b", paths=steps)
+    links = written(by_shingles(nodes, joined, similarity, list_rows, steps), steps)
+    true, own = verified(links)
+    joined = components(true.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b"))), "a", "b", paths=steps)
+    dense = of(links, DENSE).distinct()
     if not dense.isEmpty():
         joined = _clusters(written(ends(dense).distinct(), steps), dense, joined, facts.join(own, "node"), similarity, 4 * list_rows, steps)
     joined = joined.withColumnRenamed("node", "n")
