@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ from .common import ALNUM, Rolling, as_bytes, inner_text, slices, word_bounds, w
 
 #: Labelled rows of each class that learning takes at most, and bytes of their features (4 for each different one of a text).
 SAMPLE_ROWS, SAMPLE_BYTES = 3000, 24 << 20
+#: Ranges in which the sample of a label reaches the driver, one after another, so that it never holds a sample in several copies.
+SAMPLE_PARTS = 16
 _FILTER_BITS = 20
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -116,6 +119,13 @@ def in_fold(id_col: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
+def first_rows(found: DataFrame, rows: int, parts: int = SAMPLE_PARTS) -> Iterator:
+    """Up to `rows` rows (h, x) of found, in their order; a range at a time reaches the driver."""
+    last = found.select("h").orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    few = found.filter(F.col("h") <= last)  # ties at the last h are cut below
+    return islice(few.repartitionByRange(parts, "h", "x").sortWithinPartitions("h", "x").toLocalIterator(), rows)
+
+
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, folds: int = 5, held_out: int = 0) -> Model:
     """A model from at most `sample_rows` rows and `sample_bytes` of features of each label outside the held-out fold.
 
@@ -153,7 +163,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for y in counts:
         own = found.filter(F.col("y") == y)
         total, flat, used, taken = own.count(), np.empty(1 << 16, np.uint32), 0, 0
-        for r in own.orderBy("h", "x").limit(sample_rows).toLocalIterator():
+        for r in first_rows(own, sample_rows):
             x = np.frombuffer(r.x, np.uint32)
             if taken and 4 * (used + len(x)) > sample_bytes:
                 break
